@@ -28,14 +28,20 @@ def message(
     )
 
 
+def _parsed_content(item: Column) -> Column:
+    """Assistant content that may embed calls, parsed; null for all other messages."""
+    opens = item["content"].rlike(rf"(?U)\A{text.WHITESPACE}*\{{")
+    return F.when((item["role"] == "assistant") & opens, jsontext.strict_json(item["content"]))
+
+
 def _normalize(
-    item: Column, family: str, nested_calls: Column | None, keep_null_content: bool
+    item: Column,
+    parsed: Column,
+    family: str,
+    nested_calls: Column | None,
+    keep_null_content: bool,
 ) -> Column:
     role, content = item["role"], item["content"]
-    looks_embedded = (role == "assistant") & content.rlike(
-        rf"(?U)\A{text.WHITESPACE}*\{{"
-    )
-    parsed = F.when(looks_embedded, jsontext.strict_json(content))
     is_embedded = F.try_variant_get(parsed, "$.tool_calls", "variant").isNotNull()
     if nested_calls is None:
         embedded = toolcalls.embedded_calls(parsed, family)
@@ -50,9 +56,9 @@ def _normalize(
     usable = role.isNotNull() & content.isNotNull()
     if keep_null_content:
         usable = role.isNotNull() & (content.isNotNull() | own_calls.isNotNull())
-    return F.when(
-        is_embedded, message(role, F.lit(None), embedded)
-    ).when(usable, message(role, content, own_calls, tool_name, name))
+    return F.when(is_embedded, message(role, F.lit(None), embedded)).when(
+        usable, message(role, content, own_calls, tool_name, name)
+    )
 
 
 def _nested_structs(calls: Column) -> Column:
@@ -71,43 +77,45 @@ def _nested_structs(calls: Column) -> Column:
     )
 
 
-def normalize_message(
-    item: Column, family: str, *, keep_null_content: bool = False
-) -> Column:
-    """Normalized message, or null if role or content is missing.
-
-    Assistant content that is a JSON object with ``tool_calls`` becomes a message
-    without content that carries those calls. ``keep_null_content`` also keeps
-    assistant messages that hold structured calls and no content.
-    """
-    nested = None
-    if toolcalls.is_nested_family(family):
-        contents = F.when(item.isNotNull(), F.array(item["content"]))
-        nested = _nested_structs(jsontext.embedded_nested_calls(contents)[0])
-    return _normalize(item, family, nested, keep_null_content)
-
-
-def normalize_messages(
-    items: Column, family: str, *, keep_null_content: bool = False
-) -> Column:
+def normalize_messages(items: Column, family: str, *, keep_null_content: bool = False) -> Column:
     """Normalize a message list and prune the unusable ones."""
+    # Content is parsed in a step of its own, so that each text is parsed once.
+    staged = F.transform(
+        items, lambda item: F.struct(item.alias("item"), _parsed_content(item).alias("parsed"))
+    )
     if toolcalls.is_nested_family(family):
         contents = F.transform(items, lambda item: item["content"])
         calls = jsontext.embedded_nested_calls(contents)
-        pairs = F.arrays_zip(items.alias("item"), calls.alias("calls"))
+        pairs = F.arrays_zip(staged.alias("staged"), calls.alias("calls"))
         normalized = F.transform(
             pairs,
             lambda pair: _normalize(
-                pair["item"], family, _nested_structs(pair["calls"]), keep_null_content
+                pair["staged"]["item"],
+                pair["staged"]["parsed"],
+                family,
+                _nested_structs(pair["calls"]),
+                keep_null_content,
             ),
         )
     else:
         normalized = F.transform(
-            items, lambda item: _normalize(item, family, None, keep_null_content)
+            staged,
+            lambda pair: _normalize(pair["item"], pair["parsed"], family, None, keep_null_content),
         )
     return F.filter(normalized, lambda item: item.isNotNull())
 
 
+def normalize_message(item: Column, family: str, *, keep_null_content: bool = False) -> Column:
+    """Normalized message, or null if role or content is missing.
+
+    Assistant content that is a JSON object with ``tool_calls`` becomes a message
+    without content that carries those calls. ``keep_null_content`` also keeps
+    assistant messages that hold structured calls and no content.
+    """
+    one = F.when(item.isNotNull(), F.array(item))
+    return F.get(normalize_messages(one, family, keep_null_content=keep_null_content), F.lit(0))
+
+
 def has_user_query(items: Column) -> Column:
     return F.exists(items, lambda m: (m["role"] == "user") & text.has_text(m["content"]))
 

@@ -89,7 +89,7 @@ def with_key_ordinal(
     return _ranked(bucketed, [key], ordinal, total)
 
 
-def first_rows(df: DataFrame, limit: int | None, ordinal: str, total: str) -> DataFrame:
+def first_rows(df: DataFrame, limit: int | None, ordinal: str = "ordinal") -> DataFrame:
     """The first ``limit`` rows by position; every row without a limit."""
     return df if limit is None else df.where(F.col(ordinal) < limit)
 

@@ -17,7 +17,8 @@ def metric_rollup(samples: DataFrame) -> DataFrame:
 
 def run_rollup(samples: DataFrame) -> DataFrame:
     """Sample count and wall time per run."""
-    micros = F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))
+    first, last = (f("ts").cast("timestamp") for f in (F.min, F.max))
+    micros = F.unix_micros(last) - F.unix_micros(first)
     return samples.groupBy("run_id").agg(
         F.count("value").alias("telemetry_samples"),
         F.greatest(micros / 1e6, F.lit(0.0)).alias("run_wall_time_sec"),

@@ -34,13 +34,14 @@ def _fields(arguments: Column) -> Column:
 
 
 def _scalar(value: Column) -> Column:
-    """Value as normalized text: numbers by value, text without case and spacing."""
+    """Value as normalized text: numbers by value, text without case and spacing.
+
+    A numeral in quotes counts as the number it names.
+    """
     text = F.try_variant_get(value, "$", "string")
-    number = F.try_variant_get(value, "$", "double")
-    numeral = jsontext.kind(value).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
-    return F.when(numeral, number.cast("string")).otherwise(
-        F.lower(collapse_whitespace(F.coalesce(text, F.to_json(value))))
-    )
+    plain = F.lower(collapse_whitespace(F.coalesce(text, F.to_json(value))))
+    number = F.when(plain.rlike(r"\A[+-]?\d+(\.\d+)?(e[+-]?\d+)?\z"), plain.try_cast("double"))
+    return F.coalesce(number.cast("string"), plain)
 
 
 def compare_calls(paired: DataFrame) -> DataFrame:

@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from colloquy.plans import supervised  # noqa: F401
+from colloquy.plans import (  # noqa: F401
+    audit,
+    formatting,
+    messages,
+    rewards,
+    sampling,
+    supervised,
+)
 from colloquy.plans.registry import PLANS
 
 __all__ = ["PLANS"]

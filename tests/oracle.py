@@ -84,8 +84,8 @@ def main() -> int:
             problem = f"{type(exc).__name__}: {str(exc)[:1500]}"
         bad += problem is not None
         mark = "ok " if problem is None else "BAD"
-        print(f"{mark} {name} {time.time() - began:.2f}s {problem or ''}", flush=True)
-    print(f"{len(names) - bad}/{len(names)} equal")
+        print(f"\n{mark} {name} {time.time() - began:.2f}s {problem or ''}", flush=True)
+    print(f"\n{len(names) - bad}/{len(names)} equal")
     return 1 if bad else 0
 
 
