@@ -3,9 +3,13 @@
 from colloquy.plans import (  # noqa: F401
     audit,
     formatting,
+    governance,
     messages,
+    models,
+    releases,
     rewards,
     sampling,
+    streams,
     supervised,
 )
 from colloquy.plans.registry import PLANS

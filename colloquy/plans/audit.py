@@ -13,9 +13,12 @@ from colloquy.plans.registry import plan, table
 # The full stop plays the end token of the character tokenizer.
 EOS = ord(".") % 97 + 1
 
-AUDIT_SQL = f"""WITH coded AS (
+# Every third message is continued so that it does not end in a full stop.
+AUDIT_SQL = f"""WITH said AS (SELECT conv_id, turn, role,
+    text || CASE WHEN turn % 3 = 1 THEN ' and so on' ELSE '' END AS text FROM conversations),
+coded AS (
   SELECT conv_id, turn, role, list_transform(string_split(text, ''), lambda c: unicode(c) % 97 + 1)
-    AS ids FROM conversations),
+    AS ids FROM said),
 placed AS (
   SELECT *, list_filter(list_transform(ids, lambda x, i: CASE WHEN x = {EOS} THEN i - 1 END),
     lambda p: p IS NOT NULL) AS pos FROM coded),
@@ -25,7 +28,9 @@ checked AS (
 
 
 def audited_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir).withColumn("input_ids", tok.CharTokenizer().encode(F.col("text")))
+    ending = F.when(F.col("turn") % 3 == 1, " and so on").otherwise("")
+    ids = tok.CharTokenizer().encode(F.concat("text", ending))
+    rows = turns(spark, sf_dir).withColumn("input_ids", ids)
     return audits.audit_sequences(rows, EOS)
 
 

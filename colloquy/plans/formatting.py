@@ -106,9 +106,10 @@ def context_question_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan(
-    """SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 0
+    """SELECT md5(CASE WHEN turn % 3 = 0
   THEN 'user:System: ' || role || chr(10) || text || chr(10) || 'unknown role:' || role
-  ELSE 'user:' || text || chr(10) || 'assistant:' || role END) AS text FROM conversations"""
+  ELSE 'user:' || text || chr(10) || 'assistant:' || role END) AS text, count(*) AS rows
+FROM conversations GROUP BY ALL"""
 )
 def shared_conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared turns with other role names; the template refuses system turns."""
@@ -120,14 +121,9 @@ def shared_conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("turn") % 3 == 0,
         F.array(said("system", "role"), said("human", "text"), said("bot", "role")),
     ).otherwise(F.array(said("human", "text"), said("gpt", "role")))
-    rows = turns(spark, sf_dir).withColumn("conversations", conversations)
-    # The formatter keeps its text only, so the key is rebuilt from a parallel run.
-    template = PlainTemplate(rejects_system=True)
-    items = F.transform(
-        "conversations", lambda t: msg.message(formatters.shared_role(t["from"]), t["value"])
-    )
-    rendered = formatters.render_or_merge(template, items)
-    return rows.select("conv_id", "turn", F.md5(rendered).alias("text"))
+    rows = turns(spark, sf_dir).select(conversations.alias("conversations"))
+    texts = formatters.shared_conversation(rows, PlainTemplate(rejects_system=True))
+    return _counted(texts.withColumn("text", F.md5("text")))
 
 
 @plan(
