@@ -36,20 +36,22 @@ def ordered_classes(tokens: Column) -> Column:
 
 def integer_count(value: Column) -> Column:
     """A VARIANT count as integer: numbers truncate, numeral text parses, else null."""
-    numeral = F.regexp_replace(text.strip(F.try_variant_get(value, "$", "string")), "_", "")
-    plain = F.when(
-        F.try_variant_get(value, "$", "string").rlike(
-            rf"\A{text.WHITESPACE}*[+-]?\d+(?:_\d+)*{text.WHITESPACE}*\z"
-        ),
-        numeral.try_cast("bigint"),
+    written = F.try_variant_get(value, "$", "string")
+    numeral = F.when(
+        written.rlike(rf"\A{text.WHITESPACE}*[+-]?\d+(?:_\d+)*{text.WHITESPACE}*\z"),
+        F.regexp_replace(text.strip(written), "_", "").try_cast("bigint"),
     )
-    what = jsontext.kind(value)
-    number = F.try_variant_get(value, "$", "double")
     return (
-        F.when(what == "STRING", plain)
-        .when(what == "BIGINT", F.try_variant_get(value, "$", "bigint"))
-        .when(what.isin("DECIMAL", "DOUBLE", "FLOAT"), number.try_cast("bigint"))
-        .when(what == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("bigint"))
+        F.when(jsontext.is_string(value), numeral)
+        .when(jsontext.is_integer(value), F.try_variant_get(value, "$", "bigint"))
+        .when(
+            jsontext.is_fraction(value),
+            F.try_variant_get(value, "$", "double").try_cast("bigint"),
+        )
+        .when(
+            jsontext.is_boolean(value),
+            F.try_variant_get(value, "$", "boolean").cast("bigint"),
+        )
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -68,32 +68,46 @@ def solution_number(completion: Column, tags: Tags = THINK_TAGS) -> Column:
     return _or_null(F.regexp_extract(completion, pattern, 1))
 
 
-def to_number(value: Column) -> Column:
-    """Number parsed as Python's ``float`` does: underscores allowed, no suffixes."""
-    trimmed = strip(value)
+def to_number(trimmed: Column) -> Column:
+    """Number in a trimmed text as Python's ``float`` reads it: underscores between
+    digits allowed, no type suffixes."""
     digits = F.regexp_replace(trimmed, "_", "")
     return F.when(trimmed.rlike(_FLOAT), digits.try_cast("double")).when(
         trimmed.rlike(r"(?i)\A[+-]?nan\z"), F.lit(float("nan"))
     )
 
 
-def exact_format(completion: Column, tags: Tags = THINK_TAGS) -> Column:
-    return F.when(completion.rlike(_format_pattern(tags)), 3.0).otherwise(0.0)
+@dataclass(frozen=True)
+class Evidence:
+    """What the rewards look at, each part computed once per completion."""
+
+    tags: Tags
+    completion: Column
+    answer: Column
+    guess: Column
+    guess_trimmed: Column
+    guess_value: Column
+    answer_trimmed: Column
+    answer_value: Column
+    number_value: Column
+
 
+def exact_format(seen: Evidence) -> Column:
+    """The guess is found exactly when the whole format matches."""
+    return F.when(seen.guess.isNotNull(), 3.0).otherwise(0.0)
 
-def approximate_format(completion: Column, tags: Tags = THINK_TAGS) -> Column:
+
+def approximate_format(seen: Evidence) -> Column:
     """Half a point for each tag that occurs exactly once, minus half otherwise."""
     score = F.lit(0.0)
-    for tag in tags.all():
-        score = score + F.when(occurrences(completion, tag) == 1, 0.5).otherwise(-0.5)
+    for tag in seen.tags.all():
+        score = score + F.when(occurrences(seen.completion, tag) == 1, 0.5).otherwise(-0.5)
     return score
 
 
-def answer_score(completion: Column, answer: Column, tags: Tags = THINK_TAGS) -> Column:
+def answer_score(seen: Evidence) -> Column:
     """Closeness of the solution to the answer; a null answer scores 0."""
-    guess = solution(completion, tags)
-    left, right = to_number(guess), to_number(answer)
-    ratio = F.try_divide(left, right)
+    ratio = F.try_divide(seen.guess_value, seen.answer_value)
     by_ratio = (
         F.when(ratio.isNull(), -0.5)
         .when(F.isnan(ratio), -1.0)
@@ -102,33 +116,31 @@ def answer_score(completion: Column, answer: Column, tags: Tags = THINK_TAGS) ->
         .otherwise(-1.0)
     )
     return (
-        F.when(guess.isNull() | answer.isNull(), 0.0)
-        .when(guess == answer, 3.0)
-        .when(strip(guess) == strip(answer), 1.5)
+        F.when(seen.guess.isNull() | seen.answer.isNull(), 0.0)
+        .when(seen.guess == seen.answer, 3.0)
+        .when(seen.guess_trimmed == seen.answer_trimmed, 1.5)
         .otherwise(by_ratio)
     )
 
 
-def number_score(completion: Column, answer: Column, tags: Tags = THINK_TAGS) -> Column:
+def number_score(seen: Evidence) -> Column:
     """1.5 if the first number after the solution tag equals the answer."""
-    guess, truth = to_number(solution_number(completion, tags)), to_number(answer)
-    equal = (guess == truth) & ~F.isnan(guess)
+    equal = (seen.number_value == seen.answer_value) & ~F.isnan(seen.number_value)
     return F.when(equal, 1.5).otherwise(0.0)
 
 
+Reward = Callable[[Evidence], Column]
+
+# The reward list; pass a longer one to plug in more.
+REWARDS: tuple[tuple[str, Reward], ...] = (
+    ("format_exact", exact_format),
+    ("format_approximate", approximate_format),
+    ("answer", answer_score),
+    ("number", number_score),
+)
+
+
 def hash_answer(solution_text: Column) -> Column:
     """Text between the first and second ``####``, trimmed; null without a mark."""
     parts = F.split(solution_text, "####", -1)
     return F.when(F.size(parts) > 1, strip(F.get(parts, F.lit(1))))
-
-
-def reward_columns(
-    completion: Column, answer: Column, tags: Tags = THINK_TAGS
-) -> Sequence[tuple[str, Column]]:
-    """The reward list; append ``(name, Column)`` pairs to plug in more."""
-    return [
-        ("format_exact", exact_format(completion, tags)),
-        ("format_approximate", approximate_format(completion, tags)),
-        ("answer", answer_score(completion, answer, tags)),
-        ("number", number_score(completion, answer, tags)),
-    ]

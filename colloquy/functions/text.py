@@ -21,7 +21,7 @@ def has_text(text: Column) -> Column:
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return strip(F.regexp_replace(text, f"(?U){WHITESPACE}+", " "))
+    return F.trim(F.regexp_replace(text, f"(?U){WHITESPACE}+", " "))
 
 
 def cut(text: Column, limit: int, suffix: str = "...") -> Column:

@@ -149,12 +149,8 @@ def embedded_calls(parsed: Column, family: str) -> Column:
 
     def at_rest(item: Column) -> Column:
         def text_at(path: str) -> Column:
-            value = F.try_variant_get(item, path, "variant")
-            missing = value.isNull() | (jsontext.kind(value) == "VOID")
-            plain = F.when(
-                jsontext.is_string(value), F.try_variant_get(item, path, "string")
-            ).otherwise(F.to_json(value))
-            return F.when(~missing, plain)
+            # Text as it is, other values as JSON, JSON null as null.
+            return F.try_variant_get(item, path, "string")
 
         has_function = jsontext.is_object(F.try_variant_get(item, "$.function", "variant"))
         return F.struct(

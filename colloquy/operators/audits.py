@@ -67,8 +67,11 @@ def corpus_recommendation(summary: DataFrame) -> DataFrame:
 def issue_histogram(audited: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Issues with their count and ``issue (Nx)`` text, most frequent first."""
     by = by or []
+    # The outer form: for the plain one Spark repeats the issue expressions, loop
+    # detection included, in a filter below.
     counts = (
-        audited.select(*by, F.explode("issues").alias("issue"))
+        audited.select(*by, F.explode_outer("issues").alias("issue"))
+        .where(F.col("issue").isNotNull())
         .groupBy(*by, "issue")
         .agg(F.count("*").alias("occurrences"))
     )

@@ -25,11 +25,12 @@ def pair_calls(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     return expected.join(guesses, CALL_KEY, "left")
 
 
-def _fields(arguments: Column) -> Column:
-    parsed = jsontext.strict_json(arguments)
+def _fields(parsed: Column) -> Column:
+    """Normalized values by key; an empty map for what is no object."""
+    values = F.try_variant_get(parsed, "$", "map<string,variant>")
     return F.coalesce(
-        F.try_variant_get(parsed, "$", "map<string,variant>"),
-        F.create_map().cast("map<string,variant>"),
+        F.transform_values(values, lambda key, value: _scalar(value)),
+        F.create_map().cast("map<string,string>"),
     )
 
 
@@ -54,37 +55,38 @@ def compare_calls(paired: DataFrame) -> DataFrame:
     shared = F.filter(
         F.map_keys(got),
         lambda key: F.map_contains_key(wanted, key)
-        & F.equal_null(
-            _scalar(F.try_element_at(wanted, key)), _scalar(F.try_element_at(got, key))
-        ),
+        & F.equal_null(F.try_element_at(wanted, key), F.try_element_at(got, key)),
     )
     right_name = F.coalesce(F.col("name") == F.col("predicted_name"), F.lit(False))
-    strict = F.coalesce(
-        F.to_json(jsontext.strict_json(F.col("arguments")))
-        == F.to_json(jsontext.strict_json(F.col("predicted_arguments"))),
-        F.lit(False),
-    )
+    same_json = F.to_json(F.col("_wanted_json")) == F.to_json(F.col("_got_json"))
     relaxed = (F.col("matching_keys") == F.col("expected_keys")) & (
         F.col("matching_keys") == F.col("predicted_keys")
     )
-    return (
-        paired.withColumns(
-            {"_wanted": _fields(F.col("arguments")), "_got": _fields(F.col("predicted_arguments"))}
-        )
-        .withColumns(
-            {
-                "decision_match": right_name,
-                "expected_keys": F.size(wanted),
-                "predicted_keys": F.size(got),
-                "matching_keys": F.size(shared),
-                "strict_match": right_name & strict,
-            }
-        )
-        .withColumn(
-            "relaxed_match",
-            F.col("decision_match") & relaxed & F.col("predicted_arguments").isNotNull(),
-        )
-        .drop("_wanted", "_got")
+    # Parsed in a step of its own, so that each text is parsed once.
+    parsed = paired.withColumns(
+        {
+            "_wanted_json": jsontext.strict_json(F.col("arguments")),
+            "_got_json": jsontext.strict_json(F.col("predicted_arguments")),
+        }
+    )
+    keyed = parsed.withColumns(
+        {
+            "_wanted": _fields(F.col("_wanted_json")),
+            "_got": _fields(F.col("_got_json")),
+            "decision_match": right_name,
+            "strict_match": right_name & F.coalesce(same_json, F.lit(False)),
+        }
+    )
+    counted = keyed.withColumns(
+        {
+            "expected_keys": F.size(wanted),
+            "predicted_keys": F.size(got),
+            "matching_keys": F.size(shared),
+        }
+    )
+    valid = F.col("_got_json").isNotNull()
+    return counted.withColumn("relaxed_match", F.col("decision_match") & relaxed & valid).drop(
+        "_wanted", "_got", "_wanted_json", "_got_json"
     )
 
 

@@ -9,7 +9,7 @@ from colloquy.functions import jsontext, rendering, toolcalls
 from colloquy.functions import messages as msg
 from colloquy.operators import examples
 from colloquy.plans.inputs import IRREGULAR_TURNS_SQL, irregular_turns, turns
-from colloquy.plans.registry import plan, table
+from colloquy.plans.registry import plan, spread_table, table
 
 # Calls derive from events: every third is nested, every eleventh has broken
 # arguments, every thirteenth none, every fifth an id of its own.
@@ -45,7 +45,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         nothing.alias("arguments"),
         F.struct(F.col("event_type").alias("name"), arguments.alias("arguments")).alias("function"),
     )
-    return table(spark, sf_dir, "events").select(
+    return spread_table(spark, sf_dir, "events", "event_id", "event_type", "props").select(
         "event_id", F.when(eid % 3 == 0, nested).otherwise(flat).alias("call")
     )
 
@@ -120,7 +120,7 @@ def canonical_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     compact = F.replace(F.col("props"), F.lit(": "), F.lit(":"))
     canonical = jsontext.canonical_json(compact)
     return (
-        table(spark, sf_dir, "events")
+        spread_table(spark, sf_dir, "events", "event_id", "props")
         .select("event_id", canonical.alias("canonical"))
         .withColumn("digest", F.md5("canonical"))
     )
@@ -222,7 +222,8 @@ def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, F.col("event_type"))
     )
     item = msg.message(F.lit("assistant"), content, tool_name=F.lit(" tool "))
-    return table(spark, sf_dir, "events").select("event_id", F.array(item).alias("items"))
+    events = spread_table(spark, sf_dir, "events", "event_id", "event_type", "props")
+    return events.select("event_id", F.array(item).alias("items"))
 
 
 def _embedded_result(df: DataFrame, family: str) -> DataFrame:

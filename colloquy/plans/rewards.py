@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import completions, rewards, text
 from colloquy.operators import audits, scoring
-from colloquy.plans.registry import plan, table
+from colloquy.plans.registry import plan, spread_table, table
 
-NAMES = ("format_exact", "format_approximate", "answer", "number")
+NAMES = tuple(name for name, _ in rewards.REWARDS)
 
 # Completions derive from whole lineitem rows: the guess is the quantity, the true
 # answer near or off it, and the shape varies with the part key.
@@ -85,8 +85,8 @@ def completion_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .otherwise(F.format_string("<think>count</think> then <SOLUTION>%d</SOLUTION>", q))
     )
-    return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
+    columns = ("l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
+    return spread_table(spark, sf_dir, "lineitem", *columns).select(
         "l_returnflag",
         "l_linestatus",
         kind.alias("kind"),
@@ -96,8 +96,7 @@ def completion_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = completion_rows(spark, sf_dir)
-    return scoring.score(rows, rewards.reward_columns(F.col("completion"), F.col("true_answer")))
+    return scoring.score(completion_rows(spark, sf_dir))
 
 
 @plan(
@@ -162,8 +161,7 @@ def paired_answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((tenths - tenths % 10) / 10).cast("bigint").cast("string").alias("true_answer"),
     )
     paired = guesses.join(truths, "example_id")
-    columns = rewards.reward_columns(F.col("completion"), F.col("true_answer"), tags)
-    return scoring.score(paired, columns).select("example_id", "true_answer", *NAMES)
+    return scoring.score(paired, tags=tags).select("example_id", "true_answer", *NAMES)
 
 
 @plan(
@@ -192,7 +190,7 @@ def hash_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Outputs derive from whole documents: a third end in a repeated tail, some repeat
 # a marker, the rest are as they are.
 OUTPUTS_SQL = """WITH outputs AS (
-  SELECT doc_id, lang, source, (['stop', 'length', 'eos', NULL])[doc_id % 4 + 1] AS done_reason,
+  SELECT doc_id, source, (['stop', 'length', 'eos', NULL])[doc_id % 4 + 1] AS done_reason,
     CASE WHEN doc_id % 9 < 2 THEN text || repeat('0123456789abc ', 4)
          WHEN doc_id % 9 = 2 THEN text || repeat(' it''s' || chr(10), 12)
          WHEN doc_id % 9 = 3 THEN text || repeat('Answer:' || doc_id, 6) || ' done and dusted'
@@ -226,9 +224,8 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .otherwise(body)
     )
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents", "doc_id", "source", "text").select(
         "doc_id",
-        "lang",
         "source",
         F.get(reasons, (doc % 4).cast("int")).alias("done_reason"),
         changed.alias("text"),
@@ -312,7 +309,7 @@ FROM flat"""
 )
 def text_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id",
         text.preview(body).alias("preview"),
         text.cut(body, 200).alias("cut_200"),

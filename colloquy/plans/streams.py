@@ -13,7 +13,7 @@ from colloquy.plans.inputs import (
     irregular_turns,
     masked_sql,
 )
-from colloquy.plans.registry import plan
+from colloquy.plans.registry import plan, table
 from colloquy.plans.rewards import AUDITED_SQL, outputs
 from colloquy.plans.supervised import SPEC
 from colloquy.session import scratch_dir
@@ -33,8 +33,8 @@ FROM rolled, closed WHERE window_start + INTERVAL 1 HOUR <= mark"""
 def stream_metric_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed hourly windows per key; the windows still open are not written yet."""
     root = scratch_dir(spark, "stream-rollup")
-    path = f"{sf_dir}/events.parquet"
-    events = jobs.read_arrivals(spark, path, spark.read.parquet(path).schema)
+    schema = table(spark, sf_dir, "events").schema
+    events = jobs.read_arrivals(spark, sf_dir, schema, names="events.parquet")
     # A watermark needs an instant; the wall-clock times of the file come back below.
     samples = events.select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"), "value"

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "colloquy", cpus: str | int = "*") -> SparkSession:
@@ -18,11 +18,23 @@ def local_session(app: str = "colloquy", cpus: str | int = "*") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8" if cpus == "*" else str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Test tables are small but their rows are costly; keep all cores busy.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", os.environ.get("COLLOQUY_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row-local work on an input of few file splits.
+
+    Row groups are the unit of a scan, so one small file keeps one core busy. An
+    input with at least as many splits as cores, any large one, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the shared folder the cluster names.
 

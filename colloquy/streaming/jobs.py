@@ -13,13 +13,18 @@ from colloquy.sources.storage import hadoop_uri
 
 
 def read_arrivals(
-    spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    *,
+    names: str = "*.parquet",
+    max_files: int | None = None,
 ) -> DataFrame:
-    """Parquet files as they arrive."""
-    reader = spark.readStream.schema(schema)
+    """Parquet files of matching name as they arrive in the folder."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", names)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(hadoop_uri(path))
+    return reader.parquet(hadoop_uri(folder))
 
 
 def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
