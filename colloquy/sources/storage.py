@@ -44,11 +44,16 @@ def write_text(spark: SparkSession, uri: str, text: str) -> None:
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(hadoop_uri(uri))
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stream = fs.create(path, True)
+    # No checksum file, so that other programs may edit the file later.
+    fs.setWriteChecksum(False)
     try:
-        stream.write(bytearray(text.encode("utf-8")))
+        stream = fs.create(path, True)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
     finally:
-        stream.close()
+        fs.setWriteChecksum(True)
 
 
 def exists(spark: SparkSession, uri: str) -> bool:
