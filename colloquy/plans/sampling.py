@@ -35,11 +35,11 @@ def seeded_eval_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan(
-    f"""SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal,
-  {PAGE + 1}::BIGINT AS next_index, count(*) OVER () / {PAGE_SIZE} + 1 AS page_count
-FROM documents
-QUALIFY row_number() OVER (ORDER BY doc_id) - 1 BETWEEN {PAGE * PAGE_SIZE} AND
-  {(PAGE + 1) * PAGE_SIZE - 1}"""
+    f"""WITH ranked AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal,
+  count(*) OVER () AS n FROM documents)
+SELECT doc_id, ordinal, (CASE WHEN n < {PAGE_SIZE} THEN 0 ELSE {PAGE + 1} END)::BIGINT AS next_index,
+  CASE WHEN n < {PAGE_SIZE} THEN 0 ELSE n / {PAGE_SIZE} + 1 END::DOUBLE AS page_count
+FROM ranked WHERE n < {PAGE_SIZE} OR ordinal // {PAGE_SIZE} = {PAGE}"""
 )
 def partition_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page of a table in key order."""

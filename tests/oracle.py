@@ -33,8 +33,15 @@ def _plain(value):
     return repr(value)
 
 
-def _kind(value) -> str:
-    return "none" if value is None else type(value).__name__
+# Spark type name -> DuckDB type name; the driver compares schemas too.
+TYPES = {
+    "string": "VARCHAR",
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
 
 
 def _rows(names: list[str], rows) -> list[tuple]:
@@ -54,6 +61,11 @@ def compare(spark, con, name: str, sf_dir: str) -> str | None:
     want = cursor.fetchall()
     if sorted(df.columns) != sorted(want_names):
         return f"columns {sorted(df.columns)} != {sorted(want_names)}"
+    kinds = {d[0]: str(d[1]) for d in cursor.description}
+    for field in df.schema.fields:
+        spark_type = TYPES.get(field.dataType.simpleString(), field.dataType.simpleString())
+        if kinds[field.name] != spark_type:
+            return f"type of {field.name}: {spark_type} != {kinds[field.name]}"
     if not want:
         return "the SQL gives no rows"
     left, right = _rows(df.columns, got), _rows(want_names, want)

@@ -1,4 +1,4 @@
-"""Every registered query against DuckDB on the smallest tables."""
+"""Every registered query against DuckDB on whole tables."""
 
 import pytest
 
@@ -6,7 +6,7 @@ import __spark_entry__ as entry_points
 from colloquy.plans import PLANS
 from tests.oracle import compare, connect
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -38,8 +38,8 @@ def test_flagship_anchor(spark):
 @pytest.mark.parametrize("parts", [1, 7])
 def test_partitioning_does_not_matter(spark, parts):
     from colloquy.operators.examples import single_turn
-    from colloquy.plans.supervised import SPEC
     from colloquy.operators.tokenization import tokenize
+    from colloquy.plans.supervised import SPEC
 
     turns = spark.read.parquet(f"{SF_DIR}/conversations.parquet")
 
