@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import jsontext, rendering, toolcalls
 from colloquy.functions import messages as msg
-from colloquy.operators import examples
-from colloquy.plans.inputs import IRREGULAR_TURNS_SQL, irregular_turns, turns
+from colloquy.plans.inputs import IRREGULAR_TURNS_SQL, budgeted_sql, irregular_turns, turns
 from colloquy.plans.registry import plan, spread_table, table
+from colloquy.plans.supervised import irregular_rows
 
 # Calls derive from events: every third is nested, every eleventh has broken
 # arguments, every thirteenth none, every fifth an id of its own.
@@ -334,19 +334,10 @@ def resolved_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-WINDOW_MESSAGES = 1 << 20
-CONTEXTS_SQL = f"""WITH {IRREGULAR_TURNS_SQL},
-ctx AS (
-  SELECT conv_id, turn, role, text,
-    coalesce(list({{'role': role, 'text': text}}) OVER w, []) AS items
-  FROM irregular WHERE text IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-targets AS (SELECT conv_id || '-' || turn AS example_id, items, text FROM ctx
-  WHERE role = 'assistant')"""
-
-
-def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return examples.single_turn(irregular_turns(spark, sf_dir), WINDOW_MESSAGES)
+CONTEXTS_SQL = (
+    budgeted_sql(IRREGULAR_TURNS_SQL)
+    + ", targets AS (SELECT example_id, items, target_text AS text FROM examples)"
+)
 
 
 @plan(
@@ -361,7 +352,7 @@ FROM targets"""
 def plain_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = rendering.PlainTemplate()
     full = F.concat("messages", F.array(msg.message(F.lit("assistant"), F.col("target_text"))))
-    return _contexts(spark, sf_dir).select(
+    return irregular_rows(spark, sf_dir).select(
         "example_id",
         F.md5(template.render(F.col("messages"), generation_prompt=True)).alias("prompt"),
         F.md5(template.render(full)).alias("full_text"),
@@ -433,7 +424,7 @@ def _recast(items: Column) -> Column:
 @plan(CHATML_SQL)
 def chatml_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ChatML prompts and full texts, with tool turns, tools and thinking switched off."""
-    rows = _contexts(spark, sf_dir).withColumn("items", _recast(F.col("messages")))
+    rows = irregular_rows(spark, sf_dir).withColumn("items", _recast(F.col("messages")))
     items = F.col("items")
     full = F.concat(items, F.array(msg.message(F.lit("assistant"), F.col("target_text"))))
     plain = rendering.ChatMLTemplate()
@@ -463,7 +454,7 @@ FROM targets WHERE len(items) > 0"""
 def system_merge_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """System text folded into the user turn where the template refuses it."""
     template = rendering.PlainTemplate(rejects_system=True)
-    rows = _contexts(spark, sf_dir).where(F.size("messages") > 0)
+    rows = irregular_rows(spark, sf_dir).where(F.size("messages") > 0)
     return rows.select(
         "example_id", F.md5(rendering.render_or_merge(template, F.col("messages"))).alias("rendered")
     )

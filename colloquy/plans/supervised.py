@@ -14,7 +14,9 @@ from colloquy.plans.inputs import (
     IRREGULAR_TURNS_SQL,
     MAX_SEQ_LEN,
     REGULAR_TURNS_SQL,
+    ROW_BUDGET,
     SEED,
+    budgeted_sql,
     examples_sql,
     id_sum,
     irregular_turns,
@@ -199,9 +201,6 @@ def budgeted_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REJECTED = "CASE WHEN has_system THEN 'chat_template_error' END"
-
-
 def with_missing_targets(df: DataFrame) -> DataFrame:
     """Rows without a target, for the shape check."""
     lost = F.col("session_id").cast("bigint") % 13 == 0
@@ -209,7 +208,7 @@ def with_missing_targets(df: DataFrame) -> DataFrame:
 
 
 CLASSIFIED_SQL = (
-    examples_sql(IRREGULAR_TURNS_SQL)
+    budgeted_sql(IRREGULAR_TURNS_SQL)
     + f""",
 classified AS (
   SELECT *, {split_sql("session_id")} AS split,
@@ -221,9 +220,14 @@ classified AS (
 )
 
 
+def irregular_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as a release holds them: the context within a budget and nothing else."""
+    rows = examples.budgeted(irregular_turns(spark, sf_dir), ROW_BUDGET)
+    return split_examples(rows.drop("omitted_tokens", "omitted_messages", "asked"))
+
+
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reach = 1 << 20  # the template check needs to see every message of a context
-    return tz.classify(with_missing_targets(irregular(spark, sf_dir, reach)), STRICT)
+    return tz.classify(with_missing_targets(irregular_rows(spark, sf_dir)), STRICT)
 
 
 @plan(CLASSIFIED_SQL + " SELECT example_id, split, drop_reason FROM classified")

@@ -63,9 +63,11 @@ def stream_tokenize(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        kept, dropped = valid_and_dropped(tokenize(batch, spec))
+        tokenized = tokenize(batch, spec).persist()
+        kept, dropped = valid_and_dropped(tokenized)
         for part, out in ((kept, kept_out), (dropped, dropped_out)):
             part.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        tokenized.unpersist()
 
     return _start(rows.writeStream.foreachBatch(write), checkpoint, available_now)
 
