@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,32 +43,24 @@ class CharTokenizer:
 class ArrowTokenizer:
     """A real tokenizer behind an Arrow function.
 
-    ``load`` runs once per Python worker and returns an object with ``encode(text)``
-    or a callable; either may return ids, or an object or dict with ids.
+    ``load`` runs once per Python worker and returns a function from a list of texts
+    to a list of id lists. Texts and ids travel as Arrow batches.
     """
 
     splits_by_character = False
 
-    def __init__(self, load: Callable[[], object]):
-        cache: dict[str, Callable] = {}
+    def __init__(self, load: Callable[[], Callable[[list[str]], list[list[int]]]]):
+        loaded: list[Callable] = []
 
-        def encoder() -> Callable:
-            if "encode" not in cache:
-                model = load()
-                cache["encode"] = model.encode if hasattr(model, "encode") else model
-            return cache["encode"]
-
-        def ids_of(result) -> list[int]:
-            if hasattr(result, "ids"):
-                return list(result.ids)
-            if isinstance(result, dict):
-                return list(result["input_ids"])
-            return list(result)
-
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def encode(texts: pd.Series) -> pd.Series:
-            run = encoder()
-            return texts.map(lambda t: None if t is None else ids_of(run(t)))
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def encode(texts: pa.Array) -> pa.Array:
+            if not loaded:
+                loaded.append(load())
+            values = texts.to_pylist()
+            present = [text for text in values if text is not None]
+            ids = iter(loaded[0](present) if present else [])
+            rows = [None if text is None else next(ids) for text in values]
+            return pa.array(rows, type=pa.list_(pa.int32()))
 
         self._encode = encode
 
@@ -79,6 +71,37 @@ class ArrowTokenizer:
         return F.size(self._encode(text))
 
 
+def tokenizer_file(path: str) -> ArrowTokenizer:
+    """A ``tokenizers`` JSON file that every worker can read; no special tokens added."""
+
+    def load():
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        return lambda texts: [
+            e.ids for e in model.encode_batch(texts, add_special_tokens=False)
+        ]
+
+    return ArrowTokenizer(load)
+
+
+def sentencepiece_file(path: str) -> ArrowTokenizer:
+    """A SentencePiece model file that every worker can read."""
+
+    def load():
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: model.encode(texts, num_threads=1)
+
+    return ArrowTokenizer(load)
+
+
+def each_text(encode: Callable[[str], list[int]]) -> Callable[[list[str]], list[list[int]]]:
+    """Adapt a function on one text to a list of texts."""
+    return lambda texts: [list(encode(text)) for text in texts]
+
+
 @dataclass(frozen=True)
 class Truncated:
     ids: Column

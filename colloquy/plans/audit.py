@@ -30,8 +30,8 @@ checked AS (
 
 def audited_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     ending = F.when(F.col("turn") % 3 == 1, " and so on").otherwise("")
-    ids = tok.CharTokenizer().encode(F.concat("text", ending))
-    rows = spread(turns(spark, sf_dir)).withColumn("input_ids", ids)
+    rows = spread(turns(spark, sf_dir)).withColumn("text", F.concat("text", ending))
+    rows = rows.withColumn("input_ids", tok.CharTokenizer().encode(F.col("text")))
     return audits.audit_sequences(rows, EOS)
 
 
@@ -99,6 +99,34 @@ def issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.issue_histogram(audited_turns(spark, sf_dir), ["role"])
 
 
+@plan(
+    AUDIT_SQL
+    + """, looped AS (
+  SELECT c.*, CASE WHEN length(s.text) >= 50 THEN list_filter(list_transform([10, 20, 30, 50],
+    lambda n: CASE WHEN length(s.text) >= n * 3 AND (length(s.text) -
+      length(replace(s.text, right(s.text, n), ''))) // n >= 3 THEN right(s.text, n) END),
+    lambda t: t IS NOT NULL)[1] END AS pattern
+  FROM checked c JOIN said s USING (conv_id, turn))
+SELECT conv_id, turn, coalesce(n - list_max(pos) <= 2, false) AS stopped_at_eos,
+  pattern IS NOT NULL AS detected_loop,
+  CASE WHEN pattern IS NULL AND NOT coalesce(n - list_max(pos) <= 2, false)
+    THEN 'Generation reached max_new_tokens without EOS'
+    WHEN pattern IS NOT NULL THEN 'loop' ELSE '' END AS issue
+FROM looped"""
+)
+def token_stop_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop and loop flags of messages judged by their token ids."""
+    audited = audits.audit_by_tokens(audited_turns(spark, sf_dir), EOS, ids="input_ids")
+    issue = F.array_join("issues", " | ")
+    return audited.select(
+        "conv_id",
+        "turn",
+        "stopped_at_eos",
+        "detected_loop",
+        F.when(F.col("detected_loop"), "loop").otherwise(issue).alias("issue"),
+    )
+
+
 DIAGNOSED = 100
 
 

@@ -197,6 +197,23 @@ def split_file_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.col("file_pos").cast("int").alias("file_pos"), "split", "uri")
 
 
+@plan(
+    """SELECT o_orderkey, sha256('{"dataset_id": "é' || o_orderpriority || '", "dataset_version": "' ||
+  o_custkey || '"}') AS manifest_sha256, 'é' || o_orderpriority AS dataset_id,
+  o_custkey::VARCHAR AS dataset_version FROM orders"""
+)
+def manifest_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest and identity of manifest texts."""
+    body = F.format_string(
+        '{"dataset_id": "é%s", "dataset_version": "%d"}', "o_orderpriority", "o_custkey"
+    )
+    texts = table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"))
+    parsed = mf.parse_manifest(texts, "body")
+    names = ("dataset_id", "dataset_version")
+    fields = [F.try_variant_get("manifest", f"$.{n}", "string").alias(n) for n in names]
+    return parsed.select("o_orderkey", "manifest_sha256", *fields)
+
+
 @plan(
     """SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN false ELSE true END AS matches
 FROM customer"""

@@ -338,6 +338,57 @@ def fit_metric_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record.withColumn("value", F.round("value", 6))
 
 
+BYTES_LIMIT = 3000
+BYTES = tz.assistant_only(
+    BYTES_LIMIT, tokenizer=tok.ArrowTokenizer(lambda: tok.each_text(lambda t: t.encode("utf-8")))
+)
+
+
+@plan(
+    budgeted_sql(IRREGULAR_TURNS_SQL)
+    + f""",
+kept AS (
+  SELECT example_id, array_to_string(list_append(lines, 'assistant:'), chr(10)) AS prompt,
+    array_to_string(list_append(lines, 'assistant:' || target_text), chr(10)) AS whole
+  FROM examples WHERE n_context > 0 AND asked),
+coded AS (
+  SELECT example_id, strlen(prompt) AS prompt_n, strlen(whole) AS n, hex(encode(whole)) AS code
+  FROM kept),
+placed AS (
+  SELECT *, greatest(n - {BYTES_LIMIT}, 0) AS over, list_transform(
+    range(greatest(n - {BYTES_LIMIT}, 0), n), lambda i: ('0x' || substr(code, 2 * i + 1, 2))::BIGINT)
+    AS ids FROM coded)
+SELECT example_id, len(ids)::INTEGER AS n_tokens, greatest(prompt_n - over, 0)::INTEGER AS prompt_len,
+  (over > 0)::INTEGER AS is_truncated, list_sum(ids)::BIGINT AS id_sum,
+  list_sum(list_transform(ids, lambda x, i: x * i))::BIGINT AS id_positions
+FROM placed"""
+)
+def byte_token_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokenization through Arrow, with a byte per token."""
+    return _arrow_masks(spark, sf_dir, BYTES)
+
+
+@plan()
+def bpe_token_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokenization with a byte-pair vocabulary from a file; not expressible in SQL."""
+    import public_tokenizers
+
+    tokenizer = tok.tokenizer_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return _arrow_masks(spark, sf_dir, tz.assistant_only(1024, tokenizer=tokenizer))
+
+
+def _arrow_masks(spark: SparkSession, sf_dir: str, spec: tz.TokenizeSpec) -> DataFrame:
+    kept, _ = tz.valid_and_dropped(tz.tokenize(irregular_rows(spark, sf_dir), spec))
+    return kept.select(
+        "example_id",
+        "n_tokens",
+        "prompt_len",
+        "is_truncated",
+        id_sum("input_ids").alias("id_sum"),
+        position_sum("input_ids").alias("id_positions"),
+    )
+
+
 MASK_SQL = """
 SELECT example_id, split, len(ids)::INTEGER AS n_tokens,
   least(prompt_len, len(ids))::INTEGER AS prompt_len, is_truncated,

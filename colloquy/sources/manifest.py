@@ -32,10 +32,16 @@ def read_manifest(spark: SparkSession, uri: str) -> DataFrame:
     Text that is not a JSON object makes the row fail when it is read.
     """
     raw = spark.read.text(hadoop_uri(uri), wholetext=True)
-    parsed = raw.select(
-        F.lit(uri).alias("manifest_uri"),
-        F.sha2("value", 256).alias("manifest_sha256"),
-        jsontext.strict_json(F.col("value")).alias("manifest"),
+    return parse_manifest(raw.withColumn("manifest_uri", F.lit(uri)), "value")
+
+
+def parse_manifest(texts: DataFrame, text: str) -> DataFrame:
+    """Replace the text column by its digest and the parsed object."""
+    others = [name for name in texts.columns if name != text]
+    parsed = texts.select(
+        *others,
+        F.sha2(text, 256).alias("manifest_sha256"),
+        jsontext.strict_json(F.col(text)).alias("manifest"),
     )
     checked = F.when(jsontext.is_object(F.col("manifest")), F.col("manifest")).otherwise(
         F.raise_error(F.lit("manifest must be a JSON object")).cast("variant")

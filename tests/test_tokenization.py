@@ -148,15 +148,13 @@ def test_thinking_is_switched_off_for_one_family_only(spark):
         assert ("<think>\n\n</think>" in tz.classify(sft(spark, BASIC), spec).first().prompt_text) == expected
 
 
-class Words:
-    """A tokenizer whose ids are not one per character."""
-
-    def encode(self, text):
-        return [len(word) for word in text.split(" ")]
+def word_lengths(text):
+    """Ids that are not one per character."""
+    return [len(word) for word in text.split(" ")]
 
 
 def test_arrow_tokenizer(spark):
-    spec = tz.assistant_only(3, tokenizer=tok.ArrowTokenizer(Words))
+    spec = tz.assistant_only(3, tokenizer=tok.ArrowTokenizer(lambda: tok.each_text(word_lengths)))
     row = {"messages": [say("user", "one three five")], "target_text": "and more words"}
     r = tz.tokenize(sft(spark, row), spec).first()
     # user:one three five\nassistant:and more words -> 8, 5, 18, 4, 5
@@ -165,17 +163,23 @@ def test_arrow_tokenizer(spark):
     assert r.labels == [-100, 4, 5]
 
 
-def test_real_tokenizer_library(spark):
-    def load():
-        from tokenizers import Tokenizer, models, pre_tokenizers
-
-        model = Tokenizer(models.WordLevel({"[UNK]": 0, "hi": 7, "user": 8}, unk_token="[UNK]"))
-        model.pre_tokenizer = pre_tokenizers.Whitespace()
-        return model
-
-    spec = tz.TokenizeSpec(64, "full_conversation", tokenizer=tok.ArrowTokenizer(load))
-    row = {"messages": [say("user", "hi")], "target_text": "hi"}
-    assert tz.tokenize(sft(spark, row), spec).first().input_ids == [8, 0, 7, 0, 0, 7]
+def test_tokenizer_files(spark):
+    public = pytest.importorskip("public_tokenizers")
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    row = {"messages": [say("user", "Where do the Élan files go?")], "target_text": "Into the folder 😀."}
+    text = "user:Where do the Élan files go?\nassistant:Into the folder 😀."
+    rows = sft(spark, row, {"messages": [], "target_text": "dropped"})
+    spec = tz.TokenizeSpec(999, "full_conversation", tokenizer=tok.tokenizer_file(path))
+    kept, dropped = tz.valid_and_dropped(tz.tokenize(rows, spec))
+    assert kept.first().input_ids == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert dropped.first().input_ids == []
+    path = public.path("piece_bpe_32k.model")
+    spec = tz.TokenizeSpec(999, "full_conversation", tokenizer=tok.sentencepiece_file(path))
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert tz.tokenize(sft(spark, row), spec).first().input_ids == model.encode(text)
 
 
 def test_pad_batches(spark):
