@@ -143,7 +143,8 @@ FROM g JOIN t USING (o_orderkey)"""
 def paired_answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guesses joined to true answers on an explicit id, with the other tag set."""
     tags = rewards.WORKING_OUT_TAGS
-    orders = table(spark, sf_dir, "orders")
+    columns = ("o_orderkey", "o_orderpriority", "o_totalprice", "o_custkey")
+    orders = spread_table(spark, sf_dir, "orders", *columns)
     price = F.floor("o_totalprice").cast("bigint")
     guesses = orders.select(
         F.col("o_orderkey").alias("example_id"),
@@ -179,8 +180,9 @@ def hash_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 2, F.format_string("%d####", q))
         .otherwise(F.format_string("%d ### none", q))
     )
+    columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     return (
-        table(spark, sf_dir, "lineitem")
+        spread_table(spark, sf_dir, "lineitem", *columns)
         .select("l_orderkey", "l_linenumber", q.alias("q"), rewards.hash_answer(worked).alias("answer"))
         .groupBy("l_orderkey", "l_linenumber", "q", "answer")
         .agg(F.count("*").alias("rows"))
