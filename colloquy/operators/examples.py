@@ -13,11 +13,14 @@ further back, so tokenizing such an example equals tokenizing the full one.
 Conversations longer than a block are cut into blocks of turns. Totals of earlier
 blocks come from a small pre-aggregated table; the last turns of a block are copied
 to the next one as context. The work of a task is then bounded by the block size.
+Turns are numbered first there, since unusable ones and gaps in ``turn`` would let the
+context reach further back than the copied turns. That is a second shuffle, which only
+tables with such conversations pay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from colloquy.functions import messages as msg
@@ -54,6 +57,27 @@ def _measured(turns: DataFrame, tokens: Column | None) -> DataFrame:
     )
 
 
+def _earlier_blocks() -> WindowSpec:
+    return (
+        Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+
+
+def _numbered(turns: DataFrame, size: int) -> DataFrame:
+    """Add ``_position``: 0, 1, 2 ... in the order of ``turn``, whatever gaps it has."""
+    blocks = turns.withColumn("_block", F.floor(F.col("turn") / size).cast("bigint"))
+    counts = blocks.groupBy("conv_id", "_block").agg(F.count("*").alias("_n"))
+    bases = counts.select(
+        "conv_id", "_block", F.sum("_n").over(_earlier_blocks()).alias("_base")
+    ).where(F.col("_base") > 0)
+    rank = F.row_number().over(Window.partitionBy("conv_id", "_block").orderBy("turn"))
+    return (
+        blocks.join(bases, ["conv_id", "_block"], "left")
+        .withColumn("_position", F.coalesce(F.col("_base"), F.lit(0)) + rank - 1)
+        .drop("_block", "_base")
+    )
+
+
 def _with_prefix(turns: DataFrame, reach: int, long: bool) -> DataFrame:
     """Add running totals before each turn: ``_start`` tokens, ``_turns``, ``_asked``.
 
@@ -72,16 +96,15 @@ def _with_prefix(turns: DataFrame, reach: int, long: bool) -> DataFrame:
         )
 
     size, halo = block_turns(reach), reach + 2
-    own = F.floor(F.col("turn") / size).cast("bigint")
+    turns = _numbered(turns, size)
+    own = F.floor(F.col("_position") / size).cast("bigint")
     blocks = turns.withColumn("_block", own)
     totals = blocks.groupBy("conv_id", "_block").agg(
         F.sum("_tokens").alias("_tokens"),
         F.count("*").alias("_turns"),
         F.max("_asks").alias("_asks"),
     )
-    earlier = (
-        Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    earlier = _earlier_blocks()
     bases = totals.select(
         "conv_id",
         "_block",
@@ -90,13 +113,13 @@ def _with_prefix(turns: DataFrame, reach: int, long: bool) -> DataFrame:
         F.max("_asks").over(earlier).alias("_base_asked"),
     ).where(F.col("_block") > 0)
 
-    ends_block = F.col("turn") % size >= size - halo
+    ends_block = F.col("_position") % size >= size - halo
     copies = F.when(ends_block, F.array(own, own + 1)).otherwise(F.array(own))
     spread = turns.withColumn("_block", F.explode(copies)).withColumn(
         "_halo", F.col("_block") != own
     )
     group = Window.partitionBy("conv_id", "_block")
-    before = group.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy("_position").rowsBetween(Window.unboundedPreceding, -1)
     in_halo = F.when(F.col("_halo"), F.col("_tokens"))
     joined = spread.join(bases, ["conv_id", "_block"], "left")
     base_tokens = F.coalesce(F.col("_base_tokens"), F.lit(0)) - F.coalesce(
@@ -190,11 +213,13 @@ def budgeted(
     return _as_examples(_with_context(prefixed, "_start", room), target_mode)
 
 
-def merge_consecutive_assistant(turns: DataFrame, *, reach: int = 2048, long: bool | None = None) -> DataFrame:
+def merge_consecutive_assistant(
+    turns: DataFrame, *, reach: int = 2048, long: bool | None = None
+) -> DataFrame:
     """Join runs of assistant turns with a blank line between; other turns pass.
 
-    A merged turn takes the position of its last part, so positions still grow at
-    least as fast as tokens do.
+    A merged turn takes the position of its last part. Conversations longer than a
+    block of ``reach`` are worked on in blocks; the result does not depend on it.
     """
     long = has_long_conversations(turns, reach) if long is None else long
     size = block_turns(reach)

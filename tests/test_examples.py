@@ -7,8 +7,11 @@ import pytest
 from colloquy.operators import examples
 
 
-def conversations(seed, sparse=False):
-    """A few short conversations and one that spans many blocks."""
+def conversations(seed):
+    """A few short conversations and one that spans many blocks.
+
+    Turn numbers have gaps, small and large, and some turns have no text.
+    """
     rng = random.Random(seed)
     rows = []
     for conv, n in ((1, 400), (2, 7), (3, 1), (4, 97)):
@@ -16,8 +19,8 @@ def conversations(seed, sparse=False):
         for _ in range(n):
             role = rng.choice(["user", "assistant", "assistant", "system"])
             text = "".join(rng.choice("ab ") for _ in range(rng.choice([0, 1, 3, 30])))
-            rows.append((conv, turn, role, text))
-            turn += 1
+            rows.append((conv, turn, role, text if rng.random() < 0.8 else None))
+            turn += rng.choice([1, 1, 1, 2, 200])
     return rows
 
 
@@ -28,7 +31,7 @@ def frame(spark, rows):
 def walk(rows):
     """``(conv, turn, earlier turns, text)`` of every assistant turn."""
     by_conv = {}
-    for conv, turn, role, text in sorted(rows):
+    for conv, turn, role, text in sorted(r for r in rows if r[3] is not None):
         by_conv.setdefault(conv, []).append((turn, role, text))
     for conv, items in by_conv.items():
         for i, (turn, role, text) in enumerate(items):
@@ -83,7 +86,7 @@ def test_budget_keeps_newest_that_fit(spark, long, budget, overhead):
 
 def merged(rows):
     out = []
-    for conv, turn, role, text in sorted(rows):
+    for conv, turn, role, text in sorted(r for r in rows if r[3] is not None):
         last = out[-1] if out else None
         if last and last[0] == conv and role == "assistant" == last[2]:
             out[-1] = (conv, turn, role, last[3] + "\n\n" + text, last[4] + 1)
