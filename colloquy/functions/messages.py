@@ -28,10 +28,19 @@ def message(
     )
 
 
-def _parsed_content(item: Column) -> Column:
+def _parsed_content(role: Column, content: Column) -> Column:
     """Assistant content that may embed calls, parsed; null for all other messages."""
-    opens = item["content"].rlike(rf"(?U)\A{text.WHITESPACE}*\{{")
-    return F.when((item["role"] == "assistant") & opens, jsontext.strict_json(item["content"]))
+    opens = content.rlike(rf"(?U)\A{text.WHITESPACE}*\{{")
+    return F.when((role == "assistant") & opens, jsontext.strict_json(content))
+
+
+def _holds_calls(parsed: Column) -> Column:
+    return F.try_variant_get(parsed, "$.tool_calls", "variant").isNotNull()
+
+
+def embeds_calls(role: Column, content: Column) -> Column:
+    """Whether the content becomes structured calls, leaving a message without content."""
+    return _holds_calls(_parsed_content(role, content))
 
 
 def _normalize(
@@ -42,7 +51,6 @@ def _normalize(
     keep_null_content: bool,
 ) -> Column:
     role, content = item["role"], item["content"]
-    is_embedded = F.try_variant_get(parsed, "$.tool_calls", "variant").isNotNull()
     if nested_calls is None:
         embedded = toolcalls.embedded_calls(parsed, family)
     else:
@@ -56,7 +64,7 @@ def _normalize(
     usable = role.isNotNull() & content.isNotNull()
     if keep_null_content:
         usable = role.isNotNull() & (content.isNotNull() | own_calls.isNotNull())
-    return F.when(is_embedded, message(role, F.lit(None), embedded)).when(
+    return F.when(_holds_calls(parsed), message(role, F.lit(None), embedded)).when(
         usable, message(role, content, own_calls, tool_name, name)
     )
 
@@ -81,7 +89,10 @@ def normalize_messages(items: Column, family: str, *, keep_null_content: bool =
     """Normalize a message list and prune the unusable ones."""
     # Content is parsed in a step of its own, so that each text is parsed once.
     staged = F.transform(
-        items, lambda item: F.struct(item.alias("item"), _parsed_content(item).alias("parsed"))
+        items,
+        lambda item: F.struct(
+            item.alias("item"), _parsed_content(item["role"], item["content"]).alias("parsed")
+        ),
     )
     if toolcalls.is_nested_family(family):
         contents = F.transform(items, lambda item: item["content"])

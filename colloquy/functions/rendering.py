@@ -22,6 +22,11 @@ class PlainTemplate:
     rejects_system: bool = False
     name: str = "plain"
 
+    @property
+    def renders_tails(self) -> bool:
+        """Whether the text of the last messages is the end of the whole text."""
+        return not self.rejects_system
+
     @staticmethod
     def line(role: Column, content: Column) -> Column:
         return F.concat(role, F.lit(":"), F.coalesce(content, F.lit("None")))
@@ -69,6 +74,7 @@ class ChatMLTemplate:
     system: str | None = None
     tools: tuple[str, ...] = ()
     name: str = "chatml"
+    renders_tails = False  # system messages move to the head
 
     def error(self, items: Column) -> Column:
         return F.lit(None).cast("string")

@@ -31,8 +31,12 @@ BLOCK_REACHES = 4
 
 
 def line_tokens(role: Column, content: Column) -> Column:
-    """Tokens of one message as a ``role:content`` line with its line break."""
-    return F.length(role) + F.length(content) + 2
+    """Tokens of one message as a ``role:content`` line with its line break.
+
+    Content that embeds tool calls is rendered as a missing one.
+    """
+    shown = F.when(msg.embeds_calls(role, content), F.lit(len("None"))).otherwise(F.length(content))
+    return F.length(role) + shown + 2
 
 
 def block_turns(reach: int) -> int:

@@ -62,7 +62,12 @@ def classify(df: DataFrame, spec: TokenizeSpec) -> DataFrame:
     Rows from the example builder may carry ``omitted_messages``, ``omitted_tokens``
     and ``asked``: exact totals of context that truncation would cut anyway.
     """
-    kind = f"struct<{msg.MESSAGE.simpleString()[7:-1]}>"
+    if "omitted_tokens" in df.columns and not spec.template.renders_tails:
+        raise ValueError(
+            "contexts that were shortened for truncation need a template that renders line by "
+            "line; use budgeted contexts and drop their omitted_* columns"
+        )
+    kind = msg.MESSAGE.simpleString()
     target_text = _or_null(df, "target_text", "string")
     normalize = lambda item: msg.normalize_message(
         item, spec.family, keep_null_content=spec.keep_null_content
@@ -297,7 +302,9 @@ def drop_report(classified: DataFrame, split: str = "split") -> DataFrame:
         _or_null(classified, "example_id", "string").alias("example_id"),
         _or_null(classified, "session_id", "string").alias("session_id"),
         _or_null(classified, "target_turn_index", "int").alias("target_turn_index"),
-        F.size(prompt).alias("message_count"),
+        (
+            F.size(prompt) + F.coalesce(_or_null(classified, "omitted_messages", "int"), F.lit(0))
+        ).cast("int").alias("message_count"),
         roles.alias("role_sequence"),
         F.try_element_at(speakers, F.lit(-1)).alias("last_non_system_role"),
         preview(target).alias("target_preview"),

@@ -211,8 +211,8 @@ def _load(
         if not uris:
             raise ValueError(f"no files in manifest split {name!r}")
         if cache_mode == "refresh":
-            for u in uris:
-                spark.catalog.refreshByPath(hadoop_uri(u))
+            for folder in sorted({posixpath.dirname(u) for u in uris}):
+                spark.catalog.refreshByPath(hadoop_uri(folder))
         raw = scan_split(spark, uris, None, limit)
         if required:
             check_columns(raw, name, required)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,9 @@ def write_release(
 
     written = spark.read.parquet(hadoop_uri(folder))
     per_file = (
-        written.groupBy(F.col(split).cast("string").alias("split"), F.col("_metadata.file_path").alias("path"))
+        written.groupBy(
+            F.col(split).cast("string").alias("split"), F.col("_metadata.file_path").alias("path")
+        )
         .agg(F.count("*").alias("rows"))
         .orderBy("split", "path")
         .collect()
@@ -50,7 +53,8 @@ def write_release(
     key_root = folder if "://" not in root else folder.split("://", 1)[1].split("/", 1)[1]
     keys = []
     for row in per_file:
-        inside = row["path"].split(f"dataset_version={dataset_version}/", 1)[1]
+        path = unquote(row["path"])  # scan metadata gives file paths as URIs
+        inside = path.split(f"dataset_version={dataset_version}/", 1)[1]
         key = f"{key_root}/{inside}" if root.startswith(("s3://", "s3a://")) else inside
         keys.append({"split": row["split"], "key": key})
     totals: dict[str, int] = {}

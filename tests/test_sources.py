@@ -163,6 +163,15 @@ def test_release_round_trip_with_governance(spark, tmp_path):
         release.write_release(rows, str(tmp_path), "pairs", "v1")
 
 
+def test_release_names_with_special_characters(spark, tmp_path):
+    rows = spark.range(6).select(
+        F.col("id").cast("string").alias("example_id"), F.lit("x").alias("target_text"),
+        F.when(F.col("id") < 2, "e:v/l").otherwise("tr ain").alias("split"))
+    uri = release.write_release(rows, str(tmp_path), "a b", "v1 é+%")
+    got = mf.load_sft_release(spark, uri, train_split="tr ain", eval_split="e:v/l")
+    assert got.split("tr ain").count() == 4 and got.split("e:v/l").count() == 2
+
+
 def test_records_append(spark, tmp_path):
     rows = spark.createDataFrame([("param", "a", "1")], "kind string, key string, value string")
     for _ in range(2):

@@ -121,6 +121,31 @@ def test_template_error_is_a_drop_reason(spark):
     assert tz.drop_report(tz.classify(sft(spark, BASIC), spec)).first().error_type == "TemplateError"
 
 
+def test_shortened_contexts_tokenize_like_whole_ones(spark):
+    import random
+
+    from colloquy.operators.examples import single_turn
+
+    rng = random.Random(9)
+    texts = ['{"tool_calls": [{"name": "f"}]}', "hello", "", "x" * 50, '{"a": 1}', " \n"]
+    rows = [(c, t, rng.choice(["user", "assistant", "assistant", "system"]), rng.choice(texts))
+            for c in range(20) for t in range(rng.randrange(1, 30))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for limit in (5, 60, 400):
+        spec = tz.assistant_only(limit)
+        names = ("example_id", "drop_reason", "input_ids", "labels", "is_truncated", "prompt_len")
+
+        def shown(reach, long):
+            out = tz.tokenize(single_turn(turns, reach, long=long), spec)
+            return sorted(map(tuple, out.select(*names).collect()))
+
+        whole = shown(100_000, False)
+        assert shown(limit, False) == whole
+        assert shown(limit, True) == whole
+    with pytest.raises(ValueError, match="line by line"):
+        tz.tokenize(single_turn(turns, 9), tz.assistant_only(9, template=ChatMLTemplate()))
+
+
 def test_empty_result_guard(spark):
     spec = tz.assistant_only(64)
     rows = tz.tokenize(sft(spark, {"messages": [say("assistant", "x")], "target_text": "y"}), spec)
