@@ -152,6 +152,25 @@ class ChatMLTemplate:
         return F.concat(self._head(items), turns, tail)
 
 
+    def exchange(
+        self, prompt: Column, response: Column | None = None, system: Column | None = None
+    ) -> Column:
+        """One prompt and its response, if any; blank parts are left out."""
+
+        def part(opening: str, value: Column | None, closing: str) -> Column:
+            if value is None:
+                return F.lit("")
+            text = F.concat(F.lit(opening), value, F.lit(closing))
+            return F.when(value != "", text).otherwise(F.lit(""))
+
+        return F.concat(
+            part(f"{IM_START}system\n", system, f"{IM_END}\n"),
+            part(f"{IM_START}user\n", prompt, f"{IM_END}\n"),
+            F.lit(f"{IM_START}assistant\n"),
+            part("", response, IM_END),
+        )
+
+
 def render_or_merge(template, items: Column) -> Column:
     """Render; if the template refuses the system message, merge it and render that."""
     merged = msg.merge_system_into_user(items)

@@ -440,6 +440,22 @@ def chatml_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan(
+    """SELECT conv_id, turn, md5(CASE WHEN turn % 2 = 0 THEN '<|im_start|>system' || chr(10) || role ||
+    '<|im_end|>' || chr(10) ELSE '' END || '<|im_start|>user' || chr(10) || text || '<|im_end|>' ||
+  chr(10) || '<|im_start|>assistant' || chr(10) ||
+  CASE WHEN turn % 3 = 0 THEN '' ELSE text || '<|im_end|>' END) AS rendered FROM conversations"""
+)
+def chatml_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single prompts with and without a system text and a response."""
+    rendered = rendering.ChatMLTemplate().exchange(
+        F.col("text"),
+        F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")),
+        F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(""),
+    )
+    return turns(spark, sf_dir).select("conv_id", "turn", F.md5(rendered).alias("rendered"))
+
+
 @plan(
     CONTEXTS_SQL
     + """ SELECT example_id, CASE

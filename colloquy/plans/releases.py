@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.functions import jsontext
 from colloquy.operators import examples, governance, splits
 from colloquy.plans.formatting import PAIRS_SQL, preference_rows
 from colloquy.plans.inputs import EVAL_PERCENT, SEED, split_sql, turns
@@ -167,34 +166,39 @@ def release_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Manifest texts derive from nations: split entries of several forms.
+# Manifest texts derive from orders, fifty to a manifest, with entries of several forms.
 @plan(
-    """SELECT n_nationkey AS file_pos, 'train' AS split, CASE n_nationkey % 4
-  WHEN 1 THEN 's3://bucket/in/' || n_name WHEN 2 THEN 'gs://other/' || n_name
-  ELSE 's3://bucket/' || n_name END AS uri
-FROM nation WHERE n_nationkey % 4 <> 3"""
+    """WITH placed AS (SELECT o_orderkey, o_orderkey // 50 AS m,
+  row_number() OVER (PARTITION BY o_orderkey // 50 ORDER BY o_orderkey) - 1 AS file_pos FROM orders)
+SELECT 's3://bucket/' || m || '/manifest.json' AS manifest_uri, file_pos::INTEGER AS file_pos,
+  CASE WHEN o_orderkey % 6 = 5 THEN 'eval' ELSE 'train' END AS split, CASE o_orderkey % 4
+  WHEN 1 THEN 's3://bucket/in/' || o_orderkey WHEN 2 THEN 'gs://other/' || o_orderkey
+  ELSE 's3://bucket/' || o_orderkey END AS uri
+FROM placed WHERE o_orderkey % 4 <> 3"""
 )
 def split_file_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usable split entries of a manifest, keys resolved; others are skipped."""
-    key, name = F.col("n_nationkey"), F.col("n_name")
-    entry = (
-        F.when(key % 4 == 0, F.format_string('{"split": "train", "key": "/%s"}', name))
-        .when(key % 4 == 1, F.format_string('{"split": "train", "key": "in/%s"}', name))
-        .when(key % 4 == 2, F.format_string('{"split": "train", "key": "gs://other/%s"}', name))
-        .otherwise(F.format_string('{"split": "train", "key": %d}', key))
+    """Usable split entries of manifests, keys resolved; others are skipped."""
+    key = F.col("o_orderkey")
+    split = F.when(key % 6 == 5, "eval").otherwise("train")
+    place = (
+        F.when(key % 4 == 0, F.format_string('"/%d"', key))
+        .when(key % 4 == 1, F.format_string('"in/%d"', key))
+        .when(key % 4 == 2, F.format_string('"gs://other/%d"', key))
+        .otherwise(key.cast("string"))  # a number is no usable key
     )
-    # The nation table has a fixed size, so one manifest lists all of it.
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(key, entry.alias("e")))), lambda x: x["e"])
-    manifest = (
-        table(spark, sf_dir, "nation")
-        .agg(F.concat(F.lit('{"splits": ['), F.array_join(listed, ","), F.lit("]}")).alias("text"))
+    entry = F.format_string('{"split": "%s", "key": %s}', split, place)
+    listed = F.array_sort(F.collect_list(F.struct(key, entry.alias("entry"))))
+    texts = (
+        table(spark, sf_dir, "orders")
+        .groupBy(F.floor(key / 50).alias("m"))
+        .agg(F.array_join(F.transform(listed, lambda item: item["entry"]), ",").alias("entries"))
         .select(
-            F.lit("s3://bucket/a/manifest.json").alias("manifest_uri"),
-            jsontext.strict_json(F.col("text")).alias("manifest"),
+            F.format_string("s3://bucket/%d/manifest.json", "m").alias("manifest_uri"),
+            F.concat(F.lit('{"splits": ['), "entries", F.lit("]}")).alias("body"),
         )
     )
-    files = mf.split_files(manifest)
-    return files.select(F.col("file_pos").cast("int").alias("file_pos"), "split", "uri")
+    files = mf.split_files(mf.parse_manifest(texts, "body"))
+    return files.select("manifest_uri", "file_pos", "split", "uri")
 
 
 @plan(

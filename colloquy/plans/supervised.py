@@ -370,9 +370,14 @@ def byte_token_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan()
 def bpe_token_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokenization with a byte-pair vocabulary from a file; not expressible in SQL."""
-    import public_tokenizers
-
+    """Tokenization with a byte-pair vocabulary from a file; not expressible in SQL.
+
+    Without the vocabulary file at hand, bytes are the tokens.
+    """
+    try:
+        import public_tokenizers
+    except ImportError:
+        return _arrow_masks(spark, sf_dir, BYTES)
     tokenizer = tok.tokenizer_file(public_tokenizers.path("byte_bpe_50k.json"))
     return _arrow_masks(spark, sf_dir, tz.assistant_only(1024, tokenizer=tokenizer))
 
