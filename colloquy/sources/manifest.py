@@ -5,8 +5,9 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,58 +106,71 @@ def split_files(manifest: DataFrame) -> DataFrame:
     return named.withColumn("uri", resolve_uri(F.col("manifest_uri"), F.col("key")))
 
 
-def _comparable(path: Column) -> Column:
-    """File path without scheme variants and escapes, to match scan metadata."""
-    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    local = F.regexp_replace(decoded, r"\Afile:/+", "/")
-    return F.regexp_replace(local, r"\As3a?n?://", "s3://")
-
-
 def _normal(uri: str) -> str:
-    """Local path without ``.`` and ``..`` parts, as file systems report it."""
+    """Address without scheme variants and ``.`` or ``..`` parts."""
+    for scheme in ("s3a://", "s3n://", "s3://"):
+        if uri.startswith(scheme):
+            return "s3://" + uri[len(scheme) :]
+    if uri.startswith("file:"):
+        uri = "/" + uri[len("file:") :].lstrip("/")
     return uri if "://" in uri else posixpath.abspath(uri)
 
 
-def scan_split(
-    spark: SparkSession, uris: Sequence[str], schema: T.StructType | None, limit: int | None = None
-) -> DataFrame:
-    """Rows of the files with their order ``(file_pos, row_index)``.
+def _read(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
+    return spark.read.parquet(*[hadoop_uri(u) for u in uris])
+
+
+def rows_per_file(spark: SparkSession, uris: Sequence[str]) -> dict[str, int]:
+    """Row counts by normalized address, from file footers only."""
+    counts = (
+        _read(spark, uris)
+        .groupBy(F.col("_metadata.file_path").alias("path"))
+        .agg(F.count("*").alias("rows"))
+        .collect()  # one row per listed file, and the list is a manifest's
+    )
+    return {_normal(unquote(row["path"])): row["rows"] for row in counts}
+
+
+def scan_split(spark: SparkSession, uris: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Rows of the files; with a limit, the first ones in manifest and file order.
 
-    With a limit, the first rows in that order: a row's position is the rows in
-    earlier files plus its index in its own, so no sort is needed.
+    A limit is a choice of files: those that fit whole, and the head of the next one.
+    No other file is read, and nothing is sorted.
     """
     if not uris:
         raise ValueError("no split files")
-    raw = spark.read.parquet(*[hadoop_uri(u) for u in uris])
-    located = raw.select(
-        "*",
-        _comparable(F.col("_metadata.file_path")).alias("_path"),
-        F.col("_metadata.row_index").alias("row_index"),
+    if limit is None:
+        return _read(spark, uris)
+    counts = rows_per_file(spark, uris)
+    whole, left = [], limit
+    for uri in uris:
+        rows = counts.get(_normal(uri), 0)
+        if rows > left:
+            head = _read(spark, [uri]).where(F.col("_metadata.row_index") < left)
+            return _read(spark, whole).unionByName(head, True) if whole else head
+        whole.append(uri)
+        left -= rows
+    return _read(spark, uris)
+
+
+def with_file_order(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
+    """Rows of the files with their order: ``file_pos`` in the list and ``row_index``."""
+    listed = spark.createDataFrame(
+        [(_normal(uri), position) for position, uri in enumerate(uris)],
+        "_path string, file_pos long",
     )
-    # The list comes from the manifest, which one process wrote and read as one text.
-    kind = "file_pos long, _path string"
-    listed = spark.createDataFrame([(i, _normal(u)) for i, u in enumerate(uris)], kind)
-    listed = listed.withColumn(
-        "_path", _comparable(F.replace(F.col("_path"), F.lit("%"), F.lit("%25")))
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(path, r"\Afile:/+", "/")
+    path = F.regexp_replace(path, r"\As3[an]?://", "s3://")
+    rows = _read(spark, uris).select(
+        "*", path.alias("_path"), F.col("_metadata.row_index").alias("row_index")
     )
-    unlisted = F.raise_error(F.concat(F.lit("file is not in the manifest: "), F.col("_path")))
-    rows = (
-        located.join(listed, "_path", "left")
+    unlisted = F.raise_error(F.concat(F.lit("file is not in the list: "), F.col("_path")))
+    return (
+        rows.join(listed, "_path", "left")
         .withColumn("file_pos", F.coalesce(F.col("file_pos"), unlisted.cast("long")))
         .drop("_path")
     )
-    if limit is not None:
-        counts = rows.groupBy("file_pos").agg(F.count("*").alias("n"))
-        before = Window.orderBy("file_pos").rowsBetween(Window.unboundedPreceding, -1)
-        bases = counts.select(
-            "file_pos", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")
-        )
-        rows = (
-            rows.join(bases, "file_pos")
-            .where(F.col("_before") + F.col("row_index") < limit)
-            .drop("_before")
-        )
-    return rows if schema is None else conform(rows, schema)
 
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
@@ -213,7 +227,7 @@ def _load(
         if cache_mode == "refresh":
             for folder in sorted({posixpath.dirname(u) for u in uris}):
                 spark.catalog.refreshByPath(hadoop_uri(folder))
-        raw = scan_split(spark, uris, None, limit)
+        raw = scan_split(spark, uris, limit)
         if required:
             check_columns(raw, name, required)
         parts.append(conform(raw, schema).withColumn("split", F.lit(name)))

@@ -67,6 +67,10 @@ def test_first_rows_follow_manifest_and_file_order(spark, tmp_path):
 
     assert ids(14) == list(range(14))
     assert ids(0) == [] and ids(99) == list(range(30)) == ids(None)
+    assert ids(10) == list(range(10)) and ids(20) == list(range(20)) and ids(3) == [0, 1, 2]
+    uris = [str(tmp_path / f"{n}.parquet") for n in "bac"]
+    ordered = mf.with_file_order(spark, uris).orderBy("file_pos", "row_index").collect()
+    assert [int(r.example_id) for r in ordered] == list(range(30))
 
 
 def test_splits_may_disagree_on_argument_types(spark, tmp_path):
