@@ -281,7 +281,9 @@ def stop_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) FILTER (stopped_at_eos) AS successful_stops,
   count(*) FILTER (detected_loop) AS detected_loops, sum(len(issues))::BIGINT AS issue_count,
   CASE WHEN count(*) FILTER (detected_loop) > 0 THEN 'loop'
-       WHEN count(*) FILTER (stopped_at_eos) = count(*) THEN 'ok' ELSE 'not_stopped' END AS verdict
+       WHEN count(*) FILTER (stopped_at_eos) = count(*) THEN 'ok' ELSE 'not_stopped' END AS verdict,
+  CASE WHEN count(*) FILTER (detected_loop) > 0 THEN 'Infinite loops detected. Check: 1) GGUF has correct chat template, 2) Modelfile has correct stop tokens, 3) Training used distinct pad/eos tokens.' END
+    AS recommendation
 FROM audited GROUP BY source"""
 )
 def inference_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

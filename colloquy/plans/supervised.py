@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import tokens as tok
 from colloquy.functions.rendering import PlainTemplate
-from colloquy.operators import batching, examples, ordering, splits
+from colloquy.operators import batching, examples, splits
 from colloquy.operators import tokenization as tz
 from colloquy.plans.inputs import (
     EVAL_PERCENT,
