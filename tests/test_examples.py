@@ -125,3 +125,25 @@ def test_long_conversations_are_found(spark):
     short, long = [(1, 0, "user", "a")], [(1, examples.block_turns(5), "user", "a")]
     assert not examples.has_long_conversations(frame(spark, short), 5)
     assert examples.has_long_conversations(frame(spark, long), 5)
+
+
+@pytest.mark.parametrize("long", [True, False])
+def test_budget_in_tokens_of_a_real_tokenizer(spark, long):
+    from pyspark.sql import functions as F
+
+    from colloquy.functions.tokens import ArrowTokenizer, each_text
+
+    words = ArrowTokenizer(lambda: each_text(lambda t: [1] * len(t.split())))
+    rows = [(1, t, "assistant" if t % 2 else "user", "w " * (t % 7)) for t in range(120)]
+    out = examples.budgeted(
+        frame(spark, rows), 12, tokens=words.count(F.col("text")), long=long
+    )
+    got = {r.target_turn_index: len(r.messages) for r in out.collect()}
+    for _, turn, earlier, _ in walk(rows):
+        used, kept = 0, 0
+        for item in reversed(earlier):
+            used += max(1, len(item[2].split()))
+            if used > 12:
+                break
+            kept += 1
+        assert got[turn] == kept
