@@ -45,37 +45,27 @@ def require_features(batched: DataFrame) -> DataFrame:
     return batched
 
 
-def row_loss_terms(losses: DataFrame) -> DataFrame:
-    """Per row: weighted loss sum and weight sum over shifted, unmasked positions.
+def batch_loss(losses: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """Weighted mean loss per batch; the plain sum where all weights are zero.
 
     Input arrays ``labels``, ``loss_weights`` and ``token_loss``; ``token_loss[i]`` is
-    the loss of predicting ``labels[i + 1]`` from position ``i``.
+    the loss of predicting ``labels[i + 1]`` from position ``i``. Tokens are unnested
+    into the aggregate, which combines them per batch before the shuffle.
     """
-    n = F.least(F.size("labels"), F.size("loss_weights"))
+    n = F.greatest(F.least(F.size("labels"), F.size("loss_weights")) - 1, F.lit(0))
     shifted = F.arrays_zip(
-        F.slice("labels", F.lit(2), F.greatest(n - 1, F.lit(0))).alias("label"),
-        F.slice("loss_weights", F.lit(2), F.greatest(n - 1, F.lit(0))).alias("weight"),
-        F.slice("token_loss", F.lit(1), F.greatest(n - 1, F.lit(0))).alias("loss"),
-    )
-    live = F.filter(shifted, lambda t: t["label"] != IGNORED_LABEL)
-    add = lambda value: F.aggregate(live, F.lit(0.0), lambda acc, t: acc + value(t))
-    return losses.withColumns(
-        {
-            "weighted_loss": add(lambda t: t["loss"] * t["weight"]),
-            "weight_sum": add(lambda t: t["weight"]),
-        }
+        F.slice("labels", F.lit(2), n).alias("label"),
+        F.slice("loss_weights", F.lit(2), n).alias("weight"),
+        F.slice("token_loss", F.lit(1), n).alias("loss"),
     )
-
-
-def batch_loss(losses: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Weighted mean loss per batch; the plain sum where all weights are zero."""
-    summed = (
-        row_loss_terms(losses)
-        .groupBy(batch)
-        .agg(
-            F.sum("weighted_loss").alias("weighted_loss"),
-            F.sum("weight_sum").alias("weight_sum"),
-        )
+    live = F.col("label") != IGNORED_LABEL
+    # The outer form keeps batches without any token to predict.
+    tokens = losses.select(batch, F.inline_outer(shifted))
+    summed = tokens.groupBy(batch).agg(
+        F.coalesce(F.sum(F.when(live, F.col("loss") * F.col("weight"))), F.lit(0.0)).alias(
+            "weighted_loss"
+        ),
+        F.coalesce(F.sum(F.when(live, F.col("weight"))), F.lit(0.0)).alias("weight_sum"),
     )
     mean = F.when(F.col("weight_sum") > 0, F.col("weighted_loss") / F.col("weight_sum"))
     return summed.withColumn("loss", F.coalesce(mean, F.col("weighted_loss")))

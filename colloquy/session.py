@@ -40,12 +40,14 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the shared folder the cluster names.
 
     The folder must be visible to every executor, so it is read from
-    ``spark.checkpoint.dir``; only a session without that setting (a bare local
-    test session) falls back to a temporary folder of its own.
+    ``spark.checkpoint.dir``. Only a local session without that setting makes a
+    temporary folder of its own; a cluster without it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="colloquy-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="colloquy-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/colloquy/{purpose}-{uuid.uuid4().hex}"
