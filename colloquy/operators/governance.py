@@ -28,7 +28,8 @@ def governance_from_rows(
 ) -> DataFrame:
     """Governance block per release, counted from its rows.
 
-    Rows are counted per class first, so the lists below hold one entry per class.
+    Rows are counted per class first, so the lists below hold one entry per class, as
+    a manifest does. Where a class column may hold free text, use ``class_counts``.
     """
     counts = class_counts(df, release, policy_class)
     ranked = F.struct(
