@@ -1,8 +1,9 @@
 """Time the registered queries; prints one JSON line.
 
 Environment: ``BENCH_SF_DIR`` (tables), ``BENCH_CPUS`` (local cores), ``BENCH_QUERIES``
-(comma-separated names; default all). Each query runs once to warm up and once timed,
-into the ``noop`` sink, so every row and column is computed and none is collected.
+(comma-separated names, or ``all``; default one or more per operator group). Each query
+runs once to warm up and once timed, into the ``noop`` sink, so every row and column is
+computed and none is collected.
 """
 
 from __future__ import annotations
@@ -16,11 +17,51 @@ from colloquy.plans import PLANS
 from colloquy.session import local_session
 
 
+HEADLINE = (
+    "sequence_fit",
+    "single_turn_examples",
+    "budgeted_examples",
+    "merged_assistant_turns",
+    "drop_histogram",
+    "drop_report",
+    "fit_statistics",
+    "assistant_only_masks",
+    "weighted_masks",
+    "bpe_token_masks",
+    "padded_batches",
+    "weighted_batch_loss",
+    "tool_calls_qwen",
+    "tool_calls_openai",
+    "embedded_tool_calls",
+    "chatml_rendering",
+    "reward_scores",
+    "reward_totals",
+    "loop_detection",
+    "stop_classification",
+    "inference_summary",
+    "eos_audit",
+    "corpus_summary",
+    "text_previews",
+    "passage_choice_text",
+    "preference_pairs",
+    "governance_blocks",
+    "comparison_upsert",
+    "missing_responses",
+    "tool_call_evaluation",
+    "metric_rollup",
+    "seeded_sample",
+    "partition_page",
+    "sft_release",
+    "stream_metric_rollup",
+    "stream_tokenized_rows",
+)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     chosen = os.environ.get("BENCH_QUERIES")
-    names = chosen.split(",") if chosen else list(PLANS)
+    names = list(PLANS) if chosen == "all" else chosen.split(",") if chosen else HEADLINE
     spark = local_session("bench", cpus)
     spark.sparkContext.setLogLevel("ERROR")
 
