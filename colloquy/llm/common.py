@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colloquy.session import scratch_dir
 
@@ -70,20 +69,47 @@ def lookup(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if stored_bytes(df) * 4 <= BROADCAST_BYTES else df
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int) -> DataFrame:
-    """``doc_id`` and 0/1 ``label`` of rows that may be learned from, one per document.
-
-    Rows with a null id or label, and ids that the split holds out, teach nothing. Of
-    several labels for one id the largest counts.
+def training_ids(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    modulus: int,
+    held_out: int,
+    bound: int,
+    per_class: bool = False,
+) -> DataFrame:
+    """Stored ``id, label, weight`` of the documents to learn from, about ``bound`` at most.
+
+    Rows with a null id, a label other than 0 or 1, or an id that the split holds out teach
+    nothing; of several labels for an id the largest counts. Of copies of one text with one
+    label only the smallest id stays. Beyond ``bound`` rows (of each label, if
+    ``per_class``) the sample is by a digest of the id; ``weight`` is how many documents a
+    sampled one stands for.
     """
-    return (
+    marked = stored(
         labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
         .filter("id IS NOT NULL AND label IN (0, 1)")
         .filter(remainder("id", modulus) != held_out)
         .groupBy("id")
-        .agg(F.max("label").alias("label"))
-        .join(docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text"), "id")
+        .agg(F.max("label").alias("label")),
+        "training-labels",
     )
-
-
-TEXT_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    texts = docs.select(F.col("doc_id").alias("id"), F.sha2(text_bytes("text"), 256).alias("sha"))
+    one = stored(
+        texts.join(lookup(marked), "id").groupBy("sha", "label").agg(F.min("id").alias("id")).select("id", "label"),
+        "training-ids",
+    )
+    found = dict(one.groupBy("label").count().collect())
+    total = sum(found.values())
+    share = {k: min(1.0, bound / (n if per_class else total)) for k, n in found.items()}
+    keep = F.lit(0.0)
+    for value, part in share.items():
+        keep = F.when(F.col("label") == value, part).otherwise(keep)
+    place = F.pmod(F.xxhash64(F.lit("training"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return stored(one.filter(place < keep).withColumn("weight", 1.0 / keep), "training-sample")
+
+
+def training_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``label, weight, bytes`` of the sampled documents; their ids are few enough to broadcast."""
+    texts = docs.select(F.col("doc_id").alias("id"), text_bytes("text").alias("bytes"))
+    return texts.join(F.broadcast(ids), "id").select("label", "weight", "bytes")

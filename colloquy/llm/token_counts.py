@@ -34,7 +34,17 @@ from colloquy.llm.common import doc_column, text_bytes  # noqa: E402
 #: The splitting pattern of byte-level pre-tokenizers, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Counts of merged pre-tokens that a worker remembers.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: visible Latin-1 as it is, the rest from U+0100 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [byte for byte in range(256) if byte not in visible]
+    return {byte: chr(256 + place) for place, byte in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 def whole_tokens(tokenizer: Tokenizer) -> list[str]:
@@ -44,33 +54,30 @@ def whole_tokens(tokenizer: Tokenizer) -> list[str]:
     return [text for text, result in zip(strings, encoded, strict=True) if len(result) == 1]
 
 
-def differing_characters() -> str:
-    """A pattern of characters that the library's expressions class differently than ``regex``."""
+def differing_characters() -> frozenset[str]:
+    """The characters that the library's expressions class differently than ``regex``."""
     everything = "".join(map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))))
     odd: set[str] = set()
     for kind, rest in ((r"\p{L}", r"\P{L}"), (r"\p{N}", r"\P{N}"), (r"\s", r"\S")):
         theirs = set(normalizers.Replace(Regex(rest), "").normalize_str(everything))
         odd |= theirs ^ set(regex.findall(kind, everything))
-    points, ranges = sorted(map(ord, odd)), []
-    for _, run in itertools.groupby(enumerate(points), lambda pair: pair[1] - pair[0]):
-        run = list(run)
-        ranges.append(f"\\U{run[0][1]:08x}-\\U{run[-1][1]:08x}")
-    return f"[{''.join(ranges)}]" if ranges else r"(?!)"
+    return frozenset(odd)
 
 
 class Counter:
     """Token counts of texts, equal to the lengths of the library's encodings."""
 
-    def __init__(self, model: str, whole: list[str], odd: str):
+    def __init__(self, model: str, whole: list[str], odd: frozenset[str]):
         self.tokenizer = Tokenizer.from_str(model)
-        self.known = dict.fromkeys(whole, 1)
+        self.whole = frozenset(whole)
         self.merged: dict[str, int] = {}
-        self.pattern, self.odd = regex.compile(PATTERN), regex.compile(odd)
+        self.merge = self.tokenizer.model.tokenize
+        self.pattern, self.odd = regex.compile(PATTERN), odd
         added = [regex.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(sorted(added, key=len, reverse=True)) or r"(?!)")
 
     def count(self, text: str) -> int:
-        if self.odd.search(text):
+        if not text.isascii() and not self.odd.isdisjoint(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False))
         total, parts = 0, [text]
         if self.added.search(text):  # the library takes them out before anything else
@@ -79,15 +86,15 @@ class Counter:
         return total + sum(self._pieces(self.pattern.findall(block)) for part in parts for block in blocks(part))
 
     def _pieces(self, pieces: list[str]) -> int:
-        if rest := set(pieces) - self.known.keys() - self.merged.keys():
-            if len(self.merged) + len(rest) > REMEMBERED:
-                self.merged.clear()
-                rest = set(pieces) - self.known.keys()
-            rest = list(rest)
-            encoded = self.tokenizer.encode_batch(rest, add_special_tokens=False)
-            self.merged.update(zip(rest, map(len, encoded), strict=True))
-        known, merged = self.known, self.merged
-        return sum(known[piece] if piece in known else merged[piece] for piece in pieces)
+        whole, merged = self.whole, self.merged
+        others = [piece for piece in pieces if piece not in whole]
+        if len(merged) > REMEMBERED:
+            merged.clear()
+        for piece in others:
+            if piece not in merged:
+                letters = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+                merged[piece] = len(self.merge(letters))
+        return len(pieces) - len(others) + sum(map(merged.__getitem__, others))
 
 
 def check_supported(model: str) -> None:
@@ -103,7 +110,7 @@ def check_supported(model: str) -> None:
 
 
 @functools.lru_cache(maxsize=2)
-def counter(model: str, whole: tuple[str, ...], odd: str) -> Counter:
+def counter(model: str, whole: tuple[str, ...], odd: frozenset[str]) -> Counter:
     return Counter(model, list(whole), odd)
 
 
