@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from colloquy.llm.byte_bpe import byte_bpe
 from colloquy.llm.common import table
 from colloquy.llm.exact_dedup import exact_duplicates
+from colloquy.llm.lattice_lm import lattice_scores
 from colloquy.llm.mixing import mix
+from colloquy.llm.quality import quality
 from colloquy.llm.simhash import simhash_components
 from colloquy.llm.token_counts import token_counts
 from colloquy.llm.topk import top_k
+from colloquy.llm.toxicity import toxicity
 from colloquy.llm.url_filter import DAMPING, ROUNDS, THRESHOLD, url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +97,17 @@ def op3_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.selectExpr("doc_id", "held_out", "score", "predicted", "size(passages) AS n_passages")
+
+
+@query()
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("""
 WITH vectors AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
@@ -178,3 +191,8 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ids=False)
+
+
+@query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
