@@ -3,8 +3,8 @@
 Upper nodes of the index are masked bit patterns. The first level masks all but one of
 five bit segments: fingerprints that differ in at most four bits agree in one segment at
 least, so pairs without a common upper node are pruned as whole groups. A node that many
-fingerprints share is factored again, by five segments of the bits that its pattern
-leaves open, until its members fit a bound. Nodes are dealt to tasks by their pattern.
+fingerprints share is factored again, by five segments of the bits in which its members
+differ, until they fit a bound. Nodes are dealt to tasks by their pattern.
 
 Inside a node the fingerprints are sorted by their Gray rank, so that neighbours share
 most bits, and each run of ``FANOUT`` is factored into the bits they share and the pattern
@@ -80,40 +80,41 @@ def _signed(value: int) -> int:
 
 
 def _upper_nodes(prints: DataFrame, distance: int, limit: int) -> DataFrame:
-    """``mask, pattern, fp``: every fingerprint in its upper nodes, none above ``limit`` members."""
-
-    def factored(df: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
-        table = F.create_map(
-            *[
-                item
-                for mask, children in masks.items()
-                for item in (F.lit(_signed(mask)), F.array(*[F.lit(_signed(child)) for child in children]))
-            ]
-        )
-        return df.select("fp", F.explode(table[F.col("mask")]).alias("mask")).select(
-            "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("pattern"), "fp"
-        )
+    """``mask, pattern, fp``: every fingerprint in its upper nodes, none above ``limit`` members.
 
-    everything = (1 << 64) - 1
+    Members of a node differ in its open bits only, those in which not all agree. Codes
+    within ``distance`` agree in one of ``distance + 1`` parts of them, so a large node becomes
+    one for each part and pattern there. Every step settles open bits, and a node above the
+    limit has more than ``distance`` of them, so the factoring ends.
+    """
+    if limit < 1 << (distance + 1):
+        raise ValueError(f"a node must be allowed {1 << (distance + 1)} members")
 
-    def children(mask: int) -> list[int]:
-        return [mask | part for part in _segments(everything & ~mask, distance + 1) if part]
+    @F.udf("array<long>")
+    def parts(mask: int, open_bits: int) -> list[int]:  # a row for each large node only
+        mask, open_bits = mask % (1 << 64), open_bits % (1 << 64)
+        return [_signed(mask | part) for part in _segments(open_bits, distance + 1)]
 
-    nodes = factored(prints.withColumn("mask", F.lit(0).cast("long")), {0: children(0)})
+    def factored(df: DataFrame) -> DataFrame:
+        split = df.select("fp", F.explode("parts").alias("mask"))
+        return split.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("pattern"), "fp")
+
+    first = [F.lit(_signed(part)) for part in _segments((1 << 64) - 1, distance + 1)]
+    nodes = factored(prints.withColumn("parts", F.array(*first)))
     while True:
+        open_bits = F.bit_or("fp").bitwiseAND(F.bitwise_not(F.bit_and("fp")))
         large = stored(
-            nodes.groupBy("mask", "pattern").count().filter(F.col("count") > limit).drop("count"), "simhash-large"
+            nodes.groupBy("mask", "pattern")
+            .agg(F.count("*").alias("n"), open_bits.alias("open_bits"))
+            .filter(F.col("n") > limit)
+            .select("mask", "pattern", parts("mask", "open_bits").alias("parts")),
+            "simhash-large",
         )
-        masks = [row[0] % (1 << 64) for row in large.select("mask").distinct().collect()]  # masks, not rows
-        masks = {mask: children(mask) for mask in masks if mask != everything}
-        if not masks:
+        if large.isEmpty():
             return nodes
-        flagged = nodes.join(lookup(large.withColumn("large", F.lit(True))), ["mask", "pattern"], "left")
-        nodes = stored(
-            flagged.filter("large IS NULL").select("mask", "pattern", "fp")
-            .unionByName(factored(flagged.filter("large"), masks)),
-            "simhash-nodes",
-        )
+        flagged = nodes.join(lookup(large), ["mask", "pattern"], "left")
+        small = flagged.filter("parts IS NULL").select("mask", "pattern", "fp")
+        nodes = stored(small.unionByName(factored(flagged.filter("parts IS NOT NULL"))), "simhash-nodes")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:

@@ -125,7 +125,7 @@ def test_simhash_on_given_documents(spark):
     assert simhash_rows(simhash.simhash_components(docs)) == brute_components(prints, 4)
 
 
-@pytest.mark.parametrize("limit", [5, 1 << 14])
+@pytest.mark.parametrize("limit", [32, 1 << 14])
 def test_links_of_random_and_crowded_codes(spark, limit):
     """Crowded codes agree in most segments; a low limit factors their nodes again and again."""
     rng = np.random.default_rng(5)
