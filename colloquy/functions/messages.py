@@ -30,8 +30,11 @@ def message(
 
 def _parsed_content(role: Column, content: Column) -> Column:
     """Assistant content that may embed calls, parsed; null for all other messages."""
-    opens = content.rlike(rf"(?U)\A{text.WHITESPACE}*\{{")
-    return F.when((role == "assistant") & opens, jsontext.strict_json(content))
+    return F.when(_may_hold_calls(role, content), jsontext.strict_json(content))
+
+
+def _may_hold_calls(role: Column, content: Column) -> Column:
+    return (role == "assistant") & content.rlike(rf"(?U)\A{text.WHITESPACE}*\{{")
 
 
 def _holds_calls(parsed: Column) -> Column:
@@ -69,22 +72,6 @@ def _normalize(
     )
 
 
-def _nested_structs(calls: Column) -> Column:
-    """Arrow helper output (id, name, arguments) as nested call structs."""
-    return F.transform(
-        calls,
-        lambda call: F.struct(
-            call["id"].alias("id"),
-            F.lit("function").alias("type"),
-            F.lit(None).cast("string").alias("name"),
-            F.lit(None).cast("string").alias("arguments"),
-            F.struct(
-                call["name"].alias("name"), call["arguments"].alias("arguments")
-            ).alias("function"),
-        ),
-    )
-
-
 def normalize_messages(items: Column, family: str, *, keep_null_content: bool = False) -> Column:
     """Normalize a message list and prune the unusable ones."""
     # Content is parsed in a step of its own, so that each text is parsed once.
@@ -95,8 +82,11 @@ def normalize_messages(items: Column, family: str, *, keep_null_content: bool =
         ),
     )
     if toolcalls.is_nested_family(family):
-        contents = F.transform(items, lambda item: item["content"])
-        calls = jsontext.embedded_nested_calls(contents)
+        # Only texts that may hold calls leave the JVM.
+        contents = F.transform(
+            items, lambda item: F.when(_may_hold_calls(item["role"], item["content"]), item["content"])
+        )
+        calls = jsontext.canonical_calls(contents)
         pairs = F.arrays_zip(staged.alias("staged"), calls.alias("calls"))
         normalized = F.transform(
             pairs,
@@ -104,7 +94,7 @@ def normalize_messages(items: Column, family: str, *, keep_null_content: bool =
                 pair["staged"]["item"],
                 pair["staged"]["parsed"],
                 family,
-                _nested_structs(pair["calls"]),
+                F.transform(pair["calls"], toolcalls.canonical_nested),
                 keep_null_content,
             ),
         )

@@ -85,6 +85,26 @@ def tokenizer_file(path: str) -> ArrowTokenizer:
     return ArrowTokenizer(load)
 
 
+def tokenizer_file_decoder(path: str) -> Callable[[Column], Column]:
+    """Ids back to text with a ``tokenizers`` JSON file; special tokens stay."""
+    loaded: list = []
+
+    @F.arrow_udf(T.StringType())
+    def decode(ids: pa.Array) -> pa.Array:
+        if not loaded:
+            from tokenizers import Tokenizer
+
+            loaded.append(Tokenizer.from_file(path))
+        rows = ids.to_pylist()
+        texts = loaded[0].decode_batch([row or [] for row in rows], skip_special_tokens=False)
+        return pa.array(
+            [None if row is None else text for row, text in zip(rows, texts, strict=True)],
+            type=pa.string(),
+        )
+
+    return decode
+
+
 def sentencepiece_file(path: str) -> ArrowTokenizer:
     """A SentencePiece model file that every worker can read."""
 

@@ -125,12 +125,15 @@ def normalize_call(call: Column, family: str | Column) -> Column:
     """Normalize one call; the family may be fixed or itself a column."""
     if isinstance(family, str):
         return normalizer_for(family)(call)
-    tag = F.lower(family)
-    return (
-        F.when(tag.isin("qwen", "gemma"), flat_parsed(call))
-        .when(tag.isin("openai", "gpt"), nested(call))
-        .otherwise(flat_verbatim(call))
-    )
+    generic = NORMALIZERS["generic"]
+    tags: dict[Callable[[Column], Column], list[str]] = {}
+    for tag, normalizer in NORMALIZERS.items():
+        if normalizer is not generic:
+            tags.setdefault(normalizer, []).append(tag)
+    chosen = F
+    for normalizer, names in tags.items():
+        chosen = chosen.when(F.lower(family).isin(*names), normalizer(call))
+    return generic(call) if chosen is F else chosen.otherwise(generic(call))
 
 
 def normalize_calls(calls: Column, family: str) -> Column:
@@ -141,6 +144,39 @@ def normalize_calls(calls: Column, family: str) -> Column:
     )
 
 
+def canonical_nested(found: Column) -> Column:
+    """Nested call from canonical JSON texts (``call``, ``arguments``).
+
+    Scalars are written as text the way the dataset's producers do: strings as they are,
+    booleans capitalized; empty, zero, false and null values count as absent.
+    """
+
+    def scalar(value: Column) -> Column:
+        text_value = F.try_variant_get(value, "$", "string")
+        absent = ~jsontext.is_string(value) & text_value.isin("0", "0.0", "-0.0", "false", "[]", "{}")
+        shown = F.when(jsontext.is_boolean(value), F.initcap(text_value)).otherwise(text_value)
+        return F.when((text_value != "") & ~absent, shown)
+
+    call = F.try_parse_json(found["call"])
+    function = F.try_variant_get(call, "$.function", "variant")
+    holder = F.when(jsontext.is_object(function), function).otherwise(call)
+    name = F.try_variant_get(holder, "$.name", "variant")
+    name_text = F.try_variant_get(holder, "$.name", "string")
+    arguments = found["arguments"]
+    whole = arguments.startswith("{") | arguments.startswith("[")
+    derived = F.concat(F.lit("call_"), F.substring(F.md5(found["call"]), 1, 12))
+    return _call(
+        id=F.coalesce(scalar(F.try_variant_get(call, "$.id", "variant")), derived),
+        type=F.lit("function"),
+        function=F.struct(
+            F.when(jsontext.is_boolean(name), F.initcap(name_text)).otherwise(name_text).alias("name"),
+            F.coalesce(F.when(whole, arguments), scalar(F.try_parse_json(arguments)), F.lit("{}")).alias(
+                "arguments"
+            ),
+        ),
+    )
+
+
 def embedded_calls(parsed: Column, family: str) -> Column:
     """Calls of a parsed ``{"tool_calls": [...]}`` text, normalized.
 

@@ -5,23 +5,27 @@ message in its conversation. Every assistant turn becomes one example; the turns
 before it are its context.
 
 Handing the whole context to each example costs the square of the conversation
-length, and one conversation may hold a large share of all rows. So an example
-carries only the newest context messages within ``reach`` tokens, plus exact totals
-of what lies before (``omitted_*``). Left truncation to ``reach`` tokens never looks
-further back, so tokenizing such an example equals tokenizing the full one.
-
-Conversations longer than a block are cut into blocks of turns. Totals of earlier
-blocks come from a small pre-aggregated table; the last turns of a block are copied
-to the next one as context. The work of a task is then bounded by the block size.
-Turns are numbered first there, since unusable ones and gaps in ``turn`` would let the
-context reach further back than the copied turns. That is a second shuffle, which only
-tables with such conversations pay.
+length, and one conversation may hold a large share of all rows. So an example with a
+``reach`` carries only the newest context messages within that many tokens, plus exact
+totals of what lies before (``omitted_*``). Left truncation to ``reach`` tokens never
+looks further back, so tokenizing such an example equals tokenizing the full one. Without
+a reach the context is whole, for uses that need every message of it.
+
+With a reach, conversations are cut into blocks of turns. Totals of earlier blocks come
+from a small pre-aggregated table; the last turns of a block are copied to the next one as
+context. The work of a task is then bounded by the block size. Turns are numbered first,
+since unusable ones and gaps in ``turn`` would let the context reach further back than the
+copied turns. ``long=False`` spares that where no conversation exceeds a block.
+
+An assistant turn without text is an example without a target: it is counted and dropped
+as a row of invalid shape later, and is no context of others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.functions import messages as msg
 from colloquy.functions.text import has_text
@@ -43,15 +47,6 @@ def block_turns(reach: int) -> int:
     return BLOCK_REACHES * (reach + 2)
 
 
-def has_long_conversations(turns: DataFrame, reach: int) -> bool:
-    """Whether any conversation needs more than one block.
-
-    One pushed-down comparison on ``turn``; Parquet statistics skip row groups
-    without long conversations.
-    """
-    return not turns.where(F.col("turn") >= block_turns(reach)).select("turn").limit(1).isEmpty()
-
-
 def _measured(turns: DataFrame, tokens: Column | None) -> DataFrame:
     """Usable turns with their token count; a message counts at least one token."""
     usable = turns.where(F.col("role").isNotNull() & F.col("text").isNotNull())
@@ -144,10 +139,11 @@ def _with_prefix(turns: DataFrame, reach: int, long: bool) -> DataFrame:
     )
 
 
-def _with_context(prefixed: DataFrame, order: str, low: int) -> DataFrame:
-    """Collect the context turns whose ``order`` value lies within ``low`` below."""
+def _with_context(prefixed: DataFrame, order: str, low: int | None) -> DataFrame:
+    """Collect the context turns whose ``order`` value lies within ``low`` below, or all before."""
+    start = Window.unboundedPreceding if low is None else -low
     frame = (
-        Window.partitionBy("conv_id", "_block").orderBy(order).rangeBetween(-low, -1)
+        Window.partitionBy("conv_id", "_block").orderBy(order).rangeBetween(start, -1)
     )
     turn = F.struct(
         "turn", "role", F.col("text").alias("content"), F.col("_tokens").alias("tokens")
@@ -155,43 +151,63 @@ def _with_context(prefixed: DataFrame, order: str, low: int) -> DataFrame:
     return prefixed.withColumn("_context", F.collect_list(turn).over(frame))
 
 
-def _as_examples(windowed: DataFrame, target_mode: str) -> DataFrame:
-    targets = windowed.where((F.col("role") == "assistant") & ~F.col("_halo"))
-    context = F.col("_context")
-    kept = F.aggregate(context, F.lit(0).cast("bigint"), lambda acc, m: acc + m["tokens"])
-    items = F.transform(context, lambda m: msg.message(m["role"], m["content"]))
-    return targets.select(
+def _example(items: Column, target_mode: str, **totals: Column) -> list[Column]:
+    return [
         F.concat_ws("-", F.col("conv_id"), F.col("turn")).alias("example_id"),
         F.col("conv_id").cast("string").alias("session_id"),
         F.col("turn").cast("int").alias("target_turn_index"),
         items.alias("messages"),
         F.col("text").alias("target_text"),
         F.lit(target_mode).alias("target_mode"),
-        (F.col("_start") - kept).alias("omitted_tokens"),
-        (F.col("_turns") - F.size(context)).alias("omitted_messages"),
-        F.col("_asked").alias("asked"),
+        *[value.alias(name) for name, value in totals.items()],
+    ]
+
+
+def _as_examples(
+    windowed: DataFrame, turns: DataFrame, target_mode: str, *, whole: bool = False
+) -> DataFrame:
+    """Examples of the windowed turns, and those of ``turns`` that have no target text."""
+    targets = windowed.where((F.col("role") == "assistant") & ~F.col("_halo"))
+    context = F.col("_context")
+    items = F.transform(context, lambda m: msg.message(m["role"], m["content"]))
+    none = F.lit(0).cast("bigint")
+    totals, no_totals = {"asked": F.col("_asked")}, {"asked": F.lit(False)}
+    if not whole:
+        kept = F.aggregate(context, none, lambda acc, m: acc + m["tokens"])
+        totals |= {
+            "omitted_tokens": F.col("_start") - kept,
+            "omitted_messages": F.col("_turns") - F.size(context),
+        }
+        no_totals |= {"omitted_tokens": none, "omitted_messages": none}
+    lost = turns.where((F.col("role") == "assistant") & F.col("text").isNull())
+    no_items = F.array().cast(T.ArrayType(msg.MESSAGE))
+    return targets.select(*_example(items, target_mode, **totals)).unionByName(
+        lost.select(*_example(no_items, target_mode, **no_totals))
     )
 
 
 def single_turn(
     turns: DataFrame,
-    reach: int,
+    reach: int | None = None,
     *,
     tokens: Column | None = None,
-    long: bool | None = None,
+    long: bool = True,
     target_mode: str = "single_turn",
 ) -> DataFrame:
     """One example per assistant turn, context exact for left truncation to ``reach``.
 
-    ``tokens`` counts a row's tokens (default: characters of its rendered line).
-    ``asked`` tells whether any earlier turn, carried or omitted, is a user query.
-    ``long`` says whether conversations may exceed one block; by default it is
-    looked up.
+    Without ``reach`` the context is whole, and nothing is omitted. ``tokens`` counts a
+    row's tokens (default: characters of its rendered line). ``asked`` tells whether any
+    earlier turn, carried or omitted, is a user query. ``long=False`` promises that no
+    conversation exceeds one block.
     """
-    long = has_long_conversations(turns, reach) if long is None else long
-    prefixed = _with_prefix(_measured(turns, tokens), reach, long)
+    measured = _measured(turns, tokens)
+    if reach is None:
+        prefixed = _with_prefix(measured, 0, False)
+        return _as_examples(_with_context(prefixed, "turn", None), turns, target_mode, whole=True)
+    prefixed = _with_prefix(measured, reach, long)
     ended = prefixed.withColumn("_end", F.col("_start") + F.col("_tokens"))
-    return _as_examples(_with_context(ended, "_end", reach + 1), target_mode)
+    return _as_examples(_with_context(ended, "_end", reach + 1), turns, target_mode)
 
 
 def budgeted(
@@ -200,7 +216,7 @@ def budgeted(
     overhead: int = 0,
     *,
     tokens: Column | None = None,
-    long: bool | None = None,
+    long: bool = True,
     target_mode: str = "single_turn",
 ) -> DataFrame:
     """One example per assistant turn with the newest context that fits the budget.
@@ -209,23 +225,21 @@ def budgeted(
     fit. What does not fit is counted in ``omitted_*``.
     """
     room = max(token_budget - overhead, 0)
-    long = has_long_conversations(turns, room) if long is None else long
     prefixed = _with_prefix(_measured(turns, tokens), room, long)
     if room == 0:
         empty = F.array().cast("array<struct<turn:bigint,role:string,content:string,tokens:bigint>>")
-        return _as_examples(prefixed.withColumn("_context", empty), target_mode)
-    return _as_examples(_with_context(prefixed, "_start", room), target_mode)
+        return _as_examples(prefixed.withColumn("_context", empty), turns, target_mode)
+    return _as_examples(_with_context(prefixed, "_start", room), turns, target_mode)
 
 
 def merge_consecutive_assistant(
-    turns: DataFrame, *, reach: int = 2048, long: bool | None = None
+    turns: DataFrame, *, reach: int = 2048, long: bool = True
 ) -> DataFrame:
     """Join runs of assistant turns with a blank line between; other turns pass.
 
     A merged turn takes the position of its last part. Conversations longer than a
     block of ``reach`` are worked on in blocks; the result does not depend on it.
     """
-    long = has_long_conversations(turns, reach) if long is None else long
     size = block_turns(reach)
     usable = turns.where(F.col("role").isNotNull() & F.col("text").isNotNull())
     own = F.floor(F.col("turn") / size).cast("bigint") if long else F.lit(0).cast("bigint")

@@ -9,7 +9,6 @@ from colloquy.functions import tokens as tok
 from colloquy.operators import audits, ordering
 from colloquy.plans.inputs import id_sum, turns
 from colloquy.plans.registry import plan, table
-from colloquy.session import spread
 
 # The full stop plays the end token of the character tokenizer.
 EOS = ord(".") % 97 + 1
@@ -30,7 +29,7 @@ checked AS (
 
 def audited_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     ending = F.when(F.col("turn") % 3 == 1, " and so on").otherwise("")
-    rows = spread(turns(spark, sf_dir)).withColumn("text", F.concat("text", ending))
+    rows = turns(spark, sf_dir).withColumn("text", F.concat("text", ending))
     rows = rows.withColumn("input_ids", tok.CharTokenizer().encode(F.col("text")))
     return audits.audit_sequences(rows, EOS)
 

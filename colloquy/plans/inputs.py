@@ -78,22 +78,12 @@ def examples_sql(turns_sql: str = REGULAR_TURNS_SQL) -> str:
     return f"WITH {turns_sql}, {EXAMPLES_SQL}"
 
 
-ROW_BUDGET = 4000
-
-# The same, with contexts cut to what fits a budget, as rows of a release hold them.
-BUDGETED_SQL = f"""
-sized AS (
-  SELECT *, length(role) + length(text) + 2 AS tokens FROM irregular WHERE text IS NOT NULL),
-started AS (
-  SELECT *, coalesce(sum(tokens) OVER w, 0) AS start FROM sized
-  WINDOW w AS (PARTITION BY conv_id ORDER BY turn
-               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+# The same, with contexts as lists of messages.
+WHOLE_SQL = """
 gathered AS (
-  SELECT *, coalesce(list({{'role': role, 'text': text, 'start': start}}) OVER w, []) AS earlier
-  FROM started WINDOW w AS (PARTITION BY conv_id ORDER BY turn
+  SELECT *, coalesce(list({'role': role, 'text': text}) OVER w, []) AS items
+  FROM irregular WHERE text IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-budgeted AS (
-  SELECT *, list_filter(earlier, lambda m: m.start >= start - {ROW_BUDGET}) AS items FROM gathered),
 examples AS (
   SELECT conv_id || '-' || turn AS example_id, conv_id::VARCHAR AS session_id,
     turn::INTEGER AS target_turn_index, len(items) AS n_context, items, text AS target_text,
@@ -101,11 +91,11 @@ examples AS (
       AS asked,
     list_contains(list_transform(items, lambda m: m.role), 'system') AS has_system,
     list_transform(items, lambda m: m.role || ':' || m.text) AS lines
-  FROM budgeted WHERE role = 'assistant')"""
+  FROM gathered WHERE role = 'assistant')"""
 
 
-def budgeted_sql(turns_sql: str) -> str:
-    return f"WITH {turns_sql}, {BUDGETED_SQL}"
+def whole_sql(turns_sql: str) -> str:
+    return f"WITH {turns_sql}, {WHOLE_SQL}"
 
 
 def masked_sql(turns_sql: str, limit: int, drops: str = "NULL") -> str:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import jsontext, rendering, toolcalls
 from colloquy.functions import messages as msg
-from colloquy.plans.inputs import IRREGULAR_TURNS_SQL, budgeted_sql, irregular_turns, turns
-from colloquy.plans.registry import plan, spread_table, table
+from colloquy.plans.inputs import IRREGULAR_TURNS_SQL, whole_sql, irregular_turns, turns
+from colloquy.plans.registry import plan, table
 from colloquy.plans.supervised import irregular_rows
 
 # Calls derive from events: every third is nested, every eleventh has broken
@@ -45,7 +45,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         nothing.alias("arguments"),
         F.struct(F.col("event_type").alias("name"), arguments.alias("arguments")).alias("function"),
     )
-    return spread_table(spark, sf_dir, "events", "event_id", "event_type", "props").select(
+    return table(spark, sf_dir, "events", "event_id", "event_type", "props").select(
         "event_id", F.when(eid % 3 == 0, nested).otherwise(flat).alias("call")
     )
 
@@ -120,7 +120,7 @@ def canonical_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     compact = F.replace(F.col("props"), F.lit(": "), F.lit(":"))
     canonical = jsontext.canonical_json(compact)
     return (
-        spread_table(spark, sf_dir, "events", "event_id", "props")
+        table(spark, sf_dir, "events", "event_id", "props")
         .select("event_id", canonical.alias("canonical"))
         .withColumn("digest", F.md5("canonical"))
     )
@@ -222,7 +222,7 @@ def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, F.col("event_type"))
     )
     item = msg.message(F.lit("assistant"), content, tool_name=F.lit(" tool "))
-    events = spread_table(spark, sf_dir, "events", "event_id", "event_type", "props")
+    events = table(spark, sf_dir, "events", "event_id", "event_type", "props")
     return events.select("event_id", F.array(item).alias("items"))
 
 
@@ -335,7 +335,7 @@ def resolved_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONTEXTS_SQL = (
-    budgeted_sql(IRREGULAR_TURNS_SQL)
+    whole_sql(IRREGULAR_TURNS_SQL)
     + ", targets AS (SELECT example_id, items, target_text AS text FROM examples)"
 )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators import comparison, telemetry, tool_eval
-from colloquy.plans.registry import plan, spread_table, table
+from colloquy.plans.registry import plan, table
 from colloquy.session import scratch_dir
 from colloquy.sources.comparison_store import load_comparison, save_comparison
 
@@ -157,7 +157,7 @@ def compared_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     event, kind = F.col("event_id"), F.col("event_id") % 5
     number = F.regexp_extract("props", r"\d+", 0)
     events = ("event_id", "event_type", "user_id", "props")
-    expected = spread_table(spark, sf_dir, "events", *events).select(
+    expected = table(spark, sf_dir, "events", *events).select(
         event.alias("example_id"),
         F.lit(0).alias("call_index"),
         F.col("event_type").alias("name"),

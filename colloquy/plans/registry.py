@@ -7,8 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.session import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -34,10 +32,7 @@ def plan(sql: str | None = None, name: str | None = None) -> Callable[[Query], Q
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table on all cores, for costly row-local work."""
-    return spread(table(spark, sf_dir, name).select(*columns))
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A given table, or some of its columns."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df

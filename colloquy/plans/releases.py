@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import examples, governance, splits
 from colloquy.plans.formatting import PAIRS_SQL, preference_rows
 from colloquy.plans.inputs import EVAL_PERCENT, SEED, split_sql, turns
-from colloquy.plans.registry import plan, spread_table, table
+from colloquy.plans.registry import plan, table
 from colloquy.plans.supervised import OVERHEAD, TOKEN_BUDGET
 from colloquy.session import scratch_dir
 from colloquy.sources import manifest as mf
@@ -212,7 +212,7 @@ def manifest_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"dataset_id": "é%s", "dataset_version": "%d"}', "o_orderpriority", "o_custkey"
     )
     names = ("o_orderkey", "o_orderpriority", "o_custkey")
-    texts = spread_table(spark, sf_dir, "orders", *names).select("o_orderkey", body.alias("body"))
+    texts = table(spark, sf_dir, "orders", *names).select("o_orderkey", body.alias("body"))
     parsed = mf.parse_manifest(texts, "body")
     names = ("dataset_id", "dataset_version")
     fields = [F.try_variant_get("manifest", f"$.{n}", "string").alias(n) for n in names]

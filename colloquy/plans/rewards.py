@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import completions, rewards, text
 from colloquy.operators import audits, scoring
-from colloquy.plans.registry import plan, spread_table, table
+from colloquy.plans.registry import plan, table
 
 NAMES = tuple(name for name, _ in rewards.REWARDS)
 
@@ -86,7 +86,7 @@ def completion_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.format_string("<think>count</think> then <SOLUTION>%d</SOLUTION>", q))
     )
     columns = ("l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
-    return spread_table(spark, sf_dir, "lineitem", *columns).select(
+    return table(spark, sf_dir, "lineitem", *columns).select(
         "l_returnflag",
         "l_linestatus",
         kind.alias("kind"),
@@ -144,7 +144,7 @@ def paired_answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guesses joined to true answers on an explicit id, with the other tag set."""
     tags = rewards.WORKING_OUT_TAGS
     columns = ("o_orderkey", "o_orderpriority", "o_totalprice", "o_custkey")
-    orders = spread_table(spark, sf_dir, "orders", *columns)
+    orders = table(spark, sf_dir, "orders", *columns)
     price = F.floor("o_totalprice").cast("bigint")
     guesses = orders.select(
         F.col("o_orderkey").alias("example_id"),
@@ -182,7 +182,7 @@ def hash_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     return (
-        spread_table(spark, sf_dir, "lineitem", *columns)
+        table(spark, sf_dir, "lineitem", *columns)
         .select("l_orderkey", "l_linenumber", q.alias("q"), rewards.hash_answer(worked).alias("answer"))
         .groupBy("l_orderkey", "l_linenumber", "q", "answer")
         .agg(F.count("*").alias("rows"))
@@ -226,7 +226,7 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .otherwise(body)
     )
-    return spread_table(spark, sf_dir, "documents", "doc_id", "source", "text").select(
+    return table(spark, sf_dir, "documents", "doc_id", "source", "text").select(
         "doc_id",
         "source",
         F.get(reasons, (doc % 4).cast("int")).alias("done_reason"),
@@ -313,7 +313,7 @@ FROM flat"""
 )
 def text_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.col("text")
-    return spread_table(spark, sf_dir, "documents", "doc_id", "text").select(
+    return table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id",
         text.preview(body).alias("preview"),
         text.cut(body, 200).alias("cut_200"),

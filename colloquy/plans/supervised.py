@@ -14,9 +14,8 @@ from colloquy.plans.inputs import (
     IRREGULAR_TURNS_SQL,
     MAX_SEQ_LEN,
     REGULAR_TURNS_SQL,
-    ROW_BUDGET,
     SEED,
-    budgeted_sql,
+    whole_sql,
     examples_sql,
     id_sum,
     irregular_turns,
@@ -96,24 +95,23 @@ def sequence_fit_at(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     + f"""
 SELECT example_id, session_id, target_turn_index, n_context AS context_messages, asked,
   length(prompt_text)::BIGINT AS prompt_chars, length(full_text)::BIGINT AS full_chars,
-  md5(right(full_text, {MAX_SEQ_LEN})) AS kept_text, md5(target_text) AS target
+  md5(full_text) AS full_text, md5(target_text) AS target
 FROM examples"""
 )
 def single_turn_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One example per assistant turn with exact totals and the reachable context."""
-    rows = examples.single_turn(turns(spark, sf_dir), MAX_SEQ_LEN)
+    """One example per assistant turn with its whole context."""
+    rows = examples.single_turn(turns(spark, sf_dir))
     prompt = PlainTemplate().render(F.col("messages"), generation_prompt=True)
     full = F.concat(F.col("prompt_text"), F.col("target_text"))
-    chars = F.col("omitted_tokens") + F.length("prompt_text")
     return rows.withColumn("prompt_text", prompt).select(
         "example_id",
         "session_id",
         "target_turn_index",
-        (F.col("omitted_messages") + F.size("messages")).alias("context_messages"),
+        F.size("messages").cast("bigint").alias("context_messages"),
         "asked",
-        chars.alias("prompt_chars"),
-        (chars + F.length("target_text")).alias("full_chars"),
-        F.md5(F.right(full, F.lit(MAX_SEQ_LEN))).alias("kept_text"),
+        F.length("prompt_text").cast("bigint").alias("prompt_chars"),
+        F.length(full).cast("bigint").alias("full_chars"),
+        F.md5(full).alias("full_text"),
         F.md5("target_text").alias("target"),
     )
 
@@ -141,27 +139,21 @@ def merged_assistant_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     MERGED_SQL
     + """
 SELECT conv_id || '-' || turn AS example_id, count(*) OVER w AS context_messages,
-  coalesce(sum(length(role) + length(text) + 2) OVER w, 0)::BIGINT AS context_tokens,
+  md5(coalesce(string_agg(role || ':' || text, chr(10)) OVER w, '')) AS context,
   md5(text) AS target
 FROM merged WINDOW w AS (PARTITION BY conv_id ORDER BY turn
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 QUALIFY role = 'assistant'"""
 )
 def merged_turn_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Examples after consecutive assistant turns were merged."""
+    """Whole-context examples after consecutive assistant turns were merged."""
     merged = examples.merge_consecutive_assistant(irregular_turns(spark, sf_dir))
-    rows = examples.single_turn(
-        merged, MAX_SEQ_LEN, target_mode="merge_consecutive_assistant"
-    )
-    carried = F.aggregate(
-        "messages",
-        F.lit(0).cast("bigint"),
-        lambda acc, m: acc + F.length(m["role"]) + F.length(m["content"]) + 2,
-    )
+    rows = examples.single_turn(merged, target_mode="merge_consecutive_assistant")
+    lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
     return rows.select(
         "example_id",
-        (F.col("omitted_messages") + F.size("messages")).alias("context_messages"),
-        (F.col("omitted_tokens") + carried).alias("context_tokens"),
+        F.size("messages").cast("bigint").alias("context_messages"),
+        F.md5(F.array_join(lines, "\n")).alias("context"),
         F.md5("target_text").alias("target"),
     )
 
@@ -208,7 +200,7 @@ def with_missing_targets(df: DataFrame) -> DataFrame:
 
 
 CLASSIFIED_SQL = (
-    budgeted_sql(IRREGULAR_TURNS_SQL)
+    whole_sql(IRREGULAR_TURNS_SQL)
     + f""",
 classified AS (
   SELECT *, {split_sql("session_id")} AS split,
@@ -221,9 +213,8 @@ classified AS (
 
 
 def irregular_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows as a release holds them: the context within a budget and nothing else."""
-    rows = examples.budgeted(irregular_turns(spark, sf_dir), ROW_BUDGET)
-    return split_examples(rows.drop("omitted_tokens", "omitted_messages", "asked"))
+    """Rows with their whole contexts, as templates and reports need them."""
+    return split_examples(examples.single_turn(irregular_turns(spark, sf_dir)))
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,7 +336,7 @@ BYTES = tz.assistant_only(
 
 
 @plan(
-    budgeted_sql(IRREGULAR_TURNS_SQL)
+    whole_sql(IRREGULAR_TURNS_SQL)
     + f""",
 kept AS (
   SELECT example_id, array_to_string(list_append(lines, 'assistant:'), chr(10)) AS prompt,
@@ -368,18 +359,26 @@ def byte_token_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _arrow_masks(spark, sf_dir, BYTES)
 
 
-@plan()
+@plan(
+    whole_sql(IRREGULAR_TURNS_SQL)
+    + """
+SELECT example_id, md5(array_to_string(list_append(lines, 'assistant:' || target_text), chr(10))) AS decoded,
+  true AS has_tokens, 0 AS is_truncated
+FROM examples WHERE n_context > 0 AND asked"""
+)
 def bpe_token_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokenization with a byte-pair vocabulary from a file; not expressible in SQL.
-
-    Without the vocabulary file at hand, bytes are the tokens.
-    """
-    try:
-        import public_tokenizers
-    except ImportError:
-        return _arrow_masks(spark, sf_dir, BYTES)
-    tokenizer = tok.tokenizer_file(public_tokenizers.path("byte_bpe_50k.json"))
-    return _arrow_masks(spark, sf_dir, tz.assistant_only(1024, tokenizer=tokenizer))
+    """Byte-pair ids of whole rows, decoded again: the vocabulary is lossless."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    spec = tz.assistant_only(1 << 30, tokenizer=tok.tokenizer_file(path))
+    kept, _ = tz.valid_and_dropped(tz.tokenize(irregular_rows(spark, sf_dir), spec))
+    return kept.select(
+        "example_id",
+        F.md5(tok.tokenizer_file_decoder(path)(F.col("input_ids"))).alias("decoded"),
+        ((F.col("n_tokens") > 0) & (F.col("prompt_len") < F.col("n_tokens"))).alias("has_tokens"),
+        "is_truncated",
+    )
 
 
 def _arrow_masks(spark: SparkSession, sf_dir: str, spec: tz.TokenizeSpec) -> DataFrame:
