@@ -49,7 +49,9 @@ def test_single_turn_keeps_what_truncation_needs(spark, long, reach):
     rows = conversations(reach)
     got = {
         (r["session_id"], r["target_turn_index"]): r
-        for r in examples.single_turn(frame(spark, rows), reach, long=long).collect()
+        for r in examples.single_turn(frame(spark, rows), reach, long=long)
+        .where("target_text IS NOT NULL")
+        .collect()
     }
     expected = list(walk(rows))
     assert len(got) == len(expected)
@@ -121,10 +123,25 @@ def test_examples_of_merged_turns_cross_blocks(spark):
         assert r.omitted_tokens + len(carried) == len(full)
 
 
-def test_long_conversations_are_found(spark):
-    short, long = [(1, 0, "user", "a")], [(1, examples.block_turns(5), "user", "a")]
-    assert not examples.has_long_conversations(frame(spark, short), 5)
-    assert examples.has_long_conversations(frame(spark, long), 5)
+@pytest.mark.parametrize("reach", [None, 10])
+def test_turns_without_text_are_rows_without_target(spark, reach):
+    rows = conversations(2)
+    out = examples.single_turn(frame(spark, rows), reach).where("target_text IS NULL").collect()
+    lost = [(str(conv), turn) for conv, turn, role, text in rows if role == "assistant" and text is None]
+    assert sorted((r.session_id, r.target_turn_index) for r in out) == sorted(lost)
+    assert all(not r.messages for r in out)
+
+
+def test_whole_contexts(spark):
+    rows = conversations(4)
+    out = examples.single_turn(frame(spark, rows)).where("target_text IS NOT NULL").collect()
+    got = {(r.session_id, r.target_turn_index): r for r in out}
+    expected = list(walk(rows))
+    assert len(got) == len(expected)
+    for conv, turn, earlier, text in expected:
+        r = got[str(conv), turn]
+        assert [(m.role, m.content) for m in r.messages] == [item[1:] for item in earlier]
+        assert r.target_text == text and "omitted_tokens" not in out[0].asDict()
 
 
 @pytest.mark.parametrize("long", [True, False])
