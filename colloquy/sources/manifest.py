@@ -5,8 +5,10 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,14 +118,38 @@ def _normal(uri: str) -> str:
     return uri if "://" in uri else posixpath.abspath(uri)
 
 
-def _read(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
-    return spark.read.parquet(*[hadoop_uri(u) for u in uris])
+def _tables(spark: SparkSession, uris: Sequence[str]) -> list[DataFrame]:
+    """The files as tables that lose no column: one if their types agree, else one per schema.
+
+    Spark compares the footers in a job. Only where types contradict each other are
+    the files told apart by their schemas.
+    """
+
+    def read(group: Sequence[str]) -> DataFrame:
+        return spark.read.option("mergeSchema", "true").parquet(*[hadoop_uri(u) for u in group])
+
+    try:
+        return [read(uris)]
+    except Py4JJavaError as conflict:
+        if "CANNOT_MERGE_SCHEMAS" not in str(conflict.java_exception):
+            raise
+    groups: dict[str, list[str]] = {}
+    for uri in uris:
+        groups.setdefault(spark.read.parquet(hadoop_uri(uri)).schema.json(), []).append(uri)
+    return [read(group) for group in groups.values()]
+
+
+def _union(tables: Sequence[DataFrame], schema: T.StructType | None) -> DataFrame:
+    """The tables as one, each brought to the schema first; other columns follow by name."""
+    if schema is not None:
+        tables = [conform(part, schema) for part in tables]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def rows_per_file(spark: SparkSession, uris: Sequence[str]) -> dict[str, int]:
     """Row counts by normalized address, from file footers only."""
     counts = (
-        _read(spark, uris)
+        spark.read.parquet(*[hadoop_uri(u) for u in uris])
         .groupBy(F.col("_metadata.file_path").alias("path"))
         .agg(F.count("*").alias("rows"))
         .collect()  # one row per listed file, and the list is a manifest's
@@ -131,8 +157,10 @@ def rows_per_file(spark: SparkSession, uris: Sequence[str]) -> dict[str, int]:
     return {_normal(unquote(row["path"])): row["rows"] for row in counts}
 
 
-def scan_split(spark: SparkSession, uris: Sequence[str], limit: int | None = None) -> DataFrame:
-    """Rows of the files; with a limit, the first ones in manifest and file order.
+def split_tables(
+    spark: SparkSession, uris: Sequence[str], limit: int | None = None
+) -> list[DataFrame]:
+    """Tables of the files; with a limit, of the first rows in manifest and file order.
 
     A limit is a choice of files: those that fit whole, and the head of the next one.
     No other file is read, and nothing is sorted.
@@ -140,20 +168,35 @@ def scan_split(spark: SparkSession, uris: Sequence[str], limit: int | None = Non
     if not uris:
         raise ValueError("no split files")
     if limit is None:
-        return _read(spark, uris)
+        return _tables(spark, uris)
     counts = rows_per_file(spark, uris)
     whole, left = [], limit
     for uri in uris:
         rows = counts.get(_normal(uri), 0)
         if rows > left:
-            head = _read(spark, [uri]).where(F.col("_metadata.row_index") < left)
-            return _read(spark, whole).unionByName(head, True) if whole else head
+            heads = [t.where(F.col("_metadata.row_index") < left) for t in _tables(spark, [uri])]
+            return (_tables(spark, whole) if whole else []) + heads
         whole.append(uri)
         left -= rows
-    return _read(spark, uris)
+    return _tables(spark, uris)
 
 
-def with_file_order(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
+def scan_split(
+    spark: SparkSession,
+    uris: Sequence[str],
+    limit: int | None = None,
+    schema: T.StructType | None = None,
+) -> DataFrame:
+    """Rows of the files, all or the first ones, with every column that any file has.
+
+    Files of contradicting types need a schema to agree on.
+    """
+    return _union(split_tables(spark, uris, limit), schema)
+
+
+def with_file_order(
+    spark: SparkSession, uris: Sequence[str], schema: T.StructType | None = None
+) -> DataFrame:
     """Rows of the files with their order: ``file_pos`` in the list and ``row_index``."""
     listed = spark.createDataFrame(
         [(_normal(uri), position) for position, uri in enumerate(uris)],
@@ -162,9 +205,8 @@ def with_file_order(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     path = F.regexp_replace(path, r"\Afile:/+", "/")
     path = F.regexp_replace(path, r"\As3[an]?://", "s3://")
-    rows = _read(spark, uris).select(
-        "*", path.alias("_path"), F.col("_metadata.row_index").alias("row_index")
-    )
+    placed = ("*", path.alias("_path"), F.col("_metadata.row_index").alias("row_index"))
+    rows = _union([part.select(*placed) for part in _tables(spark, uris)], schema)
     unlisted = F.raise_error(F.concat(F.lit("file is not in the list: "), F.col("_path")))
     return (
         rows.join(listed, "_path", "left")
@@ -227,10 +269,10 @@ def _load(
         if cache_mode == "refresh":
             for folder in sorted({posixpath.dirname(u) for u in uris}):
                 spark.catalog.refreshByPath(hadoop_uri(folder))
-        raw = scan_split(spark, uris, limit)
-        if required:
-            check_columns(raw, name, required)
-        parts.append(conform(raw, schema).withColumn("split", F.lit(name)))
+        tables = split_tables(spark, uris, limit)
+        for part in tables if required else ():
+            check_columns(part, name, required)
+        parts.append(_union(tables, schema).withColumn("split", F.lit(name)))
     rows = parts[0].unionByName(parts[1], allowMissingColumns=True)
     return Release(rows=rows, manifest=manifest)
 

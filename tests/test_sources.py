@@ -88,6 +88,29 @@ def test_splits_may_disagree_on_argument_types(spark, tmp_path):
     assert json.loads(texts["eval"]) == {"trigger": {"id": "x"}}
 
 
+def differing_files(tmp_path):
+    """Files of one split with different columns, and with contradicting types of one."""
+    said = {"role": "assistant", "content": "from a message"}
+    write(tmp_path / "a.parquet", [{"example_id": "a", "target_text": "from a text", "session_id": 1}])
+    write(tmp_path / "b.parquet", [{"example_id": "b", "target_message": said, "session_id": "two"}])
+    write(tmp_path / "c.parquet", [{"example_id": "c", "target_text": "c", "target_mode": "m"}])
+
+
+@pytest.mark.parametrize("order", ["abc", "cba", "bac"])
+def test_files_of_a_split_may_differ(spark, tmp_path, order):
+    differing_files(tmp_path)
+    split = {"train": [f"{name}.parquet" for name in order], "eval": ["a.parquet"]}
+    uri = write_manifest(tmp_path, [{"split": k, "key": f} for k, files in split.items() for f in files])
+    rows = mf.load_sft_release(spark, uri).split("train").collect()
+    got = {r.example_id: (r.target_text, r.target_message and r.target_message.content, r.session_id) for r in rows}
+    assert got == {"a": ("from a text", None, "1"), "b": (None, "from a message", "two"), "c": ("c", None, None)}
+    first = mf.load_sft_release(spark, uri, max_train_samples=2).split("train").collect()
+    assert sorted(r.example_id for r in first) == sorted(order[:2])
+    uris = [f"{tmp_path}/{name}.parquet" for name in order]
+    placed = mf.with_file_order(spark, uris, SFT_ROW).orderBy("file_pos", "row_index").collect()
+    assert "".join(r.example_id for r in placed) == order
+
+
 def test_manifest_errors(spark, tmp_path):
     write(tmp_path / "train.parquet", [SFT])
     uri = write_manifest(tmp_path, [{"split": "train", "key": "train.parquet"}, {"split": "eval", "key": 5},
