@@ -4,7 +4,8 @@ Each token has the log-odds of toxic against other documents under an informativ
 Dirichlet prior (Monroe, Colaresi, Quinn: "Fightin' Words"): the prior is the background
 rate of all learned documents, so rare tokens stay near zero. Tokens whose log-odds are
 many standard errors above zero keep them, all others count a small loss. Words that
-share a beginning share evidence: a word is a token, and so are its first bytes.
+share a beginning share evidence: the first bytes of words that have no weight of their own are
+tokens too.
 
 The maximal scoring segments of a text (Ruzzo and Tompa, linear time) are its passages.
 Their significance follows from extreme-value theory (Karlin and Altschul): in ``n`` clean
@@ -33,10 +34,10 @@ from colloquy.llm.common import doc_column, remainder, stored, text_bytes, train
 #: Documents learned from, distinct tokens kept with a weight, and counts a task holds at once.
 MAX_LEARNED, MAX_WEIGHTS, HELD = 200_000, 50_000, 200_000
 #: Lengths in bytes of the beginnings that count as tokens.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 #: Prior strength as a share of the learned tokens, standard errors, documents with the
 #: token, and the loss of every other token.
-PRIOR, ERRORS, LEAST, LOSS = 0.1, 4.0, 5, 0.25
+PRIOR, ERRORS, LEAST, LOSS = 0.1, 3.5, 5, 0.25
 
 #: Letters to lower case, other ASCII to blanks; UTF-8 bytes of other characters stay.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -130,8 +131,9 @@ def probability(model: Model, value: float) -> float:
     return 1 / (1 + math.exp(-min(30.0, max(-30.0, model.base + model.slope * math.log1p(value)))))
 
 
-def _token_counts(rows: DataFrame) -> DataFrame:
-    """``token, toxic, other``: learned documents that hold each word or beginning."""
+def _token_counts(rows: DataFrame, known: dict[bytes, float] | None) -> DataFrame:
+    """``token, toxic, other``: learned documents that hold each word, or beginning of a word not ``known``."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (Counter(), Counter())
@@ -151,7 +153,9 @@ def _token_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = set(tokens(text.as_py()))
-                words |= {word[:length] for length in BEGINNINGS for word in words if len(word) > length}
+                if shared.value is not None:
+                    words -= shared.value.keys()
+                    words = {word[:length] for length in BEGINNINGS for word in words if len(word) > length}
                 held[label].update(words)
                 if len(held[0]) + len(held[1]) > HELD:
                     yield from flush()
@@ -162,8 +166,14 @@ def _token_counts(rows: DataFrame) -> DataFrame:
 
 
 def learned_weights(rows: DataFrame) -> dict[bytes, float]:
+    """Weights of words, and of beginnings that other words share."""
+    words = _significant(_token_counts(rows, None))
+    return _significant(_token_counts(rows, words)) | words
+
+
+def _significant(counts: DataFrame) -> dict[bytes, float]:
     """Log-odds of the tokens that lie ``ERRORS`` standard errors above zero, at most MAX_WEIGHTS."""
-    counts = _token_counts(rows)
+    counts = stored(counts, "toxic-counts")
     toxic, other = F.col("toxic"), F.col("other")
     sums = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("other"), F.lit(0))).first()
     n1, n0 = float(sums[0]), float(sums[1])
