@@ -154,7 +154,7 @@ def _token_counts(rows: DataFrame, known: dict[bytes, float] | None) -> DataFram
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = set(tokens(text.as_py()))
                 if shared.value is not None:
-                    words -= shared.value.keys()
+                    words = [word for word in words if word not in shared.value]
                     words = {word[:length] for length in BEGINNINGS for word in words if len(word) > length}
                 held[label].update(words)
                 if len(held[0]) + len(held[1]) > HELD:
