@@ -1,9 +1,13 @@
 """Exact row positions without a global sort.
 
-Every position is ``rows in earlier buckets + rank inside the bucket``. Buckets are
-ranges of the order key, so their counts are one map-side-combined aggregate, the
-prefix sum runs over a table whose size is fixed by the bucket count, and only the
-rank inside a bucket needs a sort. Keys are unique, so no bucket can be hot.
+Pages, caps, multiples and samples need no position of every row, only the order value
+at which they begin and end. ``before`` finds it by nested histograms: counts by range,
+and again inside the one range that holds the position, until that is small. What remains is a
+filter on each row; no payload is shuffled, and gaps or crowds among the values cost further
+rounds but never a large range in one task.
+
+Batches number every row: ``rows in earlier buckets + rank inside the bucket``. Their buckets
+are digest prefixes, which are uniform; the prefix sum runs over a table of fixed size.
 """
 
 from __future__ import annotations
@@ -67,57 +71,73 @@ def with_shuffled_ordinal(
     return _ranked(hashed, ["_digest", *keys], ordinal, total).drop("_digest")
 
 
-def with_key_ordinal(
-    df: DataFrame,
-    key: str,
-    *,
-    ordinal: str = "ordinal",
-    total: str = "n_rows",
-) -> DataFrame:
-    """Zero-based position in the order of a unique integer key, and the row count.
+def before(df: DataFrame, position: int, order: Column, coarse: Column | None = None) -> Column:
+    """A condition that the rows before a position in the order of unique values fulfil.
 
-    The key range is one row, read first; it sets a bucket width that keeps the
-    bucket table within ``MAX_BUCKETS`` rows and each bucket within that width.
+    ``coarse`` is an integer that follows the order, by default the order value itself.
+    Rows without one have no position. Reads that column alone, in a few aggregates.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn(ordinal, F.lit(0).cast("bigint")).withColumn(
-            total, F.lit(0).cast("bigint")
+    rows = df.select((order if coarse is None else coarse).alias("_c"), order.alias("_o"))
+    low, high, total = rows.agg(F.min("_c"), F.max("_c"), F.count("_c")).first()
+    if position <= 0 or not total:
+        return F.lit(False)
+    if position >= total:
+        return order.isNotNull()
+    earlier = 0
+    while True:
+        width = -(-(high - low + 1) // MAX_BUCKETS)
+        inside = rows.where(F.col("_c").between(low, high))
+        counts = inside.groupBy(F.expr(f"(_c - {low}L) div {width}L").alias("_bucket")).agg(
+            F.count("*").alias("n")
+        )
+        reached = F.sum("n").over(Window.orderBy("_bucket")) + earlier
+        bucket, n, reached = (
+            counts.withColumn("reached", reached)
+            .where(F.col("reached") > position)
+            .orderBy("_bucket")
+            .first()
         )
-    width = max(1024, -(-(high - low + 1) // MAX_BUCKETS))
-    bucketed = df.withColumn("_bucket", F.floor((F.col(key) - low) / width).cast("int"))
-    return _ranked(bucketed, [key], ordinal, total)
+        earlier = reached - n
+        low = low + bucket * width
+        high = min(high, low + width - 1)
+        if n <= MAX_BUCKETS or width == 1:
+            break
+    edge = rows.where(F.col("_c").between(low, high)).orderBy("_o")
+    return order < F.lit(edge.offset(position - earlier).first()["_o"])
 
 
-def first_rows(df: DataFrame, limit: int | None, ordinal: str = "ordinal") -> DataFrame:
-    """The first ``limit`` rows by position; every row without a limit."""
-    return df if limit is None else df.where(F.col(ordinal) < limit)
+def before_in_seeded_order(df: DataFrame, position: int, keys: list[str], seed: int = 42) -> Column:
+    """As ``before``, in the seeded order of unique keys."""
+    digest = seeded_key(seed, *keys)
+    return before(df, position, digest, F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
 
 
-def multiple_of(df: DataFrame, k: int, ordinal: str = "ordinal", total: str = "n_rows") -> DataFrame:
-    """Drop the rest rows beyond the largest multiple of ``k``."""
-    return df.where(F.col(ordinal) < F.floor(F.col(total) / k) * k)
+def first_rows(df: DataFrame, key: str, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows in the order of a unique integer key; all without a limit."""
+    return df if limit is None else df.where(before(df, limit, F.col(key)))
 
 
-def page(
-    df: DataFrame,
-    index: int,
-    max_rows: int,
-    ordinal: str = "ordinal",
-    total: str = "n_rows",
-) -> DataFrame:
-    """Page ``index`` of ``max_rows`` rows, with the next index and the page count.
+def multiple_of(df: DataFrame, key: str, k: int) -> DataFrame:
+    """Drop the rest rows beyond the largest multiple of ``k``, in the order of the key."""
+    return df.where(before(df, df.count() // k * k, F.col(key)))
+
+
+def page(df: DataFrame, key: str, index: int, max_rows: int) -> DataFrame:
+    """Page ``index`` of ``max_rows`` rows with their positions, the next index and the page count.
 
     A table of fewer than ``max_rows`` rows is one page; next index and page count
     are 0 then.
     """
-    n = F.col(total)
+    n = df.count()
     fits = n < max_rows
-    inside = (F.col(ordinal) >= index * max_rows) & (F.col(ordinal) < (index + 1) * max_rows)
-    return (
-        df.where(fits | inside)
-        .withColumn("next_index", F.when(fits, 0).otherwise(index + 1).cast("bigint"))
-        .withColumn("page_count", F.when(fits, 0.0).otherwise(n / max_rows + 1))
+    start = 0 if fits else index * max_rows
+    rows = df.where(~before(df, start, F.col(key)) & before(df, start + max_rows, F.col(key)))
+    place = F.row_number().over(Window.orderBy(key)) - 1 + start  # a page of rows
+    return rows.select(
+        "*",
+        place.cast("bigint").alias("ordinal"),
+        F.lit(0 if fits else index + 1).cast("bigint").alias("next_index"),
+        F.lit(0.0 if fits else n / max_rows + 1).alias("page_count"),
     )
 
 
@@ -127,8 +147,7 @@ def eval_sample_size(max_rows: int) -> int:
 
 def sample_train(df: DataFrame, keys: list[str], max_rows: int, seed: int = 42) -> DataFrame:
     """All rows if there are fewer than ``max_rows``, else that many in seeded order."""
-    ranked = with_shuffled_ordinal(df, keys, seed)
-    return ranked.where(F.col("ordinal") < max_rows).drop("ordinal", "n_rows")
+    return df.where(before_in_seeded_order(df, max_rows, keys, seed))
 
 
 def sample_eval(df: DataFrame, keys: list[str], max_rows: int, seed: int = 42) -> DataFrame:

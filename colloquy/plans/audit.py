@@ -140,8 +140,7 @@ checked AS (SELECT len(ids) AS n, len(list_filter(ids, lambda x: x = {EOS})) AS
 )
 def first_rows_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus summary of the first documents, the diagnostic sample of the audit."""
-    ranked = ordering.with_key_ordinal(table(spark, sf_dir, "documents"), "doc_id")
-    sample = ordering.first_rows(ranked, DIAGNOSED)
+    sample = ordering.first_rows(table(spark, sf_dir, "documents"), "doc_id", DIAGNOSED)
     coded = sample.withColumn("input_ids", tok.CharTokenizer().encode(F.col("text")))
     return _rounded(audits.corpus_summary(audits.audit_sequences(coded, EOS)))
 

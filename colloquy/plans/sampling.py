@@ -44,18 +44,17 @@ FROM ranked WHERE n < {PAGE_SIZE} OR ordinal // {PAGE_SIZE} = {PAGE}"""
 def partition_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page of a table in key order."""
     rows = table(spark, sf_dir, "documents").select("doc_id")
-    ranked = ordering.with_key_ordinal(rows, "doc_id")
-    return ordering.page(ranked, PAGE, PAGE_SIZE).drop("n_rows")
+    return ordering.page(rows, "doc_id", PAGE, PAGE_SIZE)
 
 
 @plan(
-    """SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM labels
+    """SELECT doc_id, quality FROM labels
 QUALIFY row_number() OVER (ORDER BY doc_id) <= count(*) OVER () // 4 * 4"""
 )
 def multiple_of_four(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows up to the largest multiple of the generation group size."""
-    rows = table(spark, sf_dir, "labels").select("doc_id")
-    return ordering.multiple_of(ordering.with_key_ordinal(rows, "doc_id"), 4).drop("n_rows")
+    rows = table(spark, sf_dir, "labels", "doc_id", "quality")
+    return ordering.multiple_of(rows, "doc_id", 4)
 
 
 @plan(

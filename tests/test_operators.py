@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 from colloquy.operators import audits, comparison, ordering, splits, telemetry, tool_eval
 
 
-def test_key_ordinal_equals_sorted_position(spark):
-    keys = random.Random(1).sample(range(-500_000, 5_000_000), 3000)
-    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(5)
-    got = ordering.with_key_ordinal(df, "k").orderBy("k").collect()
-    assert [(r.k, r.ordinal) for r in got] == [(k, i) for i, k in enumerate(sorted(keys))]
-    assert {r.n_rows for r in got} == {3000}
-    assert ordering.with_key_ordinal(df.limit(0), "k").count() == 0
+@pytest.mark.parametrize("outlier", [[], [10**15, -(10**14)]])
+def test_rows_before_a_position(spark, monkeypatch, outlier):
+    """Gaps, crowds and far outliers need further histograms, not larger ones."""
+    monkeypatch.setattr(ordering, "MAX_BUCKETS", 16)
+    keys = random.Random(1).sample(range(-500, 5_000), 900) + outlier
+    df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k long").repartition(5)
+    for position in (0, 1, 13, 899, 900, 5000):
+        got = sorted(r.k for r in df.where(ordering.before(df, position, F.col("k"))).collect())
+        assert got == sorted(keys)[:position]
+    assert df.limit(0).where(ordering.before(df.limit(0), 3, F.col("k"))).count() == 0
+
+
+def test_no_text_crosses_a_shuffle_for_a_sample(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sample = ordering.sample_train(docs, ["doc_id"], 100)
+    assert "Exchange" not in sample._jdf.queryExecution().executedPlan().toString()
 
 
 def test_shuffled_ordinal_is_a_seeded_permutation(spark):
@@ -31,15 +40,15 @@ def test_shuffled_ordinal_is_a_seeded_permutation(spark):
 
 
 def test_pages_cover_the_table(spark):
-    ranked = ordering.with_key_ordinal(spark.range(25), "id")
-    pages = [ordering.page(ranked, i, 10).collect() for i in range(3)]
+    rows = spark.range(25)
+    pages = [ordering.page(rows, "id", i, 10).collect() for i in range(3)]
     assert [sorted(r.id for r in p) for p in pages] == [
         list(range(10)), list(range(10, 20)), list(range(20, 25))]
     assert pages[0][0].next_index == 1 and pages[0][0].page_count == 3.5
-    small = ordering.page(ranked, 0, 26).collect()
+    small = ordering.page(rows, "id", 0, 26).collect()
     assert len(small) == 25 and {(r.next_index, r.page_count) for r in small} == {(0, 0.0)}
     # A table of exactly the limit is paged.
-    assert {r.next_index for r in ordering.page(ranked, 0, 25).collect()} == {1}
+    assert {r.next_index for r in ordering.page(rows, "id", 0, 25).collect()} == {1}
 
 
 def test_samples_and_multiples(spark):
@@ -47,8 +56,23 @@ def test_samples_and_multiples(spark):
     assert ordering.sample_train(df, ["id"], 100).count() == 100
     assert ordering.sample_train(df, ["id"], 5000).count() == 1000
     assert ordering.sample_eval(df, ["id"], 100).count() == 500
-    assert ordering.multiple_of(ordering.with_key_ordinal(spark.range(11), "id"), 4).count() == 8
-    assert ordering.first_rows(ordering.with_key_ordinal(df, "id"), None).count() == 1000
+    assert ordering.multiple_of(spark.range(11), "id", 4).count() == 8
+    assert ordering.first_rows(df, "id", None).count() == 1000
+    assert ordering.first_rows(df, "id", 7).count() == 7
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_heavy_prompts_are_salted_and_whole(spark, monkeypatch, how):
+    monkeypatch.setattr(comparison, "HEAVY_ROWS", 20)
+    monkeypatch.setattr(comparison, "HEAVY_SHARE", 10)
+    texts = ["hot"] * 300 + [f"p{i % 40}" for i in range(100)] + [None] * 5
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id long, prompt string")
+    listed = ["hot", "p1", "p2", None, "unknown"]
+    prompts = spark.createDataFrame([(t,) for t in listed], "prompt string")
+    got = comparison.where_prompt(rows, comparison._digested(prompts), how).collect()
+    among = {"hot", "p1", "p2"}
+    want = [i for i, t in enumerate(texts) if (t in among) == (how == "left_semi")]
+    assert sorted(r.row_id for r in got) == want
 
 
 def test_percent_split_keeps_units_together(spark):
