@@ -15,7 +15,8 @@ With a reach, conversations are cut into blocks of turns. Totals of earlier bloc
 from a small pre-aggregated table; the last turns of a block are copied to the next one as
 context. The work of a task is then bounded by the block size. Turns are numbered first,
 since unusable ones and gaps in ``turn`` would let the context reach further back than the
-copied turns. ``long=False`` spares that where no conversation exceeds a block.
+copied turns. ``long=False`` spares that where no conversation exceeds a block, which
+``has_long_conversations`` finds out for a table in files.
 
 An assistant turn without text is an example without a target: it is counted and dropped
 as a row of invalid shape later, and is no context of others.
@@ -47,6 +48,15 @@ def block_turns(reach: int) -> int:
     return BLOCK_REACHES * (reach + 2)
 
 
+def has_long_conversations(turns: DataFrame, reach: int) -> bool:
+    """Whether a table read from files has a conversation of more than one block.
+
+    One comparison on ``turn``, pushed down to the scan: Parquet statistics skip row groups
+    without such turns. Not for derived tables or streams, which it would compute or refuse.
+    """
+    return not turns.where(F.col("turn") >= block_turns(reach)).select("turn").limit(1).isEmpty()
+
+
 def _measured(turns: DataFrame, tokens: Column | None) -> DataFrame:
     """Usable turns with their token count; a message counts at least one token."""
     usable = turns.where(F.col("role").isNotNull() & F.col("text").isNotNull())

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.operators.examples import has_long_conversations
 from colloquy.plans.registry import table
 
 SEED = 42
@@ -35,6 +36,11 @@ def irregular_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def has_long(spark: SparkSession, sf_dir: str, reach: int) -> bool:
+    """Whether the given conversations, as they lie in files, need blocks."""
+    return has_long_conversations(turns(spark, sf_dir), reach)
+
+
 IRREGULAR_TURNS_SQL = """
 irregular AS (
   SELECT conv_id, turn,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import examples, governance, splits
 from colloquy.plans.formatting import PAIRS_SQL, preference_rows
-from colloquy.plans.inputs import EVAL_PERCENT, SEED, split_sql, turns
+from colloquy.plans.inputs import has_long, EVAL_PERCENT, SEED, split_sql, turns
 from colloquy.plans.registry import plan, table
 from colloquy.plans.supervised import OVERHEAD, TOKEN_BUDGET
 from colloquy.session import scratch_dir
@@ -29,7 +29,8 @@ CONSTRUCTION = {
 
 def supervised_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a supervised release: contexts within the budget, split by session."""
-    rows = examples.budgeted(turns(spark, sf_dir), TOKEN_BUDGET, OVERHEAD)
+    long = has_long(spark, sf_dir, TOKEN_BUDGET)
+    rows = examples.budgeted(turns(spark, sf_dir), TOKEN_BUDGET, OVERHEAD, long=long)
     labeled = splits.percent_split(rows, "session_id", EVAL_PERCENT, SEED)
     return labeled.drop("omitted_tokens", "omitted_messages", "asked")
 

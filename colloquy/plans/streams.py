@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import examples
 from colloquy.plans.inputs import (
     IRREGULAR_TURNS_SQL,
+    has_long,
     MAX_SEQ_LEN,
     id_sum,
     irregular_turns,
@@ -56,7 +57,8 @@ def stream_metric_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_tokenized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that arrive as files, tokenized into a kept and a quarantine table."""
     root = scratch_dir(spark, "stream-tokenize")
-    rows = examples.single_turn(irregular_turns(spark, sf_dir), MAX_SEQ_LEN)
+    long = has_long(spark, sf_dir, MAX_SEQ_LEN)
+    rows = examples.single_turn(irregular_turns(spark, sf_dir), MAX_SEQ_LEN, long=long)
     rows.write.parquet(f"{root}/in")
     arrivals = jobs.read_arrivals(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema)
     query = jobs.stream_tokenize(

@@ -17,6 +17,7 @@ from colloquy.plans.inputs import (
     SEED,
     whole_sql,
     examples_sql,
+    has_long,
     id_sum,
     irregular_turns,
     masked_sql,
@@ -37,11 +38,13 @@ def split_examples(df: DataFrame) -> DataFrame:
 
 
 def regular(spark: SparkSession, sf_dir: str, reach: int = MAX_SEQ_LEN) -> DataFrame:
-    return split_examples(examples.single_turn(turns(spark, sf_dir), reach))
+    long = has_long(spark, sf_dir, reach)
+    return split_examples(examples.single_turn(turns(spark, sf_dir), reach, long=long))
 
 
 def irregular(spark: SparkSession, sf_dir: str, reach: int = MAX_SEQ_LEN) -> DataFrame:
-    return split_examples(examples.single_turn(irregular_turns(spark, sf_dir), reach))
+    long = has_long(spark, sf_dir, reach)
+    return split_examples(examples.single_turn(irregular_turns(spark, sf_dir), reach, long=long))
 
 
 @plan(
@@ -131,7 +134,9 @@ merged AS (
 
 @plan(MERGED_SQL + " SELECT conv_id, turn, role, md5(text) AS text, merged_turns FROM merged")
 def merged_assistant_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = examples.merge_consecutive_assistant(irregular_turns(spark, sf_dir))
+    merged = examples.merge_consecutive_assistant(
+        irregular_turns(spark, sf_dir), long=has_long(spark, sf_dir, MAX_SEQ_LEN)
+    )
     return merged.withColumn("text", F.md5("text"))
 
 
@@ -147,7 +152,9 @@ QUALIFY role = 'assistant'"""
 )
 def merged_turn_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-context examples after consecutive assistant turns were merged."""
-    merged = examples.merge_consecutive_assistant(irregular_turns(spark, sf_dir))
+    merged = examples.merge_consecutive_assistant(
+        irregular_turns(spark, sf_dir), long=has_long(spark, sf_dir, MAX_SEQ_LEN)
+    )
     rows = examples.single_turn(merged, target_mode="merge_consecutive_assistant")
     lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
     return rows.select(
@@ -177,7 +184,8 @@ WHERE t.role = 'assistant' GROUP BY t.conv_id, t.turn, t.start"""
 )
 def budgeted_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest context messages that fit a token budget."""
-    rows = examples.budgeted(turns(spark, sf_dir), TOKEN_BUDGET, OVERHEAD)
+    long = has_long(spark, sf_dir, TOKEN_BUDGET)
+    rows = examples.budgeted(turns(spark, sf_dir), TOKEN_BUDGET, OVERHEAD, long=long)
     sizes = F.aggregate(
         "messages",
         F.lit(0).cast("bigint"),
