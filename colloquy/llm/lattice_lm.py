@@ -23,7 +23,7 @@ import functools
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +40,8 @@ CLASSES, SAMPLE, RATES = 12, 3000, 2048
 HEAD, HELD, DISCOUNT = 100_000, 300_000, 0.75
 #: Rounds of expected counts, and the weight of all classes in the pieces of each.
 ROUNDS, SHARED = 1, 50.0
+#: Characters up to which the probability of a word cannot underflow.
+SHORT = 24
 #: The empty word stands for the end of a text.
 END = b""
 #: The vocabulary's mark of a word's start.
@@ -53,16 +55,13 @@ class Classes:
     share: np.ndarray
     rates: np.ndarray
 
-    def of(self, counts: Counter) -> int:
-        return int(np.argmax(self.share + self.rates @ word_rates(counts)))
+    def of(self, words: Collection[bytes]) -> int:
+        return int(np.argmax(self.share + self.rates @ word_rates(words)))
 
 
-def word_rates(counts: Counter) -> np.ndarray:
-    """Damped counts of a document's words by hash."""
-    if not counts:
-        return np.zeros(RATES)
-    places = np.fromiter(map(zlib.crc32, counts), np.int64, len(counts)) % RATES
-    return np.log1p(np.bincount(places, np.fromiter(counts.values(), float, len(counts)), RATES))
+def word_rates(words: Collection[bytes]) -> np.ndarray:
+    """How many of a document's distinct words have each hash."""
+    return np.bincount(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % RATES, minlength=RATES)
 
 
 def fit_classes(rows: np.ndarray, number: int, rounds: int = 25) -> Classes:
@@ -92,7 +91,7 @@ def learn_classes(rows: DataFrame) -> Classes:
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [word_rates(Counter(t.as_py().lower().split())).astype("<f4").tobytes() for t in batch.column(0)]
+            out = [word_rates(set(t.as_py().lower().split())).astype("<f4").tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["rates"])
 
     sample = rows.filter("NOT held_out").filter(place < int((1 << 30) * min(1.0, SAMPLE / max(1, total))))
@@ -123,9 +122,9 @@ def count_words(rows: DataFrame, classes: Classes) -> DataFrame:
 
         for batch in batches:
             for out, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts = Counter(text.as_py().lower().split())
-                into = held.setdefault((shared.value.of(counts), out), Counter())
-                into.update(counts)
+                words = text.as_py().lower().split()
+                into = held.setdefault((shared.value.of(set(words)), out), Counter())
+                into.update(words)
                 into[END] += 1
                 if sum(map(len, held.values())) > HELD:
                     yield from flush()
@@ -200,13 +199,40 @@ def forward(size: int, arcs, logs: list[float]) -> list[float]:
 
 
 def marginal(word: bytes, table, byte_ids: list[int], logs: list[float]) -> float:
-    """Natural logarithm of a word's probability over all segmentations."""
-    size, arcs = lattice(word, table, byte_ids)
-    return forward(size, arcs, logs)[size]
+    """Natural logarithm of a word's probability over all segmentations.
+
+    ``forward`` over ``lattice`` without keeping the arcs.
+    """
+    text = START + word.decode("utf-8", "replace")
+    size, find = len(text), table.get
+    terms: list[list[float]] = [[] for _ in range(size + 1)]
+    terms[0].append(0.0)
+    for begin in range(size):
+        here = terms[begin]
+        before = here[0] if len(here) == 1 else _log_sum(here)
+        single = False
+        for end in range(begin + 1, size + 1):
+            piece = find(text[begin:end], -1)
+            if piece is None:
+                continue
+            if piece < 0:
+                break
+            terms[end].append(before + logs[piece])
+            single = single or end == begin + 1
+        if not single:
+            terms[begin + 1].append(before + sum([logs[byte_ids[byte]] for byte in text[begin].encode()]))
+    return _log_sum(terms[size])
+
 
+def expected_pieces(word: bytes, table, byte_ids: list[int], logs: list[float], rates: list[float], into: list[float]) -> None:
+    """Adds the expected count of every piece of a word, by forward and backward sums.
 
-def expected_pieces(word: bytes, table, byte_ids: list[int], logs: list[float], into: np.ndarray) -> None:
-    """Adds the expected count of every piece of a word, by forward and backward sums."""
+    Words short enough not to underflow are summed without logarithms; ``rates`` are those of ``logs``.
+    """
+    text = START + word.decode("utf-8", "replace")
+    size, find = len(text), table.get
+    if size <= SHORT and _expected_short(text, size, find, rates, into):
+        return
     size, arcs = lattice(word, table, byte_ids)
     ahead = forward(size, arcs, logs)
     back: list[list[float]] = [[] for _ in range(size + 1)]
@@ -222,6 +248,36 @@ def expected_pieces(word: bytes, table, byte_ids: list[int], logs: list[float],
             into[piece] += share
 
 
+def _expected_short(text: str, size: int, find, rates: list[float], into: list[float]) -> bool:
+    """The same without logarithms; False if a character has no piece or the sum vanishes."""
+    ahead, arcs = [0.0] * (size + 1), []
+    ahead[0] = 1.0
+    for begin in range(size):
+        before, single = ahead[begin], False
+        for end in range(begin + 1, size + 1):
+            piece = find(text[begin:end], -1)
+            if piece is None:
+                continue
+            if piece < 0:
+                break
+            term = before * rates[piece]
+            ahead[end] += term
+            arcs.append((begin, end, piece, term))
+            single = single or end == begin + 1
+        if not single:
+            return False
+    if not ahead[size]:
+        return False
+    behind = [0.0] * (size + 1)
+    behind[size] = 1 / ahead[size]
+    arcs.reverse()
+    for begin, end, piece, term in arcs:
+        after = behind[end]
+        into[piece] += term * after
+        behind[begin] += rates[piece] * after
+    return True
+
+
 def _piece_logs(counts: np.ndarray) -> np.ndarray:
     """Log probabilities by class; all classes together give each its prior."""
     whole = counts.sum(0) + 0.01
@@ -241,17 +297,21 @@ def learn_pieces(words: DataFrame, model: bytes, number: int) -> np.ndarray:
 
         def counted(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             table, byte_ids = vocabulary(content.value)
-            counts = np.zeros((number, size))
-            rates = None if shared is None else shared.value.tolist()
+            counts = [[0.0] * size for _ in range(number)]
+            logs = None if shared is None else shared.value.tolist()
+            rates = None if shared is None else np.exp(shared.value).tolist()
             for batch in batches:
                 texts, owners = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 if rates is None:
                     decoded = [text.decode("utf-8", "replace") for text in texts]
                     for owner, ids in zip(owners, processor(content.value).encode(decoded, num_threads=1), strict=True):
-                        np.add.at(counts[owner], ids, 1)
+                        into = counts[owner]
+                        for piece in ids:
+                            into[piece] += 1
                 else:
                     for owner, text in zip(owners, texts, strict=True):
-                        expected_pieces(text, table, byte_ids, rates[owner], counts[owner])
+                        expected_pieces(text, table, byte_ids, logs[owner], rates[owner], counts[owner])
+            counts = np.array(counts)
             owners, pieces = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(owners, pa.int32()), pa.array(pieces, pa.int32()), pa.array(counts[owners, pieces], pa.float64())],
@@ -432,12 +492,10 @@ def _document_scores(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             counts = Counter(words)
             k = classes.of(counts)
             counts[END] += 1
-            get = head.rows.get
-            places = np.fromiter((get(word, -1) for word in counts), np.int64, len(counts))
-            times = np.fromiter(counts.values(), np.int64, len(counts))
-            inside = places >= 0
-            rest = [word for word, known in zip(counts, inside.tolist(), strict=True) if not known]
-            places, far, times = places[inside], times[~inside], times[inside]
+            found = [(head.rows.get(word), word, n) for word, n in counts.items()]
+            rest = [(word, n) for place, word, n in found if place is None]
+            places = np.array([place for place, _, _ in found if place is not None], np.int64)
+            times = np.array([n for place, _, n in found if place is not None], np.int64)
             out.append(
                 (
                     k,
@@ -445,8 +503,8 @@ def _document_scores(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
                     int(times[head.known[places]].sum()),
                     float(times @ head.base[places]),
                     float(share[k] + times @ head.score[k, places]),
-                    rest,
-                    far.tolist(),
+                    [word for word, _ in rest],
+                    [n for _, n in rest],
                 )
             )
         columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]

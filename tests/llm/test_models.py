@@ -154,13 +154,21 @@ def test_lattice_sums_over_all_segmentations(pieces):
         assert got == pytest.approx(math.log(brute_marginal("▁" + word, table, byte_ids, logs)))
 
 
-def test_expected_pieces_cover_the_word(pieces):
+@pytest.mark.parametrize("word", ["international", "x中🙂y", "long" * 30])
+def test_expected_pieces_cover_the_word(pieces, monkeypatch, word):
     table, byte_ids = pieces
-    logs = np.full(40_000, -8.0).tolist()
-    into = np.zeros(40_000)
-    lattice_lm.expected_pieces(b"international", table, byte_ids, logs, into)
+    logs = np.random.default_rng(1).normal(-8, 1, 40_000)
+    found = []
+    for short in (1000, 0):  # without and with logarithms
+        monkeypatch.setattr(lattice_lm, "SHORT", short)
+        into = [0.0] * 40_000
+        lattice_lm.expected_pieces(word.encode(), table, byte_ids, logs.tolist(), np.exp(logs).tolist(), into)
+        found.append(into)
+    assert found[0] == pytest.approx(found[1])
     lengths = {number: len(piece) for piece, number in table.items() if number is not None}
-    assert sum(into[n] * lengths[n] for n in np.flatnonzero(into)) == pytest.approx(len("▁international"))
+    lengths |= {b: 0 for b in byte_ids}
+    unknown = sum(table.get(c) is None for c in word)
+    assert sum(found[0][n] * lengths[n] for n in np.flatnonzero(found[0])) == pytest.approx(len("▁" + word) - unknown)
 
 
 def test_very_long_words_have_a_score(pieces):
