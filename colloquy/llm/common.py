@@ -106,7 +106,7 @@ def training_ids(
     for value, part in share.items():
         keep = F.when(F.col("label") == value, part).otherwise(keep)
     place = F.pmod(F.xxhash64(F.lit("training"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return stored(one.filter(place < keep).withColumn("weight", 1.0 / keep), "training-sample")
+    return stored(one.filter(place < keep).withColumn("weight", F.try_divide(F.lit(1.0), keep)), "training-sample")
 
 
 def training_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:

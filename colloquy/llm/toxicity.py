@@ -181,7 +181,10 @@ def _significant(counts: DataFrame) -> dict[bytes, float]:
         return {}
     prior = (toxic + other) * PRIOR
     strength = (n1 + n0) * PRIOR
-    odds = F.log((toxic + prior) / (n1 + strength - toxic - prior)) - F.log((other + prior) / (n0 + strength - other - prior))
+    # Half a count keeps the odds finite where one token is all there is.
+    odds = F.log((toxic + prior) / (n1 + strength - toxic - prior + 0.5)) - F.log(
+        (other + prior) / (n0 + strength - other - prior + 0.5)
+    )
     error = F.sqrt(1 / (toxic + prior) + 1 / (other + prior))
     found = (
         counts.filter(toxic >= LEAST)
