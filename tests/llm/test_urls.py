@@ -103,6 +103,6 @@ def test_scores_spread_over_links(spark):
 
 
 def test_who_links_to_blocked_hosts_is_blocked(spark):
-    got = {(r["page_id"], r["host"]): r["verdict"] for r in rows(url_filter.url_verdicts(table(spark, LINKED), threshold=0.3))}
+    got = {(r["page_id"], r["host"]): r["verdict"] for r in rows(url_filter.url_verdicts(table(spark, LINKED), threshold=0.11))}
     assert got[2, "farm.com"] == got[3, "farm.com"] == "block"
     assert got[5, "friend.com"] == got[6, "alone.com"] == "allow"
