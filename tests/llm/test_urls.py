@@ -37,14 +37,14 @@ CASES = [
 
 
 def test_rules(spark):
-    got = {r["page_id"]: r for r in rows(url_filter.url_verdicts(table(spark, [(n, c[0], None) for n, c in enumerate(CASES)])))}
+    got = {r["page_id"]: r for r in rows(url_filter.url_verdicts(table(spark, [(n, c[0], None) for n, c in enumerate(CASES)]), rounds=2))}
     for n, (_, *want) in enumerate(CASES):
         assert [got[n][k] for k in ("host", "path", "rule", "verdict")] == want, CASES[n][0]
 
 
 def test_empty_and_null_tables(spark):
-    assert url_filter.url_verdicts(table(spark, [])).count() == 0
-    got = rows(url_filter.url_verdicts(table(spark, [(None, None, None)] * 3)))
+    assert url_filter.url_verdicts(table(spark, []), rounds=2).count() == 0
+    got = rows(url_filter.url_verdicts(table(spark, [(None, None, None)] * 3), rounds=2))
     assert [r["verdict"] for r in got] == ["allow"] * 3
 
 
