@@ -47,13 +47,8 @@ def _digit(width: int) -> Column:
     return F.substring("rest", 1, width)
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256`` (and ``doc``).
-
-    A null text is an empty one. Of equal texts the row with the largest id stays, a null id
-    being the smallest; of rows with equal text and equal largest id exactly one stays.
-    ``text_sha256`` is an output only. An empty table gives an empty result.
-    """
+def _first_pass(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """Stored rows, numbered; ``group`` and ``rest`` of those that share their first bytes."""
     normal = docs.select(
         F.col(id_col).alias("doc_id"), _normalized(text_bytes(text_col)).alias("n"), *doc_column(carry)
     )
@@ -67,7 +62,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "radix-heads",
     )
     split = normal.select("*", size, F.col("n.head").alias("head")).join(lookup(keys), ["size", "head"], "left")
-    rows = stored(
+    return stored(
         split.select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
@@ -78,25 +73,55 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ),
         "radix-rows",
     )
+
+
+def _grouped(rows: DataFrame) -> DataFrame | None:
+    """``row, doc_id, sha, keep_id, group_size, kept`` of the rows that share their first bytes."""
     ended = _classes(rows)
-    members = stored(
-        rows.filter("group IS NOT NULL").drop("group", "rest").join(lookup(ended), "row"), "radix-members"
-    ) if ended is not None else None
-    alone = F.struct(F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    out = ["doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"), *(["doc"] if carry else [])]
-    singles = rows.filter("group IS NULL").select("*", alone.alias("g")).select("*", "g.*", F.lit(True).alias("kept"))
-    if members is None:
-        return singles.select(*out)
+    if ended is None:
+        return None
+    members = rows.filter("group IS NOT NULL").select("row", "doc_id", "sha").join(lookup(ended), "row")
+    members = stored(members, "radix-members")
     groups = stored(
         members.groupBy("class").agg(
             F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("best")
         ),
         "radix-groups",
     )
-    grouped = members.join(lookup(groups), "class").select(
-        "*", F.col("best.doc_id").alias("keep_id"), (F.col("row") == F.col("best.row")).alias("kept")
+    return members.join(lookup(groups), "class").select(
+        "row", "doc_id", "sha", F.col("best.doc_id").alias("keep_id"), "group_size",
+        (F.col("row") == F.col("best.row")).alias("kept"),
     )
-    return singles.select(*out).unionByName(grouped.select(*out))
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
+
+    A null text is an empty one. Of equal texts the row with the largest id stays, a null id
+    being the smallest; of rows with equal text and equal largest id exactly one stays.
+    ``text_sha256`` is an output only. An empty table gives an empty result.
+    """
+    rows = _first_pass(docs, id_col, text_col, carry=False)
+    grouped = _grouped(rows)
+    out = ["doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")]
+    singles = rows.filter("group IS NULL").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
+    ).select(*out)
+    return singles if grouped is None else singles.unionByName(grouped.select(*out))
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows that ``exact_duplicates`` keeps, whole.
+
+    Only numbers of rows that go meet the rows again; no document is shuffled for that
+    unless those numbers are too many to broadcast.
+    """
+    rows = _first_pass(docs, id_col, text_col, carry=True)
+    grouped = _grouped(rows)
+    if grouped is None:
+        return rows.select("doc.*")
+    gone = stored(grouped.filter("NOT kept").select("row"), "radix-gone")
+    return rows.join(lookup(gone), "row", "left_anti").select("doc.*")
 
 
 def _classes(rows: DataFrame) -> DataFrame | None:

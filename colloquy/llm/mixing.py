@@ -162,19 +162,19 @@ def mix(
     allow. Rows alike in id and text are taken alike. Sources without words have target
     0; an empty table gives an empty result. Reruns agree on any partitioning.
     """
-    rows = stored(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            word_count(text_col).alias("size"),
-            row_hash(id_col, text_col).alias("hash"),
-            *doc_column(carry),
-        ),
-        "mix-rows",
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        word_count(text_col).alias("size"),
+        row_hash(id_col, text_col).alias("hash"),
+        *doc_column(carry),
     )
-    sizes = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sizes")
+    # Sizes and hashes follow from a row alone: carried documents are read again, not stored.
+    narrow = stored(rows.drop("doc"), "mix-rows")
+    rows = rows if carry else narrow
+    sizes = stored(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sizes")
     targets = source_targets(sizes, weights, share, most)
-    cuts = _thresholds(rows.select("source", "size", "hash"), targets)
+    cuts = _thresholds(narrow.select("source", "size", "hash"), targets)
     same = F.col("t.source").eqNullSafe(F.col("c.source"))
     plan = stored(
         targets.alias("t").join(cuts.alias("c"), same).select("t.*", "copies", "threshold"), "mix-plan"

@@ -243,25 +243,8 @@ def near_links(prints: DataFrame, distance: int, limit: int = NODE_LIMIT) -> Dat
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
 
 
-def simhash_components(
-    docs: DataFrame,
-    width: int = 4,
-    distance: int = 4,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    carry: bool = False,
-) -> DataFrame:
-    """One row per input row: ``doc_id, fingerprint, component_id`` (and ``doc``, ``first``).
-
-    A-Z are lower-cased; shingles are ``width`` words, or all of them if there are fewer.
-    Null, empty and blank texts have fingerprint zero and are linked like any other.
-    Fingerprints link at ``distance`` or fewer differing bits; ``component_id`` is the
-    smallest id reachable, null ids counting only where there is no other. With ``carry``,
-    ``first`` marks one row of each component, which has that id. Copies are one
-    fingerprint from the start; links are kept between distinct fingerprints only.
-    """
-    rows = fingerprints(docs, id_col, text_col, width, carry).withColumn("row", F.monotonically_increasing_id())
-    rows = stored(rows, "simhash-rows")
+def _classes(rows: DataFrame, distance: int) -> DataFrame:
+    """Stored ``fp, least`` from ``doc_id, fp, row``: the row of the smallest id that a fingerprint reaches."""
     prints = stored(
         rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")),
         "simhash-prints",
@@ -272,13 +255,46 @@ def simhash_components(
     )
     roots = stored(linked.groupBy("root").agg(F.min("best").alias("least")), "simhash-roots")
     moved = stored(linked.join(lookup(roots), "root").select("fp", "least"), "simhash-moved")
-    classes = stored(
+    return stored(
         prints.join(lookup(moved), "fp", "left").select("fp", F.coalesce("least", "best").alias("least")),
         "simhash-classes",
     )
-    return rows.join(lookup(classes), "fp").select(
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str, width: int, carry: bool) -> DataFrame:
+    rows = fingerprints(docs, id_col, text_col, width, carry).withColumn("row", F.monotonically_increasing_id())
+    return stored(rows, "simhash-rows")
+
+
+def simhash_components(
+    docs: DataFrame, width: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per input row: ``doc_id, fingerprint, component_id``.
+
+    A-Z are lower-cased; shingles are ``width`` words, or all of them if there are fewer.
+    Null, empty and blank texts have fingerprint zero and are linked like any other.
+    Fingerprints link at ``distance`` or fewer differing bits; ``component_id`` is the
+    smallest id reachable, null ids counting only where there is no other. Copies are one
+    fingerprint from the start; links are kept between distinct fingerprints only.
+    """
+    rows = _numbered(docs, id_col, text_col, width, carry=False)
+    return rows.join(lookup(_classes(rows, distance)), "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("least.doc_id").alias("component_id"),
-        *([(F.col("row") == F.col("least.row")).alias("first"), "doc"] if carry else []),
     )
+
+
+def one_per_component(
+    docs: DataFrame, width: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The input rows without near-duplicates, whole: of each component one row with the smallest id.
+
+    Only numbers of rows that go meet the rows again; no document is shuffled for that
+    unless those numbers are too many to broadcast.
+    """
+    rows = _numbered(docs, id_col, text_col, width, carry=True)
+    narrow = rows.select("doc_id", "fp", "row")
+    classes = lookup(_classes(narrow, distance))
+    gone = stored(narrow.join(classes, "fp").filter("row <> least.row").select("row"), "simhash-gone")
+    return rows.join(lookup(gone), "row", "left_anti").select("doc.*")

@@ -60,10 +60,15 @@ def test_exact_duplicates_over_many_passes(spark, monkeypatch, widths):
     check_exact(exact_dedup.exact_duplicates(documents(spark, texts)), texts)
 
 
-def test_exact_duplicates_carry_rows(spark):
-    got = rows(exact_dedup.exact_duplicates(documents(spark), carry=True))
-    assert len(got) == len(TEXTS)
-    assert all(r["doc"]["doc_id"] == r["doc_id"] and r["doc"]["kept"] == 4 and r["doc"]["rest"] == "r" for r in got)
+def test_rows_without_duplicates_are_whole(spark):
+    docs = documents(spark)
+    got = rows(exact_dedup.without_duplicates(docs))
+    groups, _ = brute_exact(TEXTS)
+    want = [max((i for i in ids if i is not None), default=None) for ids in groups.values()]
+    assert sorted((r["doc_id"] for r in got), key=repr) == sorted(want, key=repr)
+    assert all(r["rest"] == "r" and r["kept"] == 4 for r in got)
+    assert exact_dedup.without_duplicates(empty(spark)).count() == 0
+    assert exact_dedup.without_duplicates(all_null(spark)).count() == 1
 
 
 def brute_fingerprint(text, width=4):
@@ -111,12 +116,13 @@ def test_simhash_of_null_and_empty_tables(spark):
 
 
 def test_simhash_keeps_one_row_of_each_component(spark):
-    got = rows(simhash.simhash_components(documents(spark), carry=True))
-    first = [r for r in got if r["first"]]
-    assert all(r["doc_id"] == r["component_id"] for r in first)
+    got = rows(simhash.one_per_component(documents(spark)))
     prints = [(i, brute_fingerprint(text)) for i, text in TEXTS]
     ids = [row[2] for row in brute_components(prints, 4)]
-    assert sorted(map(repr, {*ids})) == sorted(map(repr, (r["component_id"] for r in first)))
+    assert sorted(map(repr, {*ids})) == sorted(repr(r["doc_id"]) for r in got)
+    assert all(r["fp"] == 3 for r in got)
+    assert simhash.one_per_component(empty(spark)).count() == 0
+    assert simhash.one_per_component(all_null(spark)).count() == 1
 
 
 def test_simhash_on_given_documents(spark):
