@@ -1,0 +1,86 @@
+"""Near copies of the pipeline against brute force on shingle sets."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from colloquy.llm import simhash
+from tests.llm.fixtures import all_null, documents, empty, rows
+
+SF_DIR = "/root/testdata/sf0.01"
+NEAR = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def brute_kept(texts):
+    """Positions that stay: of each component of pairs with similarity 0.8 the smallest id, then the first."""
+    sets = [shingles(t) for _, t in texts]
+    root = list(range(len(texts)))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            if 4 * max(len(sets[a]), len(sets[b])) <= 5 * min(len(sets[a]), len(sets[b])):
+                both = len(sets[a] & sets[b])
+                if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                    root[find(b)] = find(a)
+    groups = {}
+    for n, (i, _) in enumerate(texts):
+        groups.setdefault(find(n), []).append((i is None, i or 0))
+    return sorted(min(g) for g in groups.values())
+
+
+def result(df):
+    return sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows(df))
+
+
+def changed(words, places):
+    return " ".join("changed" if n in places else w for n, w in enumerate(words))
+
+
+def test_copies_far_apart_in_bits_go_and_clean_documents_stay(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for n in range(12):
+        words = [f"w{v}" for v in rng.integers(0, 10_000, 200)]
+        texts.append((10 * n, " ".join(words)))
+        texts.append((10 * n + 1, changed(words, {50, 100, 150})))  # similarity 0.858
+        texts.append((10 * n + 2, changed(words, set(range(10, 190, 30)))))  # 0.734 and less
+    assert brute_kept(texts) == sorted((False, 10 * n + k) for n in range(12) for k in (0, 2))
+    assert result(NEAR(spark, documents(spark, texts), SF_DIR)) == brute_kept(texts)
+
+
+def test_special_texts(spark):
+    for make in (documents, all_null, empty):
+        docs = make(spark)
+        assert result(NEAR(spark, docs, SF_DIR)) == brute_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_given_documents(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    assert result(NEAR(spark, docs, SF_DIR)) == brute_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 14])
+def test_chunks_compare_every_pair_once(spark, chunk):
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(1 << 63), 1 << 63, (20, 2))
+    prints = [(n, int(base[n % 20, 0] ^ (1 << n % 60)), int(base[n % 20, 1]), 40 + n % 23) for n in range(120)]
+    got = simhash.close_pairs(spark.createDataFrame(prints, "row long, low long, high long, size int"), 0.8, 4, chunk).collect()
+    want = [
+        (a[0], b[0])
+        for a in prints
+        for b in prints
+        if a[0] < b[0]
+        and ((a[1] ^ b[1]) % (1 << 64)).bit_count() + ((a[2] ^ b[2]) % (1 << 64)).bit_count() <= 4
+        and min(a[3], b[3]) >= 0.8 * max(a[3], b[3])
+    ]
+    assert sorted((min(r), max(r)) for r in got) == want
