@@ -8,8 +8,8 @@ are learned on distinct words, because they stand for words not seen.
 
 A word that was learned is one more arc over its whole span: its count, discounted, in
 the document's class and in all learned documents, with the lattice below both. Classes
-are a small mixture over word rates, learned on a bounded sample; a document's
-probability is that of its best class and of its words in that class, and so never more than
+are a small mixture over word rates, learned on all learned documents from the starts that
+a bounded sample gives; a document's probability is that of its best class and of its words in that class, and so never more than
 the sum over the classes.
 
 Counts of words cover all documents. The most frequent words are broadcast, a bounded
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import remainder, stored, text_bytes
 
-#: Classes, the documents of the sample that they are learned from, and hashed word rates.
+#: Classes, the documents of the sample that gives their starts, and hashed word rates.
 CLASSES, SAMPLE, RATES = 12, 3000, 2048
+#: Most rounds of the classes over all learned documents, and the share of documents that may still move at the end.
+PASSES, SETTLED = 25, 1e-3
 #: Words broadcast, entries a task holds at once, and the discount of every count.
 HEAD, HELD, DISCOUNT = 100_000, 300_000, 0.75
 #: Rounds of expected counts, and the weight of all classes in the pieces of each.
@@ -84,20 +86,93 @@ def fit_classes(rows: np.ndarray, number: int, rounds: int = 25) -> Classes:
     return Classes(share, rates)
 
 
+def _from_totals(weight: np.ndarray, sums: np.ndarray) -> Classes:
+    """Classes from how many documents each has and the sums of their word rates."""
+    rates = sums + 0.1
+    return Classes(np.log((weight + 1) / (weight.sum() + len(weight))), np.log(rates / rates.sum(1, keepdims=True)))
+
+
+def _sample(rates: DataFrame) -> np.ndarray:
+    """Rates of the SAMPLE learned documents of least digest; of equal digests those of least rates."""
+    place = F.xxhash64(F.lit("classes"), "doc_id", "rates")
+    # The order is over all that is read: equal rows are the same rows, so any of them will do.
+    found = rates.select(place.alias("place"), "rates").orderBy("place", "rates").limit(SAMPLE).collect()
+    return np.array([_dense([bytes(row["rates"])])[0] for row in found], float).reshape(-1, RATES)
+
+
+def _dense(packed: list[bytes]) -> np.ndarray:
+    """A row of rates for each document from its packed pairs of hash and number of words."""
+    pairs = [np.frombuffer(one, "<u2").reshape(-1, 2) for one in packed]
+    out = np.zeros((len(pairs), RATES), np.float32)
+    if pairs:
+        flat = np.concatenate(pairs)
+        np.add.at(out, (np.repeat(np.arange(len(pairs)), [len(p) for p in pairs]), flat[:, 0]), flat[:, 1].astype(np.float32))
+    return out
+
+
+def _packed(words: Collection[bytes]) -> bytes:
+    """The pairs of hash and number of distinct words that are not zero; numbers beyond 65,535 as several pairs."""
+    rates = word_rates(words)
+    pairs = []
+    while len(some := np.flatnonzero(rates)):
+        part = np.minimum(rates[some], 65_535)
+        rates[some] -= part
+        pairs.append(np.stack([some, part], axis=1))
+    return np.concatenate(pairs).astype("<u2").tobytes() if pairs else b""
+
+
 def learn_classes(rows: DataFrame) -> Classes:
-    """Classes from about SAMPLE learned documents, chosen by a digest of the id; hashed rates only reach the driver."""
-    total = rows.filter("NOT held_out").count()
-    place = F.pmod(F.xxhash64(F.lit("classes"), "doc_id"), F.lit(1 << 30))
+    """Classes from all learned documents, in rounds of which each is one aggregate.
+
+    A sample by a digest gives the starts; class totals alone reach the driver. The rounds end
+    when next to no document changes its class.
+    """
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [word_rates(set(t.as_py().lower().split())).astype("<f4").tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["rates"])
+            out = [_packed(set(t.as_py().lower().split())) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "rates"])
+
+    learned = rows.filter("NOT held_out").select(F.col("doc_id").cast("long").alias("doc_id"), "bytes")
+    rates = stored(learned.mapInArrow(rated, "doc_id long, rates binary"), "lm-rates")
+    classes = fit_classes(_sample(rates), CLASSES)
+    number, before = len(classes.share), None
+    for _ in range(PASSES if number > 1 else 0):
+        shared = rows.sparkSession.sparkContext.broadcast((before, classes))
+
+        def gathered(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            old, now = shared.value
+            weight, sums, moved = np.zeros(number), np.zeros((number, RATES)), 0
+            for batch in batches:
+                packed = batch.column(0).to_pylist()
+                for start in range(0, len(packed), 1024):
+                    some = _dense(packed[start : start + 1024])
+                    fit = now.share + some @ now.rates.T.astype(np.float32)
+                    if old is not None:
+                        was = old.share + some @ old.rates.T.astype(np.float32)
+                        moved += int((fit.argmax(1) != was.argmax(1)).sum())
+                    member = np.exp(fit - fit.max(1, keepdims=True))
+                    member /= member.sum(1, keepdims=True)
+                    weight += member.sum(0)
+                    sums += member.astype(np.float32).T @ some
+            # Beside the sums, at RATES the documents of each class and at RATES + 1 those that moved.
+            table = np.column_stack([sums, weight, np.full(number, moved / number)])
+            owners, places = np.nonzero(table)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(owners, pa.int32()), pa.array(places, pa.int32()), pa.array(table[owners, places], pa.float64())],
+                names=["class", "place", "n"],
+            )
 
-    sample = rows.filter("NOT held_out").filter(place < int((1 << 30) * min(1.0, SAMPLE / max(1, total))))
-    # Ids may repeat: the limit bounds what reaches the driver, not what is scored.
-    found = sorted(bytes(row[0]) for row in sample.select("bytes").mapInArrow(rated, "rates binary").limit(2 * SAMPLE).collect())
-    return fit_classes(np.array([np.frombuffer(f, "<f4") for f in found], float).reshape(-1, RATES), CLASSES)
+        parts = rates.select("rates").mapInArrow(gathered, "class int, place int, n double")
+        found = parts.groupBy("class", "place").agg(F.sum("n").alias("n")).toArrow()  # rates times classes at most
+        table = np.zeros((number, RATES + 2))
+        table[found["class"].to_numpy(), found["place"].to_numpy()] = found["n"].to_numpy()
+        sums, weight, moved = table[:, :RATES], table[:, RATES], table[:, RATES + 1].sum()
+        # Sums arrive in any order: fewer digits make reruns agree.
+        before, classes = classes, _from_totals(np.round(weight, 2), np.round(sums, 2))
+        if shared.value[0] is not None and moved < SETTLED * weight.sum():
+            break
+    return classes
 
 
 def count_words(rows: DataFrame, classes: Classes) -> DataFrame:

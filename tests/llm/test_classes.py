@@ -1,0 +1,32 @@
+"""Classes of the language model cover all learned documents."""
+
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from colloquy.llm import lattice_lm
+
+
+def learned(spark, texts):
+    return spark.createDataFrame([(i, False, t.encode()) for i, t in texts], "doc_id long, held_out boolean, bytes binary")
+
+
+def test_documents_outside_the_sample_shape_the_classes(spark, monkeypatch):
+    monkeypatch.setattr(lattice_lm, "SAMPLE", 5)
+    texts = [(n, " ".join(f"common{(n * 7 + k) % 90}" for k in range(40))) for n in range(300)]
+    texts += [(7, " ".join(f"rare{k}" for k in range(40)))] * 4  # a repeated id besides
+    classes = lattice_lm.learn_classes(learned(spark, texts).repartition(3))
+    common = {zlib.crc32(f"common{k}".encode()) % lattice_lm.RATES for k in range(90)}
+    rare = {zlib.crc32(f"rare{k}".encode()) % lattice_lm.RATES for k in range(40)} - common
+    unseen = min(set(range(lattice_lm.RATES)) - rare - common)
+    assert all((np.exp(classes.rates[:, place] - classes.rates[:, unseen])).max() > 5 for place in rare)
+    again = lattice_lm.learn_classes(learned(spark, texts).orderBy(F.desc("bytes")).repartition(5))
+    assert again.rates == pytest.approx(classes.rates, abs=1e-6) and again.share == pytest.approx(classes.share, abs=1e-6)
+    assert lattice_lm.learn_classes(learned(spark, texts).limit(0)).share.tolist() == [0.0]
+
+
+def test_rates_are_packed_whole(spark):
+    words = [str(n).encode() for n in range(3000)]
+    assert (lattice_lm._dense([lattice_lm._packed(words), b""]) == [lattice_lm.word_rates(words), np.zeros(lattice_lm.RATES)]).all()
