@@ -25,19 +25,21 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import stored
 
 #: Rows of an index block, queries broadcast at once, and the largest size of a quantised component.
-BLOCK_ROWS, CHUNK_QUERIES, LARGEST = 1 << 14, 1 << 11, 1 << 24
+BLOCK_ROWS, CHUNK_QUERIES, LARGEST = 1 << 14, 1 << 11, 1 << 62
 
 INDEX = "ids binary, n int, dims int, low array<long>, slices binary, bits int"
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    """``floor(scale * x)`` of each component as longs; null if any is null, not finite or too large."""
+    """``floor(scale * x)`` of each component as longs; null if any is null or not finite, an error if one is too large."""
     scaled = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")))
     usable = F.forall(
         vector,
-        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) <= LARGEST / scale),
+        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")),
     )
-    return F.when(usable, scaled)
+    fits = F.forall(vector, lambda x: F.abs(x.cast("double")) <= LARGEST / scale)
+    large = F.raise_error(F.lit(f"a component beyond {LARGEST / scale:g} can't be indexed")).cast("array<long>")
+    return F.when(usable & fits, scaled).when(usable, large)
 
 
 def build_slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +86,8 @@ def score_slices(slices: np.ndarray, low: np.ndarray, query: np.ndarray) -> tupl
     bits = len(slices)
     size, negative = np.abs(query), query < 0
     full = (1 << bits) - 1
-    base = sum(int(q) * int(v) for q, v in zip(query, low, strict=True)) - full * int(size[negative].sum())
-    top = int(full * int(size.sum())).bit_length()
+    base = sum(int(q) * int(v) for q, v in zip(query, low, strict=True)) - full * sum(size[negative].tolist())
+    top = (full * sum(size.tolist())).bit_length()
     columns: dict[int, list[np.ndarray]] = {}
     for factor_bit in range(int(size.max(initial=0)).bit_length()):
         has = (size >> factor_bit) & 1 == 1
@@ -197,9 +199,10 @@ def top_k(
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows of another
     id. Components become ``floor(scale * x)``. Equal scores go to the smaller id. Rows with
-    a null id take no part, nor do vectors that are null or hold a null, a non-finite component
-    or one beyond ``LARGEST`` after scaling, for which scores would not fit a long. Vectors
-    of unequal length count zeros. Empty vectors score 0. A repeated row counts as often as it
+    a null id take no part, nor do vectors that are null or hold a null or a non-finite
+    component. A component beyond ``LARGEST`` after scaling, or a score among the best that
+    does not fit a long, is an error. Vectors of unequal length count zeros. Empty vectors
+    score 0. A repeated row counts as often as it
     occurs; a query row that occurs twice is asked once. Fewer than ``k`` candidates are all
     returned.
     """
