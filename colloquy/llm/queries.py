@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colloquy.llm.byte_bpe import byte_bpe
-from colloquy.llm.common import table
+from colloquy.llm.common import remainder, table
 from colloquy.llm.exact_dedup import exact_duplicates
 from colloquy.llm.lattice_lm import lattice_scores
+from colloquy.llm.merkle import merkle_manifest
 from colloquy.llm.mixing import mix
 from colloquy.llm.quality import quality
 from colloquy.llm.simhash import simhash_components
@@ -196,3 +198,78 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _crc32_sql(text: str) -> str:
+    """crc32 of an ASCII text, half a byte at a time; the 16 remainders follow from the polynomial."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    halves = f"list_transform(flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c) & 15, ascii(c) >> 4])), lambda x: x::BIGINT)"
+    step = f"lambda crc, half: xor(crc >> 4, {table}[(xor(crc, half) & 15) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {halves}), {step}), 4294967295::BIGINT)"
+
+
+def _merkle_fields(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(':' || source, '') AS tree, {_merkle_fields("text")} AS leaf,
+    CASE WHEN {_crc32_sql("doc_id::VARCHAR")} % 2 = 0 THEN {_merkle_fields("replace(text, chr(10), '')")}
+      ELSE {_merkle_fields("text")} END AS other
+  FROM documents),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS place,
+    count(*) OVER (PARTITION BY tree) AS total FROM leaves),
+inner_nodes AS (
+  SELECT tree, 0 AS height, place, total, leaf AS node FROM placed
+  UNION ALL
+  SELECT tree, height + 1, place // 3, (max(total) + 2) // 3, sha256(string_agg(node, '' ORDER BY place))
+  FROM inner_nodes WHERE total > 1 GROUP BY tree, height, place // 3),
+tops AS MATERIALIZED (
+  SELECT tree, height, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS total
+  FROM inner_nodes WHERE total = 1),
+outer_nodes AS (
+  SELECT 0 AS height, place, total, subroot AS node FROM tops
+  UNION ALL
+  SELECT height + 1, place // 3, (max(total) + 2) // 3, sha256(string_agg(node, '' ORDER BY place))
+  FROM outer_nodes WHERE total > 1 GROUP BY height, place // 3),
+beside AS MATERIALIZED (
+  SELECT 0 AS part, tree, height, place,
+    coalesce(lag(node, 2) OVER w, '') || coalesce(lag(node) OVER w, '') AS before,
+    coalesce(lead(node) OVER w, '') || coalesce(lead(node, 2) OVER w, '') AS after
+  FROM inner_nodes WHERE total > 1 WINDOW w AS (PARTITION BY tree, height, place // 3 ORDER BY place)
+  UNION ALL
+  SELECT 1, NULL, height, place,
+    coalesce(lag(node, 2) OVER w, '') || coalesce(lag(node) OVER w, ''),
+    coalesce(lead(node) OVER w, '') || coalesce(lead(node, 2) OVER w, '')
+  FROM outer_nodes WHERE total > 1 WINDOW w AS (PARTITION BY height, place // 3 ORDER BY place)),
+paths AS MATERIALIZED (
+  SELECT p.id, b.height AS step, b.before, b.after FROM placed p JOIN beside b
+    ON b.part = 0 AND b.tree = p.tree AND b.place = p.place // (3 ** b.height)::BIGINT
+  UNION ALL
+  SELECT p.id, t.height + b.height, b.before, b.after FROM placed p JOIN tops t USING (tree) JOIN beside b
+    ON b.part = 1 AND b.place = t.place // (3 ** b.height)::BIGINT),
+folded AS (
+  SELECT id, 0 AS step, other AS node FROM placed
+  UNION ALL
+  SELECT f.id, f.step + 1, sha256(p.before || f.node || p.after) FROM folded f JOIN paths p ON p.id = f.id AND p.step = f.step),
+ends AS (SELECT id, max_by(node, step) AS folded_root FROM folded GROUP BY id),
+proofs AS (SELECT id, string_agg(before || after, '' ORDER BY step) AS proof FROM paths GROUP BY id),
+root AS (SELECT node AS root FROM outer_nodes WHERE total = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN tops USING (tree) JOIN ends USING (id) LEFT JOIN proofs USING (id), root"""
+
+
+@query(MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's proof, folded from a copy in which half of the texts lost their line ends."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(remainder("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    proved = merkle_manifest(docs, altered=tampered, proofs=False)
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
