@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm.byte_bpe import byte_bpe
+from colloquy.llm.collocations import collocations
 from colloquy.llm.common import remainder, table
 from colloquy.llm.exact_dedup import exact_duplicates
 from colloquy.llm.lattice_lm import lattice_scores
@@ -273,3 +274,43 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(remainder("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
     proved = merkle_manifest(docs, altered=tampered, proofs=False)
     return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+COLLOCATION_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+numbered AS (
+  SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+places AS (
+  SELECT lang, piece, unnest(words) AS w, generate_subscripts(words, 1) AS place FROM numbered),
+grams AS (
+  SELECT lang, w, w || ' ' || lead(w) OVER p AS w2, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p AS w3
+  FROM places WINDOW p AS (PARTITION BY piece ORDER BY place)),
+counts AS MATERIALIZED (
+  SELECT lang, w AS phrase, 1 AS size, count(*) AS f FROM grams GROUP BY ALL
+  UNION ALL SELECT lang, w2, 2, count(*) FROM grams WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+  UNION ALL SELECT lang, w3, 3, count(*) FROM grams WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[1:2], ' ') AS phrase, f FROM counts WHERE size = 3
+  UNION ALL SELECT lang, array_to_string(string_split(phrase, ' ')[2:3], ' '), f FROM counts WHERE size = 3),
+candidates AS (
+  SELECT lang, phrase, size, f AS a FROM counts c WHERE size > 1
+    AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.f >= 50 * c.f)),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS lft,
+    array_to_string(string_split(phrase, ' ')[k + 1:size], ' ') AS rgt
+  FROM candidates, (VALUES (1), (2)) AS cut(k) WHERE k < size),
+scored AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.lft JOIN counts y ON y.lang = c.lang AND y.phrase = c.rgt),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
+@query(COLLOCATION_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
