@@ -11,10 +11,12 @@ count; they cost time only.
 
 Tasks count by numbers of words in chunks of bounded size and pass on sums by phrase, which
 combine again before and after the shuffle, so a very common word, line or passage is a few rows.
+Digests travel as sorted arrays, one for each bucket of their values, and are added up bucket by bucket.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import lookup, stored, text_bytes
+from colloquy.llm.common import discard, lookup, stored, text_bytes
 from colloquy.llm.ranks import positions
 
 #: Parts of the corpus that are mined by themselves.
@@ -32,7 +34,9 @@ SHARDS = 3
 #: Bits of the bitmap of candidates: 16 MB, whatever the corpus.
 BITS = 27
 #: Words counted at once, distinct words remembered, and bytes of a text taken at once.
-CHUNK, REMEMBERED, SEGMENT = 4 << 20, 1 << 20, 4 << 20
+CHUNK, REMEMBERED, SEGMENT = 3 << 20, 300_000, 1 << 20
+#: Bits of a word's number: a chunk remembers fewer words, with those of one more segment.
+NUMBER = 21
 #: The language of rows without one.
 NO_LANG = "und"
 #: Ends of pieces become full stops, other separators blanks; a full stop is no word then.
@@ -61,42 +65,48 @@ def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return both ^ (both >> np.uint64(32))
 
 
+class Known(dict):
+    """Numbers of the words of a language, given as they come; 0 stands between pieces."""
+
+    def __init__(self, words: Words, lang: str):
+        super().__init__({b".": 0})
+        self.words, self.lang, self.seed = words, lang, xxhash.xxh32_intdigest(lang)
+
+    def __missing__(self, word: bytes) -> int:
+        words = self.words
+        self[word] = number = len(words.words)
+        words.words.append(word)
+        words.langs.append(self.lang)
+        words.digests.append(xxhash.xxh64_intdigest(word, self.seed))
+        return number
+
+
 @dataclass
 class Words:
-    """Words of a chunk as numbers from 1 on; 0 stands between pieces. A word has a number for each language."""
+    """The words of a chunk as numbers, by shard."""
 
-    numbers: dict[str, dict[bytes, int]] = field(default_factory=dict)
-    words: list[tuple[str | None, bytes]] = field(default_factory=lambda: [(None, b"")])
-    digests: list[int] = field(default_factory=lambda: [0])
-    parts: list[np.ndarray] = field(default_factory=list)
+    known: dict[str, Known] = field(default_factory=dict)
+    words: list[bytes] = field(default_factory=lambda: [b""])
+    langs: list[str | None] = field(default_factory=lambda: [None])
+    digests: array = field(default_factory=lambda: array("Q", [0]))
+    parts: dict[int, list[np.ndarray]] = field(default_factory=dict)
     held: int = 0
 
-    def add(self, lang: str, words: list[bytes]) -> None:
-        known = self.numbers.setdefault(lang, {b".": 0})
-        for word in set(words).difference(known):
-            known[word] = len(self.words)
-            self.words.append((lang, word))
-            self.digests.append(xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang)))
-        ids = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-        self.parts.append(ids)
+    def add(self, shard: int, lang: str, words: list[bytes]) -> None:
+        if lang not in self.known:
+            self.known[lang] = Known(self, lang)
+        ids = np.zeros(len(words) + 1, np.int32)
+        ids[:-1] = np.fromiter(map(self.known[lang].__getitem__, words), np.int32, len(words))
+        self.parts.setdefault(shard, []).append(ids)
         self.held += len(ids)
 
-    def end(self) -> None:
-        self.parts.append(np.zeros(1, np.int32))
-
     def full(self) -> bool:
         return self.held > CHUNK or len(self.words) > REMEMBERED
 
-    def ids(self) -> np.ndarray:
-        return np.concatenate([*self.parts, np.zeros(1, np.int32)])
-
-    def digest_of(self, ids: np.ndarray) -> np.ndarray:
-        return np.array(self.digests, np.uint64)[ids]
-
     def phrases(self, rows: np.ndarray) -> tuple[list[str], list[bytes]]:
         """Language and text of each row of word numbers."""
-        words = self.words
-        return [words[r][0] for r in rows[:, 0].tolist()], [b" ".join([words[i][1] for i in r]) for r in rows.tolist()]
+        words, langs = self.words, self.langs
+        return [langs[i] for i in rows[:, 0].tolist()], [b" ".join([words[i] for i in row]) for row in rows.tolist()]
 
 
 @dataclass(frozen=True)
@@ -129,93 +139,100 @@ def phrase_digests(digests: np.ndarray, starts: np.ndarray, size: int) -> np.nda
 
 def exact_counts(ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of word numbers of the distinct phrases at ``starts``, and how often each occurs."""
-    key = ids[starts].astype(np.int64)
-    for i in range(1, size):
-        # Phrases are numbered by their rank so far, so that two numbers always fit a key.
-        if i > 1:
-            key = np.unique(key, return_inverse=True)[1]
-        key = key << 32 | ids[starts + i]
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    at = starts[first]
-    return np.stack([ids[at + i] for i in range(size)], axis=1), counts
-
-
-PARTS = "lang string, phrase binary, size int, gram long, n long"
-
-
-def _parts(rows: DataFrame, count: int, mine: int, shared) -> DataFrame:
-    """``lang, phrase, size, n`` of exact counts and ``gram, n`` of mined digests, one row for each and part of it.
+    if size == 1:
+        counts = np.bincount(ids[starts])
+        found = np.flatnonzero(counts)
+        return found[:, None], counts[found]
+    if size * NUMBER < 64:
+        key = ids[starts].astype(np.int64)
+        for i in range(1, size):
+            key = key << NUMBER | ids[starts + i]
+        key, counts = np.unique(key, return_counts=True)
+        shifts = NUMBER * np.arange(size - 1, -1, -1)
+        return key[:, None] >> shifts & (1 << NUMBER) - 1, counts
+    return np.unique(np.stack([ids[starts + i] for i in range(size)], axis=1), axis=0, return_counts=True)
+
+
+def _parts(rows: DataFrame, count: int, mine: int, shared, buckets: int) -> DataFrame:
+    """Stored sums of chunks: ``lang, phrase, n`` exact, and ``bucket, shard, grams, counts`` of mined digests.
 
     Counts the phrases of ``count`` words that ``shared`` candidates hold (words: all), and mines
     those of ``mine`` words (0: none) whose inner phrases of ``count`` words they all hold.
     """
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        candidates = shared.value
-        held: dict[int, Words] = {}
-
-        def flush(shard: int) -> Iterator[pa.RecordBatch]:
-            words = held.pop(shard)
-            ids = words.ids()
-            digests = words.digest_of(ids)
+    names = ["lang", "phrase", "n", "bucket", "shard", "grams", "counts"]
+    kinds = [pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+    def batch_of(*columns: list, nulls: int) -> pa.RecordBatch:
+        size = len(columns[0])
+        given = [pa.nulls(size, k) for k in kinds[:nulls]] + [pa.array(c, k) for c, k in zip(columns, kinds[nulls:], strict=False)]
+        return pa.RecordBatch.from_arrays(given + [pa.nulls(size, k) for k in kinds[len(given) :]], names=names)
+
+    def flush(words: Words, candidates: Candidates) -> Iterator[pa.RecordBatch]:
+        numbers = np.array(words.digests, np.uint64)
+        for shard, parts in words.parts.items():
+            ids = np.concatenate(parts)
+            digests = numbers[ids]
             starts = windows(ids, count)
-            good = candidates.has(phrase_digests(digests, starts, count))
-            found, n = exact_counts(ids, starts[good], count)
+            if candidates.bits is not None:
+                starts = starts[candidates.has(phrase_digests(digests, starts, count))]
+            found, n = exact_counts(ids, starts, count)
             for a in range(0, len(found), 1 << 16):
-                langs, phrases = words.phrases(found[a : a + (1 << 16)])
-                yield batch_of(langs, phrases, count, [None] * len(langs), n[a : a + (1 << 16)])
+                yield batch_of(*words.phrases(found[a : a + (1 << 16)]), n[a : a + (1 << 16)], nulls=0)
             if mine:
                 fits = np.zeros(len(ids), bool)
-                fits[starts[good]] = True
+                fits[starts] = True
                 longer = windows(ids, mine)
                 for i in range(mine - count + 1):
                     longer = longer[fits[longer + i]]
                 grams, n = np.unique(phrase_digests(digests, longer, mine), return_counts=True)
-                # The shard takes the place of the lowest bits; the bitmap reads the highest.
-                grams = (grams & ~np.uint64(0xFF) | np.uint64(shard)).view(np.int64)
-                for a in range(0, len(grams), 1 << 18):
-                    part = grams[a : a + (1 << 18)]
-                    yield batch_of([None] * len(part), [None] * len(part), None, part, n[a : a + (1 << 18)])
+                bucket = (grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(grams)] if len(grams) else [0]
+                spans = list(zip(cuts, cuts[1:], strict=False))
+                for a in range(0, len(spans), 256):
+                    some = spans[a : a + 256]
+                    yield batch_of(
+                        [int(bucket[i]) for i, _ in some], [shard] * len(some), [grams[i:j].tobytes() for i, j in some],
+                        [n[i:j].astype("<u4").tobytes() for i, j in some], nulls=3,
+                    )
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        candidates, words = shared.value, Words()
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("lang", "shard"))
             for lang, shard, text in zip(*columns, batch.column("bytes"), strict=True):
-                for words in segments(text.as_py()):
-                    into = held.setdefault(shard, Words())
-                    into.add(lang, words)
-                    into.end()
-                    if into.full():
-                        yield from flush(shard)
-        for shard in list(held):
-            yield from flush(shard)
-
-    def batch_of(langs, phrases, size, grams, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array([size] * len(n), pa.int32()),
-                pa.array(grams, pa.int64()), pa.array(n, pa.int64()),
-            ],
-            names=["lang", "phrase", "size", "gram", "n"],
-        )
+                for some in segments(text.as_py()):
+                    words.add(shard, lang, some)
+                    if words.full():
+                        yield from flush(words, candidates)
+                        words = Words()
+        yield from flush(words, candidates)
+
+    return stored(
+        rows.mapInArrow(counted, "lang string, phrase binary, n long, bucket int, shard int, grams binary, counts binary"),
+        "phrases-parts",
+    )
 
-    return rows.mapInArrow(counted, PARTS)
 
+def _often(parts: DataFrame, lowered: int) -> DataFrame:
+    """Stored digests that some shard holds ``lowered`` times or more."""
 
-def _mined(rows: DataFrame, count: int, mine: int, candidates: Candidates, support: int, lowered: int) -> DataFrame:
-    """Stored exact counts, and the digests that a shard holds ``lowered`` times or more.
+    def merged(rows: pa.Table) -> pa.Table:
+        grams = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in rows["grams"]])
+        counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in rows["counts"]])
+        order = np.argsort(grams)
+        grams = grams[order]
+        begin = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+        sums = np.add.reduceat(counts[order].astype(np.int64), begin)
+        return pa.table({"gram": pa.array(grams[begin][sums >= lowered].view(np.int64), pa.int64())})
 
-    Phrases below ``support`` go, but all words stay.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(candidates)
-    sums = _parts(rows, count, mine, shared).groupBy("lang", "phrase", "size", "gram").agg(F.sum("n").alias("n"))
-    enough = F.when(F.col("phrase").isNull(), F.col("n") >= lowered).otherwise((F.col("n") >= support) | (F.col("size") == 1))
-    return stored(sums.filter(enough), "phrases")
+    mined = parts.filter("grams IS NOT NULL").select("bucket", "shard", "grams", "counts")
+    return stored(mined.groupBy("bucket", "shard").applyInArrow(merged, "gram long"), "phrases-grams")
 
 
 def _bitmap(grams: DataFrame) -> Candidates:
     """The union of what the shards found, as a bitmap: 2 ** BITS bits pass the driver at most."""
     place = f"shiftrightunsigned(gram, {64 - BITS})"
-    words = grams.filter("gram IS NOT NULL").selectExpr(
+    words = grams.selectExpr(
         f"shiftright({place}, 6) AS word", f"shiftleft(1L, cast({place} % 64 AS int)) AS bit"
     )
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -226,22 +243,29 @@ def _bitmap(grams: DataFrame) -> Candidates:
 
 def phrase_counts(docs: DataFrame, support: int, longest: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """``lang, phrase, size, n``: all words, and all phrases of 2 to ``longest`` words with ``support``; exact."""
+    spark = docs.sparkSession
     rows = docs.select(
         F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"),
         F.pmod(F.xxhash64(F.lit("shard"), id_col), F.lit(SHARDS)).cast("int").alias("shard"),
         text_bytes(text_col).alias("bytes"),
     )
-    lowered = -(-support // SHARDS)
-    candidates, counts = Candidates(None), []
+    # A bucket holds its part of every task's digests: more ranges for more data, as for any shuffle.
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    candidates, total = Candidates(None), None
     for size in range(1, longest + 1):
         more = size + 1 if size < longest else 0
-        found = _mined(rows, size, more, candidates, support, lowered)
-        counts.append(found.filter("phrase IS NOT NULL").select("lang", F.col("phrase").cast("string").alias("phrase"), "size", "n"))
+        parts = _parts(rows, size, more, spark.sparkContext.broadcast(candidates), buckets)
+        sums = parts.filter("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        exact = stored(
+            sums.filter(F.lit(size == 1) | (F.col("n") >= support)).select(
+                "lang", F.col("phrase").cast("string").alias("phrase"), F.lit(size).alias("size"), "n"
+            ),
+            "phrases-exact",
+        )
+        total = exact if total is None else total.unionByName(exact)
         if more:
-            candidates = _bitmap(found)
-    total = counts[0]
-    for part in counts[1:]:
-        total = total.unionByName(part)
+            candidates = _bitmap(_often(parts, -(-support // SHARDS)))
+        discard(parts)
     return total
 
 
@@ -276,7 +300,7 @@ def collocations(
     Null texts are empty and null languages ``und``; repeated rows count as often as they occur, and ids
     only deal rows out, so null and repeated ones don't matter. Empty tables give empty results.
     """
-    counts = stored(phrase_counts(docs, support, longest, id_col, text_col, lang_col), "phrases-counts")
+    counts = phrase_counts(docs, support, longest, id_col, text_col, lang_col)
     totals = stored(counts.filter("size = 1").groupBy("lang").agg(F.sum("n").alias("all_words")), "phrases-totals")
     found = counts.filter("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
     # What a longer phrase covers: all of its inner phrases of each shorter size.

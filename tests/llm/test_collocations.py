@@ -8,14 +8,15 @@ import pytest
 
 from colloquy.llm import collocations as c
 from tests.llm.fixtures import all_null, documents, empty, rows
-from tests.llm.test_dedup import folded
+
+FOLD = {c: c + 32 for c in range(65, 91)}
 
 
 def brute(docs, support, longest, first=2000, covered=50):
     counts = defaultdict(Counter)
     for row in docs:
         lang = "und" if row["lang"] is None else row["lang"]
-        for piece in re.split(r"[.,;:!?\x0a-\x0d]", folded(row["text"])):
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", (row["text"] or "").translate(FOLD)):
             words = [w for w in re.split(r"[ \t]", piece) if w]
             for size in range(1, longest + 1):
                 for i in range(len(words) - size + 1):
