@@ -6,6 +6,7 @@ from colloquy.plans import (  # noqa: F401
     governance,
     messages,
     models,
+    pages,
     releases,
     rewards,
     sampling,
