@@ -12,6 +12,7 @@ from colloquy.llm.byte_bpe import byte_bpe
 from colloquy.llm.collocations import collocations
 from colloquy.llm.common import remainder, table
 from colloquy.llm.exact_dedup import exact_duplicates
+from colloquy.llm.html_extraction import main_text
 from colloquy.llm.lattice_lm import lattice_scores
 from colloquy.llm.merkle import merkle_manifest
 from colloquy.llm.mixing import mix
@@ -276,6 +277,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query()
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text(table(spark, sf_dir, "pages"), blocks=False, carry=True)
+    return found.select("page_id", "doc.url", "text", "n_chars")
+
+
 COLLOCATION_SQL = """
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, unnest(string_split_regex(
