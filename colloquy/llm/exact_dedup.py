@@ -3,12 +3,14 @@
 A document is the string of its byte length and its bytes, with A-Z lower-cased. The
 first pass splits all rows by the length and the first ``FIRST`` bytes; only the counts of
 those keys are shuffled. Rows alone in their group are done. The others are split again
-by their next bytes, ever more of them, until a group holds one row or its texts have
-ended. As all texts of a group have one length, they end together, and what is then in a
-group is equal; no digest decides anything.
-
-Each pass is one aggregate (combined before its shuffle) and one join of two written
-tables, so a group with a third of all rows is split like any skewed join side.
+by their next bytes, a digit that grows from pass to pass, until a group holds one row or its
+texts have ended. As all texts of a group have one length, they end together, and what is
+then in a group is equal; no digest decides anything.
+
+Rows are stored once, with their numbers, and never moved or written again: each pass reads the digit
+at its own offset and counts groups and digits, combined before the shuffle. Copies stay
+together, so what a pass adds is a small table of the groups that fell apart, and a row's
+group follows from these tables by joins. A group with a third of all rows is one row in each.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.common import doc_column, lookup, stored, text_bytes
+from colloquy.llm.common import discard, doc_column, lookup, stored, text_bytes
+
+#: Bytes compared in the first pass and in the second, and the growth of each pass after that.
+FIRST, SECOND, GROWTH = 64, 64, 4
 
-#: Bytes compared in the first pass, in the second, and the growth of each pass after that.
-FIRST, SECOND, GROWTH = 64, 16 << 10, 16
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 NORMAL = T.StructType(
     [T.StructField("body", T.BinaryType()), T.StructField("head", T.BinaryType()), T.StructField("sha", T.StringType())]
@@ -43,12 +47,8 @@ def _normalized(texts: pa.Array) -> pa.Array:
     )
 
 
-def _digit(width: int) -> Column:
-    return F.substring("rest", 1, width)
-
-
 def _first_pass(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
-    """Stored rows, numbered; ``group`` and ``rest`` of those that share their first bytes."""
+    """Stored rows, numbered; ``group``, ``size`` and ``body`` of those that share their first bytes."""
     normal = docs.select(
         F.col(id_col).alias("doc_id"), _normalized(text_bytes(text_col)).alias("n"), *doc_column(carry)
     )
@@ -62,25 +62,25 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> Dat
         "radix-heads",
     )
     split = normal.select("*", size, F.col("n.head").alias("head")).join(lookup(keys), ["size", "head"], "left")
+    # A carried document has its text already.
     return stored(
         split.select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
             F.col("n.sha").alias("sha"),
             "group",
-            F.when(F.col("group").isNotNull(), F.substring("n.body", FIRST + 1, 2**31 - 1)).alias("rest"),
-            *(["doc"] if carry else []),
+            F.when(F.col("group").isNotNull(), F.col("size")).alias("size"),
+            *(["doc"] if carry else [F.when(F.col("group").isNotNull(), F.col("n.body")).alias("body")]),
         ),
         "radix-rows",
     )
 
 
-def _grouped(rows: DataFrame) -> DataFrame | None:
+def _grouped(rows: DataFrame, body: Column) -> DataFrame:
     """``row, doc_id, sha, keep_id, group_size, kept`` of the rows that share their first bytes."""
-    ended = _classes(rows)
-    if ended is None:
-        return None
-    members = rows.filter("group IS NOT NULL").select("row", "doc_id", "sha").join(lookup(ended), "row")
+    members = _classes(rows.filter("group IS NOT NULL").withColumn("body", body)).select(
+        "row", "doc_id", "sha", F.col("group").alias("class")
+    )
     members = stored(members, "radix-members")
     groups = stored(
         members.groupBy("class").agg(
@@ -102,12 +102,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``text_sha256`` is an output only. An empty table gives an empty result.
     """
     rows = _first_pass(docs, id_col, text_col, carry=False)
-    grouped = _grouped(rows)
+    grouped = _grouped(rows, F.col("body"))
     out = ["doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")]
     singles = rows.filter("group IS NULL").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
     ).select(*out)
-    return singles if grouped is None else singles.unionByName(grouped.select(*out))
+    return singles.unionByName(grouped.select(*out))
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,43 +117,44 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     unless those numbers are too many to broadcast.
     """
     rows = _first_pass(docs, id_col, text_col, carry=True)
-    grouped = _grouped(rows)
-    if grouped is None:
-        return rows.select("doc.*")
+    folded = F.translate(F.coalesce(f"doc.`{text_col}`", F.lit("")), UPPER, LOWER).cast("binary")
+    grouped = _grouped(rows, folded)
     gone = stored(grouped.filter("NOT kept").select("row"), "radix-gone")
     return rows.join(lookup(gone), "row", "left_anti").select("doc.*")
 
 
-def _classes(rows: DataFrame) -> DataFrame | None:
-    """``row, class`` of every row that shares its first bytes; None if there is none."""
-    active = rows.filter("group IS NOT NULL").select("row", "group", "rest")
-    done, width = [], SECOND
-    while not active.isEmpty():
-        # A single row is its own class; all rows of an ended group are one.
-        groups = stored(
-            active.groupBy("group", _digit(width).alias("digit")).agg(
-                F.count("*").alias("n"), F.min("row").alias("next")
-            ),
-            "radix-groups",
+def _classes(rows: DataFrame) -> DataFrame:
+    """The rows with their last ``group``: those of equal texts, from groups of equal length and first bytes.
+
+    ``size`` and ``body`` are read at the offset of each pass; a pass looks at groups with more than one row
+    and bytes left, and its result is a row for each digit of the groups that fell apart.
+    """
+    longest = rows.agg(F.max("size")).first()[0] or 0
+    offset, width = FIRST, SECOND
+    while offset < longest:
+        digit = F.substring("body", offset + 1, width)
+        found = stored(
+            rows.filter(F.col("size") > offset)
+            .groupBy("group", digit.alias("digit"))
+            .agg(F.count("*").alias("n"), F.min("row").alias("least")),
+            "radix-digits",
         )
+        apart = found.groupBy("group").agg(F.count("*").alias("digits")).filter("digits > 1").select("group")
+        # The numbers of rows are never those of groups: negative ones are new.
         split = stored(
-            active.select("row", "group", "rest", _digit(width).alias("digit"))
-            .join(lookup(groups), ["group", "digit"])
-            .withColumn("open", (F.col("n") > 1) & (F.octet_length("rest") > width))
-            .select(
-                "row",
-                F.col("next").alias("group"),
-                "open",
-                F.when(F.col("open"), F.substring("rest", width + 1, 2**31 - 1)).alias("rest"),
-            ),
+            found.join(apart, "group").select("group", "digit", (-1 - F.col("least")).alias("next"), (F.col("n") > 1).alias("more")),
             "radix-split",
         )
-        done.append(split.filter("NOT open").select("row", F.col("group").alias("class")))
-        active = split.filter("open").select("row", "group", "rest")
-        width *= GROWTH
-    if not done:
-        return None
-    result = done[0]
-    for part in done[1:]:
-        result = result.unionByName(part)
-    return stored(result, "radix-classes")
+        discard(found)
+        if not split.isEmpty():
+            next_ = F.when(F.col("next").isNotNull(), F.col("next")).otherwise(F.col("group"))
+            # A row alone has its own group, and nothing more to compare.
+            size = F.when(F.coalesce("more", F.lit(True)), F.col("size")).otherwise(F.lit(0))
+            rows = (
+                rows.withColumn("digit", F.when(F.col("size") > offset, digit))
+                .join(lookup(split), ["group", "digit"], "left")
+                .withColumns({"group": next_, "size": size})
+                .drop("digit", "next", "more")
+            )
+        offset, width = offset + width, width * GROWTH
+    return rows
