@@ -21,7 +21,7 @@ from colloquy.llm.simhash import simhash_components
 from colloquy.llm.token_counts import token_counts
 from colloquy.llm.topk import top_k
 from colloquy.llm.toxicity import toxicity
-from colloquy.llm.url_filter import DAMPING, ROUNDS, THRESHOLD, url_verdicts
+from colloquy.llm.url_filter import DAMPING, LEAST, ROUNDS, THRESHOLD, url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -177,7 +177,7 @@ hosts AS MATERIALIZED (
 s0 AS MATERIALIZED (SELECT host, good AS trust, bad AS distrust FROM hosts){scores}
 SELECT page_id, r.host, path, rule, CASE
   WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN s.distrust - s.trust > {THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict
+  WHEN s.distrust > {LEAST!r} AND s.distrust > {THRESHOLD} * (s.distrust + s.trust) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled r LEFT JOIN s{rounds} s ON s.host = r.host"""
 
 

@@ -3,8 +3,9 @@
 A rule decides the urls it fits. The others follow their host: trust spreads from hosts
 with allowed urls along links (a personalised PageRank), distrust from hosts with blocked
 urls against them, so that who links to blocked hosts is distrusted. Both start with the
-share of a host's pages that rules allow or block, and a host is blocked when its
-distrust exceeds its trust by a threshold.
+share of a host's pages that rules allow or block, and a host is blocked when more than a
+threshold of what reached it is distrust. That share does not shrink where many hosts link to
+one, as the distrust that each of them receives does.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from colloquy.llm.common import doc_column, lookup, stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (rule, verdict); a rule is a host and the beginning of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Part of a score that is passed on, rounds, and the excess of distrust from which a host is blocked.
+#: Part of a score that is passed on, rounds, and the share of distrust above which a host is blocked.
 DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.5
+#: Distrust beyond what rounding may leave.
+LEAST = 1e-12
 
 #: Host and path after the first ``://``.
 ABSOLUTE = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -116,7 +119,8 @@ def url_verdicts(
     """One row per input row: ``page_id, host, path, rule, verdict`` (and ``doc``).
 
     ``rule`` is the longest that fits, else null. Without a rule the verdict is that of the
-    host; hosts that nothing reaches, and urls without a host, are allowed. A null page has
+    host, block above ``threshold`` of its scores being distrust; hosts that nothing reaches, and urls
+    without a host, are allowed. A null page has
     no links; repeated pages count as often as they occur.
     """
     verdict = reduce(lambda e, pair: e.when(F.col("rule") == pair[0], pair[1]), rules, F)
@@ -131,7 +135,9 @@ def url_verdicts(
     )
     scores = host_scores(host_links(named.select("host", "html")), seeds, damping, rounds)
     blocked = stored(
-        scores.filter(F.col("distrust") - F.col("trust") > threshold).select("host", F.lit("block").alias("spread")),
+        scores.filter((F.col("distrust") > LEAST) & (F.col("distrust") > threshold * (F.col("distrust") + F.col("trust")))).select(
+            "host", F.lit("block").alias("spread")
+        ),
         "url-blocked",
     )
     return judged.drop("html").join(lookup(blocked), "host", "left").select(

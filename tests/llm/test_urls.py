@@ -17,14 +17,14 @@ def table(spark, pages):
 CASES = [
     ("http://a.net/x", "a.net", "/x", "net/", "block"),
     ("http://net/x", "net", "/x", "net/", "block"),
-    ("http://a.net", "a.net", "", None, "allow"),
-    ("http://a.net?x", "a.net", "", None, "allow"),
+    ("http://a.net", "a.net", "", None, "block"),  # by its host, of whose pages rules block one
+    ("http://a.net?x", "a.net", "", None, "block"),
     ("http://xnet/", "xnet", "/", None, "allow"),
     ("https://WWW.Example.NET/en/1?q#f", "www.example.net", "/en/1", "example.net/en/", "allow"),
     ("https://example.net/en", "example.net", "/en", "net/", "block"),
     ("https://myexample.net/en/1", "myexample.net", "/en/1", "net/", "block"),
     ("https://example.com/de/", "example.com", "/de/", "example.com/de/", "block"),
-    ("https://example.com/DE/", "example.com", "/DE/", None, "allow"),
+    ("https://example.com/DE/", "example.com", "/DE/", None, "block"),
     ("ftp://x.org/fr/a#b", "x.org", "/fr/a", "org/fr/", "allow"),
     ("http://x.org/a?u=http://a.net/b", "x.org", "/a", None, "allow"),
     ("://x.org/fr/", "x.org", "/fr/", "org/fr/", "allow"),
@@ -103,6 +103,27 @@ def test_scores_spread_over_links(spark):
 
 
 def test_who_links_to_blocked_hosts_is_blocked(spark):
-    got = {(r["page_id"], r["host"]): r["verdict"] for r in rows(url_filter.url_verdicts(table(spark, LINKED), threshold=0.11))}
+    """At the registered defaults."""
+    got = {(r["page_id"], r["host"]): r["verdict"] for r in rows(url_filter.url_verdicts(table(spark, LINKED)))}
     assert got[2, "farm.com"] == got[3, "farm.com"] == "block"
-    assert got[5, "friend.com"] == got[6, "alone.com"] == "allow"
+    assert got[6, "alone.com"] == "allow"
+    # It links to a farm and to a good host, and is trusted by none.
+    trust, distrust = brute_scores(LINKED, url_filter.ROUNDS)
+    assert (got[5, "friend.com"] == "block") == (distrust["friend.com"] > trust["friend.com"])
+
+
+@pytest.mark.parametrize("farms", [1, 5, 200])
+def test_farms_of_one_blocked_host_at_registered_defaults(spark, farms):
+    spam = '<a href="http://spam.net/a">x</a>'
+    pages = [(0, "http://spam.net/a", None), (1, "http://good.org/fr/a", '<a href="http://friend.com/">y</a>'), (2, "http://friend.com/", spam), (3, "http://alone.com/", None)]
+    pages += [(10 + n, f"http://farm{n}.com/", spam) for n in range(farms)]
+    got = {r["page_id"]: r["verdict"] for r in rows(url_filter.url_verdicts(table(spark, pages)))}
+    assert {got[10 + n] for n in range(farms)} == {"block"}
+    assert got[0] == "block" and got[1] == got[3] == "allow"
+    trust, distrust = _many(pages)
+    assert (got[2] == "block") == (distrust["friend.com"] > trust["friend.com"])
+
+
+def _many(pages):
+    """Scores of these pages by brute force, from the seeds that the rules give."""
+    return brute_scores([(i, u, h) for i, u, h in pages], url_filter.ROUNDS)
