@@ -87,13 +87,13 @@ def training_ids(
     bound: int,
     per_class: bool = False,
 ) -> DataFrame:
-    """Stored ``id, label, weight`` of the documents to learn from, about ``bound`` at most.
+    """Stored ``id, sha, label, copies, weight`` of the texts to learn from, about ``bound`` at most.
 
     Rows with a null id, a label other than 0 or 1, or an id that the split holds out teach
     nothing; of several labels for an id the largest counts. Of copies of one text with one
-    label only the smallest id stays. Beyond ``bound`` rows (of each label, if
-    ``per_class``) the sample is by a digest of the id; ``weight`` is how many documents a
-    sampled one stands for.
+    label only that of the smallest id stays. ``sha`` is the text's digest: an id may stand on several
+    texts, and ``copies`` says how many rows are alike in both. Beyond ``bound`` rows (of each label, if ``per_class``) the sample is by a digest of
+    id and text; ``weight`` is how many texts a sampled one stands for.
     """
     marked = stored(
         labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
@@ -103,22 +103,30 @@ def training_ids(
         .agg(F.max("label").alias("label")),
         "training-labels",
     )
-    texts = docs.select(F.col("doc_id").alias("id"), F.sha2(text_bytes("text"), 256).alias("sha"))
-    one = stored(
-        texts.join(lookup(marked), "id").groupBy("sha", "label").agg(F.min("id").alias("id")).select("id", "label"),
-        "training-ids",
-    )
+    texts = docs.select(F.col("doc_id").alias("id"), _sha(text_bytes("text")))
+    same = texts.join(lookup(marked), "id").groupBy("sha", "label", "id").agg(F.count("*").alias("copies"))
+    least = same.groupBy("sha", "label").agg(F.min(F.struct("id", "copies")).alias("least"))
+    one = stored(least.select("sha", "label", "least.*"), "training-ids")
     found = dict(one.groupBy("label").count().collect())
     total = sum(found.values())
     share = {k: min(1.0, bound / (n if per_class else total)) for k, n in found.items()}
     keep = F.lit(0.0)
     for value, part in share.items():
         keep = F.when(F.col("label") == value, part).otherwise(keep)
-    place = F.pmod(F.xxhash64(F.lit("training"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    place = F.pmod(F.xxhash64(F.lit("training"), "id", "sha"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return stored(one.filter(place < keep).withColumn("weight", F.try_divide(F.lit(1.0), keep)), "training-sample")
 
 
 def training_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``label, weight, bytes`` of the sampled documents; their ids are few enough to broadcast."""
-    texts = docs.select(F.col("doc_id").alias("id"), text_bytes("text").alias("bytes"))
-    return texts.join(F.broadcast(ids), "id").select("label", "weight", "bytes")
+    """``label, weight, bytes`` of the sampled texts, each once however often its row is repeated."""
+    texts = docs.select(F.col("doc_id").alias("id"), text_bytes("text").alias("bytes")).withColumn("sha", _sha(F.col("bytes")))
+    small = stored_bytes(ids) <= BROADCAST_BYTES
+    found = texts.join(F.broadcast(ids) if small else ids, ["id", "sha"])
+    if ids.filter("copies > 1").isEmpty():
+        return found.select("label", "weight", "bytes")
+    once = found.groupBy("sha", "label").agg(F.first("weight").alias("weight"), F.first("bytes").alias("bytes"))
+    return once.select("label", "weight", "bytes")
+
+
+def _sha(data: Column) -> Column:
+    return F.unhex(F.sha2(data, 256)).alias("sha")

@@ -21,7 +21,7 @@ STAGES = dict(corpus_pipeline.STAGES)
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(names) and set(SQL) <= set(entry.oracle_sql())
 
 
