@@ -36,8 +36,6 @@ FANOUT = 16
 NODE_LIMIT = 1 << 14
 #: Pairs of nodes looked at together in a task, and rows gathered before a search.
 PAIRS, ROWS = 1 << 20, 1 << 17
-#: Near copies of the pipeline: words of a shingle, similarity, and bits of 128 within which pairs are looked at.
-COPY_WIDTH, COPY_SIMILAR, COPY_APART = 5, 0.8, 36
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -300,133 +298,3 @@ def one_per_component(
     classes = lookup(_classes(narrow, distance))
     gone = stored(narrow.join(classes, "fp").filter("row <> least.row").select("row"), "simhash-gone")
     return rows.join(lookup(gone), "row", "left_anti").select("doc.*")
-
-
-# The pipeline's stage: copies by the Jaccard similarity of their shingles.
-
-
-def shingle_set(text: bytes, width: int) -> set[bytes]:
-    """The distinct word shingles, A-Z lower-cased; all words if they are fewer, the empty one without words."""
-    words = text.lower().split()
-    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
-
-
-def wide_print(text: bytes, width: int) -> tuple[int, int, int]:
-    """Two words of 64 bits set in more than half of the hashes of the distinct shingles, and how many those are."""
-    shingles = shingle_set(text, width)
-    hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(shingle, SEED) for shingle in shingles), np.uint8)
-    counts = np.zeros(128, np.int64)
-    for start in range(0, len(hashes), 16 << 14):
-        block = hashes[start : start + (16 << 14)].reshape(-1, 16)
-        counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    low, high = np.packbits(counts * 2 > len(shingles), bitorder="little").view("<i8")
-    return int(low), int(high), len(shingles)
-
-
-def jaccard(a: bytes, b: bytes, width: int) -> float:
-    one, other = shingle_set(a, width), shingle_set(b, width)
-    both = len(one & other)
-    return both / (len(one) + len(other) - both)
-
-
-def close_pairs(prints: DataFrame, similar: float, apart: int, chunk: int = NODE_LIMIT) -> DataFrame:
-    """``a, b``: all pairs of rows whose prints differ in at most ``apart`` of 128 bits, from ``row, low, high, size``.
-
-    Sets of similarity ``similar`` have sizes within that ratio, so rows meet those of their
-    own level of sizes and the next one only. Levels are cut into chunks; every pair of
-    chunks that may hold a pair of rows is compared whole.
-    """
-    step = 1.04 / similar
-    level = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(step))).cast("int")
-    levelled = prints.withColumn("level", level)
-    parts = {row["level"]: -(-row["count"] // chunk) for row in levelled.groupBy("level").count().collect()}
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            levels, rows = batch.column("level").to_numpy(), batch.column("row").to_numpy()
-            places = np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in rows], np.uint64)
-            for at in np.unique(levels).tolist():
-                for part in range(parts[at]):
-                    here = np.flatnonzero((levels == at) & (places % np.uint64(parts[at]) == part))
-                    own = [(f"{at}.{min(part, k)}.{max(part, k)}", k < part) for k in range(parts[at])]
-                    above = [(f"{at}.{part}+{k}", False) for k in range(parts.get(at + 1, 0))]
-                    below = [(f"{at - 1}.{k}+{part}", True) for k in range(parts.get(at - 1, 0))]
-                    for cell, right in own + above + below if len(here) else ():
-                        some = batch.select(["row", "low", "high", "size"]).take(pa.array(here))
-                        ends = [pa.array([cell] * len(here)), pa.array([right] * len(here))]
-                        yield pa.RecordBatch.from_arrays([*ends, *some.columns], names=["cell", "right", *some.schema.names])
-
-    def compared(cell: pa.Table) -> pa.Table:
-        right = cell["right"].to_numpy()
-        rows, size = cell["row"].to_numpy(), cell["size"].to_numpy()
-        low, high = (cell[name].to_numpy().view(np.uint64) for name in ("low", "high"))
-        left, other = np.flatnonzero(~right), np.flatnonzero(right)
-        # A chunk against itself has no right side.
-        alone = len(set(cell["cell"][0].as_py().split(".", 1)[1].split("."))) == 1 and "+" not in cell["cell"][0].as_py()
-        other = left if alone else other
-        out: list[tuple[np.ndarray, np.ndarray]] = [(rows[:0], rows[:0])]
-        for start in range(0, len(left), 64):
-            a = left[start : start + 64, None]
-            bits = np.bitwise_count(low[a] ^ low[other]) + np.bitwise_count(high[a] ^ high[other])
-            i, j = np.nonzero(bits <= apart)
-            i, j = a[i, 0], other[j]
-            fits = np.minimum(size[i], size[j]) >= similar * np.maximum(size[i], size[j]) * (1 - 1e-9)
-            fits &= (rows[i] < rows[j]) if alone else True
-            out.append((rows[i[fits]], rows[j[fits]]))
-        a, b = (np.concatenate(column) for column in zip(*out, strict=True))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    cells = levelled.mapInArrow(dealt, "cell string, right boolean, row long, low long, high long, size int")
-    return cells.groupBy("cell").applyInArrow(compared, "a long, b long")
-
-
-def without_near_copies(
-    docs: DataFrame,
-    width: int = COPY_WIDTH,
-    similar: float = COPY_SIMILAR,
-    apart: int = COPY_APART,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """The input rows without near copies, whole: of each group one row with the smallest id.
-
-    Two rows are linked when their sets of shingles have Jaccard similarity ``similar`` or
-    more. Fingerprints of 128 bits within ``apart`` propose the pairs, and the sets
-    themselves decide; groups are the components of the links. Null, empty and blank texts
-    are copies of one another.
-    """
-    kind = T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("size", T.IntegerType())])
-
-    @F.arrow_udf(kind)
-    def printed(texts: pa.Array) -> pa.Array:
-        found = [wide_print(text.as_py(), width) for text in texts]
-        columns = list(zip(*found, strict=True)) or [[]] * 3
-        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)]
-        return pa.StructArray.from_arrays(arrays, names=["low", "high", "size"])
-
-    @F.arrow_udf(T.BooleanType())
-    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
-        return pa.array([jaccard(one, other, width) >= similar for one, other in pairs], pa.bool_())
-
-    rows = stored(
-        docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("bytes"), F.struct("*").alias("doc"))
-        .select("doc_id", "doc", printed("bytes").alias("print"))
-        .withColumn("row", F.monotonically_increasing_id()),
-        "copies-rows",
-    )
-    prints = stored(rows.select("row", "print.*"), "copies-prints")
-    pairs = stored(close_pairs(prints, similar, apart), "copies-pairs")
-    asked = stored(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "copies-asked")
-    texts = rows.join(lookup(asked), "row", "left_semi").select("row", text_bytes(f"doc.`{text_col}`").alias("bytes"))
-    texts = stored(texts, "copies-texts")
-    one, other = (texts.select(F.col("row").alias(end), F.col("bytes").alias(f"{end}_bytes")) for end in "ab")
-    links = stored(pairs.join(one, "a").join(other, "b").filter(alike("a_bytes", "b_bytes")).select("a", "b"), "copies-links")
-    groups = stored(components(links), "copies-groups")
-    members = stored(
-        rows.select("row", "doc_id").join(lookup(groups), F.col("row") == F.col("node")).select("root", "row", "doc_id"), "copies-members"
-    )
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    least = stored(members.groupBy("root").agg(F.min(order).alias("least")), "copies-least")
-    gone = stored(members.join(lookup(least), "root").filter("row <> least.row").select("row"), "copies-gone")
-    return rows.join(lookup(gone), "row", "left_anti").select("doc.*")
