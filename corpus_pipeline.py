@@ -11,7 +11,7 @@ from colloquy.llm.common import stored, table
 from colloquy.llm.exact_dedup import without_duplicates
 from colloquy.llm.mixing import mix
 from colloquy.llm.quality import learn, score_quality
-from colloquy.llm.simhash import without_near_copies
+from colloquy.llm.simhash import one_per_component
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard 0.8) stays, that with the smallest id."""
-    return without_near_copies(docs)
+    """One document of each group of near copies (four-word shingles, four bits apart) stays, that with the smallest id."""
+    return one_per_component(docs, width=4, distance=4)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
