@@ -1,47 +1,39 @@
-"""Language-model scores: subword lattices under counted words.
+"""Language-model scores: marginal probabilities over subword lattices.
 
 The pieces of an existing vocabulary span a lattice over each word, with the mark of a word's start before
-it. The probability of a word is the sum over all segmentations, by a forward recursion
-in log space. Piece probabilities start from how the vocabulary's own scores segment the
-learned words and are improved by rounds of expected counts over the same lattices; they
-are learned on distinct words, because they stand for words not seen.
-
-A word that was learned is one more arc over its whole span: its count, discounted, in
-the document's class and in all learned documents, with the lattice below both. Classes
-are a small mixture over word rates, learned on all learned documents from the starts that
-a bounded sample gives; a document's probability is that of its best class and of its words in that class, and so never more than
-the sum over the classes.
-
-Counts of words cover all documents. The most frequent words are broadcast, a bounded
-number; the others of each document meet their probabilities in a join, in which no word is
-frequent.
+it; no piece crosses words. A document is pieces drawn one after the other up to an end, and its
+probability the sum over all segmentations of its whole text. Words share no piece, so that sum is the
+product of the words' own sums, each by a forward recursion in log space, and of the end.
+
+The vocabulary's own scores segment the learned words once; from there on, rounds of expected counts
+over the same lattices, weighted by how often a word was learned, give each piece its probability
+(expectation and maximization). Counts cover all learned documents.
+
+Every distinct word is looked at once a round, wherever it occurs. The most frequent words are
+broadcast with their scores, a bounded number; the others of each document meet theirs in a join,
+in which no word is frequent.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-import zlib
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import remainder, stored, text_bytes
 
-#: Classes, the documents of the sample that gives their starts, and hashed word rates.
-CLASSES, SAMPLE, RATES = 12, 3000, 2048
-#: Most rounds of the classes over all learned documents, and the share of documents that may still move at the end.
-PASSES, SETTLED = 25, 1e-3
-#: Words broadcast, entries a task holds at once, and the discount of every count.
-HEAD, HELD, DISCOUNT = 100_000, 300_000, 0.75
-#: Rounds of expected counts, and the weight of all classes in the pieces of each.
-ROUNDS, SHARED = 1, 50.0
+#: Words broadcast, and entries a task holds at once.
+HEAD, HELD = 100_000, 300_000
+#: Rounds of expected counts, and the count of every piece beside them.
+ROUNDS, FLOOR = 2, 0.01
 #: Characters up to which the probability of a word cannot underflow.
 SHORT = 24
 #: The empty word stands for the end of a text.
@@ -50,163 +42,33 @@ END = b""
 START = "▁"
 
 
-@dataclass(frozen=True)
-class Classes:
-    """Logarithms of class shares and of the hashed word rates of each class."""
-
-    share: np.ndarray
-    rates: np.ndarray
-
-    def of(self, words: Collection[bytes]) -> int:
-        return int(np.argmax(self.share + self.rates @ word_rates(words)))
-
-
-def word_rates(words: Collection[bytes]) -> np.ndarray:
-    """How many of a document's distinct words have each hash."""
-    return np.bincount(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % RATES, minlength=RATES)
-
-
-def fit_classes(rows: np.ndarray, number: int, rounds: int = 25) -> Classes:
-    """A mixture over word rates, from starts that lie far apart; deterministic."""
-    if not len(rows):
-        return Classes(np.zeros(1), np.zeros((1, RATES)))
-    length = np.linalg.norm(rows, axis=1, keepdims=True)
-    unit = rows / np.where(length > 0, length, 1)
-    starts = [unit[0]]
-    for _ in range(min(number, len(rows)) - 1):
-        starts.append(unit[np.argmin(np.max(unit @ np.array(starts).T, axis=1))])
-    member = np.eye(len(starts))[np.argmax(unit @ np.array(starts).T, axis=1)]
-    for _ in range(rounds):
-        share = np.log((member.sum(0) + 1) / (len(rows) + len(starts)))
-        rates = member.T @ rows + 0.1
-        rates = np.log(rates / rates.sum(1, keepdims=True))
-        fit = share + rows @ rates.T
-        member = np.exp(fit - fit.max(1, keepdims=True))
-        member /= member.sum(1, keepdims=True)
-    return Classes(share, rates)
-
-
-def _from_totals(weight: np.ndarray, sums: np.ndarray) -> Classes:
-    """Classes from how many documents each has and the sums of their word rates."""
-    rates = sums + 0.1
-    return Classes(np.log((weight + 1) / (weight.sum() + len(weight))), np.log(rates / rates.sum(1, keepdims=True)))
-
-
-def _sample(rates: DataFrame) -> np.ndarray:
-    """Rates of the SAMPLE learned documents of least digest; of equal digests those of least rates."""
-    place = F.xxhash64(F.lit("classes"), "doc_id", "rates")
-    # The order is over all that is read: equal rows are the same rows, so any of them will do.
-    found = rates.select(place.alias("place"), "rates").orderBy("place", "rates").limit(SAMPLE).collect()
-    return np.array([_dense([bytes(row["rates"])])[0] for row in found], float).reshape(-1, RATES)
-
-
-def _dense(packed: list[bytes]) -> np.ndarray:
-    """A row of rates for each document from its packed pairs of hash and number of words."""
-    pairs = [np.frombuffer(one, "<u2").reshape(-1, 2) for one in packed]
-    out = np.zeros((len(pairs), RATES), np.float32)
-    if pairs:
-        flat = np.concatenate(pairs)
-        np.add.at(out, (np.repeat(np.arange(len(pairs)), [len(p) for p in pairs]), flat[:, 0]), flat[:, 1].astype(np.float32))
-    return out
-
-
-def _packed(words: Collection[bytes]) -> bytes:
-    """The pairs of hash and number of distinct words that are not zero; numbers beyond 65,535 as several pairs."""
-    rates = word_rates(words)
-    pairs = []
-    while len(some := np.flatnonzero(rates)):
-        part = np.minimum(rates[some], 65_535)
-        rates[some] -= part
-        pairs.append(np.stack([some, part], axis=1))
-    return np.concatenate(pairs).astype("<u2").tobytes() if pairs else b""
-
-
-def learn_classes(rows: DataFrame) -> Classes:
-    """Classes from all learned documents, in rounds of which each is one aggregate.
-
-    A sample by a digest gives the starts; class totals alone reach the driver. The rounds end
-    when next to no document changes its class.
-    """
-
-    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [_packed(set(t.as_py().lower().split())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "rates"])
-
-    learned = rows.filter("NOT held_out").select(F.col("doc_id").cast("long").alias("doc_id"), "bytes")
-    rates = stored(learned.mapInArrow(rated, "doc_id long, rates binary"), "lm-rates")
-    classes = fit_classes(_sample(rates), CLASSES)
-    number, before = len(classes.share), None
-    for _ in range(PASSES if number > 1 else 0):
-        shared = rows.sparkSession.sparkContext.broadcast((before, classes))
-
-        def gathered(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            old, now = shared.value
-            weight, sums, moved = np.zeros(number), np.zeros((number, RATES)), 0
-            for batch in batches:
-                packed = batch.column(0).to_pylist()
-                for start in range(0, len(packed), 1024):
-                    some = _dense(packed[start : start + 1024])
-                    fit = now.share + some @ now.rates.T.astype(np.float32)
-                    if old is not None:
-                        was = old.share + some @ old.rates.T.astype(np.float32)
-                        moved += int((fit.argmax(1) != was.argmax(1)).sum())
-                    member = np.exp(fit - fit.max(1, keepdims=True))
-                    member /= member.sum(1, keepdims=True)
-                    weight += member.sum(0)
-                    sums += member.astype(np.float32).T @ some
-            # Beside the sums, at RATES the documents of each class and at RATES + 1 those that moved.
-            table = np.column_stack([sums, weight, np.full(number, moved / number)])
-            owners, places = np.nonzero(table)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(owners, pa.int32()), pa.array(places, pa.int32()), pa.array(table[owners, places], pa.float64())],
-                names=["class", "place", "n"],
-            )
-
-        parts = rates.select("rates").mapInArrow(gathered, "class int, place int, n double")
-        found = parts.groupBy("class", "place").agg(F.sum("n").alias("n")).toArrow()  # rates times classes at most
-        table = np.zeros((number, RATES + 2))
-        table[found["class"].to_numpy(), found["place"].to_numpy()] = found["n"].to_numpy()
-        sums, weight, moved = table[:, :RATES], table[:, RATES], table[:, RATES + 1].sum()
-        # Sums arrive in any order: fewer digits make reruns agree.
-        before, classes = classes, _from_totals(np.round(weight, 2), np.round(sums, 2))
-        if shared.value[0] is not None and moved < SETTLED * weight.sum():
-            break
-    return classes
-
-
-def count_words(rows: DataFrame, classes: Classes) -> DataFrame:
-    """Stored ``word, class, train, every``: counts in learned and in all documents."""
-    shared = rows.sparkSession.sparkContext.broadcast(classes)
+def count_words(rows: DataFrame) -> DataFrame:
+    """Stored ``word, train, every``: counts in learned and in all documents; the end of a text is a word."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bool], Counter] = {}
+        held = (Counter(), Counter())
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (number, out), counts in held.items():
+            for out, counts in enumerate(held):
                 words = list(counts)
                 for start in range(0, len(words), 50_000):
                     part = words[start : start + 50_000]
                     every = pa.array([counts[w] for w in part], pa.int64())
                     train = pa.array([0] * len(part), pa.int64()) if out else every
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(part, pa.binary()), pa.array([number] * len(part), pa.int32()), train, every],
-                        names=["word", "class", "train", "every"],
-                    )
-            held.clear()
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), train, every], names=["word", "train", "every"])
+                counts.clear()
 
         for batch in batches:
             for out, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = text.as_py().lower().split()
-                into = held.setdefault((shared.value.of(set(words)), out), Counter())
-                into.update(words)
+                into = held[out]
+                into.update(text.as_py().lower().split())
                 into[END] += 1
-                if sum(map(len, held.values())) > HELD:
+                if len(held[0]) + len(held[1]) > HELD:
                     yield from flush()
         yield from flush()
 
-    parts = rows.select("held_out", "bytes").mapInArrow(counted, "word binary, class int, train long, every long")
-    return stored(parts.groupBy("word", "class").agg(F.sum("train").alias("train"), F.sum("every").alias("every")), "lm-words")
+    parts = rows.select("held_out", "bytes").mapInArrow(counted, "word binary, train long, every long")
+    return stored(parts.groupBy("word").agg(F.sum("train").alias("train"), F.sum("every").alias("every")), "lm-words")
 
 
 # The lattice.
@@ -299,14 +161,16 @@ def marginal(word: bytes, table, byte_ids: list[int], logs: list[float]) -> floa
     return _log_sum(terms[size])
 
 
-def expected_pieces(word: bytes, table, byte_ids: list[int], logs: list[float], rates: list[float], into: list[float]) -> None:
-    """Adds the expected count of every piece of a word, by forward and backward sums.
+def expected_pieces(
+    word: bytes, table, byte_ids: list[int], logs: list[float], rates: list[float], into: list[float], times: float = 1.0
+) -> None:
+    """Adds ``times`` the expected count of every piece of a word, by forward and backward sums.
 
     Words short enough not to underflow are summed without logarithms; ``rates`` are those of ``logs``.
     """
     text = START + word.decode("utf-8", "replace")
     size, find = len(text), table.get
-    if size <= SHORT and _expected_short(text, size, find, rates, into):
+    if size <= SHORT and _expected_short(text, size, find, rates, into, times):
         return
     size, arcs = lattice(word, table, byte_ids)
     ahead = forward(size, arcs, logs)
@@ -318,12 +182,12 @@ def expected_pieces(word: bytes, table, byte_ids: list[int], logs: list[float],
             sums[end] = _log_sum(back[end])
         cost = sum([logs[p] for p in pieces])
         back[begin].append(sums[end] + cost)
-        share = math.exp(ahead[begin] + cost + sums[end] - ahead[size])
+        share = times * math.exp(ahead[begin] + cost + sums[end] - ahead[size])
         for piece in pieces:
             into[piece] += share
 
 
-def _expected_short(text: str, size: int, find, rates: list[float], into: list[float]) -> bool:
+def _expected_short(text: str, size: int, find, rates: list[float], into: list[float], times: float) -> bool:
     """The same without logarithms; False if a character has no piece or the sum vanishes."""
     ahead, arcs = [0.0] * (size + 1), []
     ahead[0] = 1.0
@@ -348,114 +212,84 @@ def _expected_short(text: str, size: int, find, rates: list[float], into: list[f
     arcs.reverse()
     for begin, end, piece, term in arcs:
         after = behind[end]
-        into[piece] += term * after
+        into[piece] += times * term * after
         behind[begin] += rates[piece] * after
     return True
 
 
-def _piece_logs(counts: np.ndarray) -> np.ndarray:
-    """Log probabilities by class; all classes together give each its prior."""
-    whole = counts.sum(0) + 0.01
-    whole /= whole.sum()
-    mixed = counts + SHARED * whole
-    return np.log(mixed / mixed.sum(1, keepdims=True))
+def _piece_logs(counts: np.ndarray, ends: int) -> tuple[np.ndarray, float]:
+    """Log probabilities of the pieces and of the end, which are drawn from together."""
+    counts = counts + FLOOR
+    total = counts.sum() + ends + FLOOR
+    return np.log(counts / total), math.log((ends + FLOOR) / total)
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Tokens, distinct words and documents learned."""
+
+    tokens: int
+    types: int
+    docs: int
 
 
-def learn_pieces(words: DataFrame, model: bytes, number: int) -> np.ndarray:
-    """Log probabilities of the pieces in each class, from the distinct learned words of it."""
+def learn_pieces(words: DataFrame, model: bytes, totals: Totals) -> tuple[np.ndarray, float]:
+    """Log probabilities of the pieces and of the end of a text, from all learned words."""
     spark = words.sparkSession
     size = processor(model).get_piece_size()
     content = spark.sparkContext.broadcast(model)
-    logs = None
+    logs, end = None, 0.0
     for _ in range(ROUNDS + 1):
         shared = None if logs is None else spark.sparkContext.broadcast(logs)
 
         def counted(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             table, byte_ids = vocabulary(content.value)
-            counts = [[0.0] * size for _ in range(number)]
+            counts = [0.0] * size
             logs = None if shared is None else shared.value.tolist()
             rates = None if shared is None else np.exp(shared.value).tolist()
             for batch in batches:
-                texts, owners = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                texts, times = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 if rates is None:
                     decoded = [text.decode("utf-8", "replace") for text in texts]
-                    for owner, ids in zip(owners, processor(content.value).encode(decoded, num_threads=1), strict=True):
-                        into = counts[owner]
+                    for ids, n in zip(processor(content.value).encode(decoded, num_threads=1), times, strict=True):
                         for piece in ids:
-                            into[piece] += 1
+                            counts[piece] += n
                 else:
-                    for owner, text in zip(owners, texts, strict=True):
-                        expected_pieces(text, table, byte_ids, logs[owner], rates[owner], counts[owner])
-            counts = np.array(counts)
-            owners, pieces = np.nonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(owners, pa.int32()), pa.array(pieces, pa.int32()), pa.array(counts[owners, pieces], pa.float64())],
-                names=["class", "piece", "n"],
-            )
-
-        parts = words.filter("train > 0 AND word <> X''").select("word", "class")
-        sums = parts.mapInArrow(counted, "class int, piece int, n double").groupBy("class", "piece").agg(F.sum("n").alias("n"))
-        found = sums.toArrow()  # pieces times classes at most
-        counts = np.zeros((number, size))
-        counts[found["class"].to_numpy(), found["piece"].to_numpy()] = found["n"].to_numpy()
+                    for text, n in zip(texts, times, strict=True):
+                        expected_pieces(text, table, byte_ids, logs, rates, counts, n)
+            found = np.array(counts)
+            pieces = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), pa.array(found[pieces], pa.float64())], names=["piece", "n"])
+
+        parts = words.filter("train > 0 AND word <> X''").select("word", "train")
+        found = parts.mapInArrow(counted, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # pieces at most
+        counts = np.zeros(size)
+        counts[found["piece"].to_numpy()] = found["n"].to_numpy()
         # Sums arrive in any order: fewer digits make reruns agree.
-        logs = np.round(_piece_logs(np.round(counts, 3)), 9)
-    return logs
+        logs, end = _piece_logs(np.round(counts, 3), totals.docs)
+        logs = np.round(logs, 9)
+    return logs, end
 
 
-@dataclass(frozen=True)
-class Totals:
-    """Tokens and distinct words learned, overall and by class, and documents by class."""
-
-    tokens: int
-    types: int
-    class_tokens: np.ndarray
-    class_types: np.ndarray
-    class_docs: np.ndarray
-
-
-def word_scores(words: DataFrame, totals: Totals, logs: np.ndarray, model: bytes) -> DataFrame:
-    """Stored ``word, class, every, known, base, score``; logarithms to base 10."""
-    content = words.sparkSession.sparkContext.broadcast((model, logs, totals))
-    by_word = Window.partitionBy("word")  # a row for each class at most
-    counted = words.select(
-        "word", "class", "train", F.sum("train").over(by_word).alias("count"), F.sum("every").over(by_word).alias("every")
-    )
+def word_scores(words: DataFrame, totals: Totals, logs: np.ndarray, end: float, model: bytes) -> DataFrame:
+    """Stored ``word, every, known, base, score``; logarithms to base 10."""
+    content = words.sparkSession.sparkContext.broadcast((model, logs, end, totals))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs, totals = content.value
+        model, logs, end, totals = content.value
         table, byte_ids = vocabulary(model)
         logs = logs.tolist()
-        end = math.log(sum(totals.class_docs) + 0.5) - math.log(totals.tokens + 1)
         for batch in batches:
-            owner = batch.column(1).to_numpy()
-            train, count = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            below = np.array(
-                [
-                    marginal(word, table, byte_ids, logs[k]) if word != END else end
-                    for word, k in zip(batch.column(0).to_pylist(), owner, strict=True)
-                ]
-            )
-            with np.errstate(divide="ignore"):
-                if totals.tokens:
-                    below = np.logaddexp(
-                        np.log(np.maximum(count - DISCOUNT, 0) / totals.tokens),
-                        math.log(DISCOUNT * totals.types / totals.tokens) + below,
-                    )
-                size = np.maximum(totals.class_tokens[owner], 1)
-                upper = np.logaddexp(
-                    np.log(np.maximum(train - DISCOUNT, 0) / size),
-                    np.log(DISCOUNT * np.maximum(totals.class_types[owner], 1) / size) + below,
-                )
-            score = np.where(totals.class_tokens[owner] > 0, upper, below)
-            base = np.log10((count + 0.5) / (totals.tokens + 0.5 * (totals.types + 1)))
+            train = batch.column(1).to_numpy()
+            score = [marginal(word, table, byte_ids, logs) if word != END else end for word in batch.column(0).to_pylist()]
+            base = np.log10((train + 0.5) / (totals.tokens + 0.5 * (totals.types + 1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(4), pa.array(count > 0), pa.array(base), pa.array(score / math.log(10))],
-                names=["word", "class", "every", "known", "base", "score"],
+                [batch.column(0), batch.column(2), pa.array(train > 0), pa.array(base), pa.array(np.array(score) / math.log(10), pa.float64())],
+                names=["word", "every", "known", "base", "score"],
             )
 
     return stored(
-        counted.mapInArrow(scored, "word binary, class int, every long, known boolean, base double, score double"),
+        words.select("word", "train", "every").mapInArrow(scored, "word binary, every long, known boolean, base double, score double"),
         "lm-word-scores",
     )
 
@@ -463,19 +297,15 @@ def word_scores(words: DataFrame, totals: Totals, logs: np.ndarray, model: bytes
 class Head:
     """The broadcast part of the word scores, for one worker."""
 
-    def __init__(self, content: pa.Buffer, classes: int):
+    def __init__(self, content: bytes):
         table = pa.ipc.open_stream(content).read_all()
-        self.rows: dict[bytes, int] = {}
-        places = [self.rows.setdefault(word, len(self.rows)) for word in table["word"].to_pylist()]
-        self.score = np.full((classes, len(self.rows)), np.nan)
-        self.base, self.known = np.zeros(len(self.rows)), np.zeros(len(self.rows), bool)
-        self.score[table["class"].to_numpy(), places] = table["score"].to_numpy()
-        self.base[places], self.known[places] = table["base"].to_numpy(), table["known"].to_numpy()
+        self.rows = {word: place for place, word in enumerate(table["word"].to_pylist())}
+        self.score, self.base, self.known = (table[name].to_numpy() for name in ("score", "base", "known"))
 
 
 @functools.lru_cache(maxsize=1)
-def head_of(content: bytes, classes: int) -> Head:
-    return Head(content, classes)
+def head_of(content: bytes) -> Head:
+    return Head(content)
 
 
 def lattice_scores(
@@ -486,9 +316,9 @@ def lattice_scores(
     Tokens are the words with A-Z lower-cased and one end. Rows whose ``crc32(doc_id) mod
     modulus`` equals ``held_out`` teach nothing. ``n_known`` of the tokens were learned,
     ``train_tokens`` is how many there are. ``base_score`` is a unigram with half a count added to every
-    word, ``score`` the model's, both log10. Null, empty and blank texts are one token, the
-    end. Without any learned document the lattices have the vocabulary's shape
-    alone. Repeated rows count as often as they occur; empty tables give empty results.
+    word, ``score`` the logarithm to base 10 of the text's probability over all segmentations. Null, empty and
+    blank texts are one token, the end. Without any learned document all pieces are alike. Ids
+    may be of any type; repeated rows count as often as they occur; empty tables give empty results.
     """
     spark = docs.sparkSession
     with open(model_file, "rb") as file:
@@ -496,31 +326,29 @@ def lattice_scores(
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (remainder(id_col, modulus) == held_out).alias("held_out"), text_bytes(text_col).alias("bytes")
     )
-    classes = learn_classes(rows)
-    number = len(classes.share)
-    words = count_words(rows, classes)
-    totals = _totals(words, number)
-    scores = word_scores(words, totals, learn_pieces(words, model, number), model)
-    frequent = scores.groupBy("word").agg(F.first("every").alias("n")).orderBy(F.desc("n"), "word").limit(HEAD)
-    # The end of a text is always among them. At most HEAD words and their classes.
-    head = scores.join(F.broadcast(frequent.select("word")), "word", "left_semi").unionByName(scores.filter("word = X''")).toArrow()
+    words = count_words(rows)
+    totals = _totals(words)
+    scores = word_scores(words, totals, *learn_pieces(words, model, totals), model)
+    # The end of a text is always among them.
+    head = scores.orderBy(F.col("word") != F.lit(END), F.desc("every"), "word").limit(HEAD).drop("every").toArrow()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, head.schema) as writer:
         writer.write_table(head)
-    shared = spark.sparkContext.broadcast((sink.getvalue().to_pybytes(), classes, totals))
+    shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    kind = docs.schema[id_col].dataType.simpleString()
     found = stored(
         rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
             functools.partial(_document_scores, shared),
-            "row long, doc_id long, held_out boolean, class int, n_tokens long, n_known long, base_score double, "
+            f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, "
             "score double, words array<binary>, counts array<long>",
         ),
         "lm-documents",
     )
-    pairs = found.filter(F.size("words") > 0).select(
-        "row", "class", F.explode(F.arrays_zip("words", "counts")).alias("w")
-    ).select("row", "class", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    pairs = found.filter(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select(
+        "row", F.col("w.words").alias("word"), F.col("w.counts").alias("n")
+    )
     rest = (
-        pairs.join(scores.select("word", "class", "known", "base", "score"), ["word", "class"])
+        pairs.join(scores.select("word", "known", "base", "score"), "word")
         .groupBy("row")
         .agg(
             F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("more_known"),
@@ -529,7 +357,7 @@ def lattice_scores(
         )
     )
     zero = F.lit(0.0)
-    return found.drop("words", "counts", "class").join(rest, "row", "left").select(
+    return found.drop("words", "counts").join(rest, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -540,32 +368,22 @@ def lattice_scores(
     )
 
 
-def _totals(words: DataFrame, number: int) -> Totals:
+def _totals(words: DataFrame) -> Totals:
     end = F.col("word") == F.lit(END)
-    learned = F.col("train") > 0
-    rows = words.groupBy("class").agg(
-        F.sum("train").alias("tokens"), F.sum(learned.cast("long")).alias("types"), F.sum(F.when(end, F.col("train")).otherwise(0)).alias("docs")
-    ).collect()  # one for each class
-    by_class = np.zeros((3, number))
-    for row in rows:
-        by_class[:, row["class"]] = row["tokens"], row["types"], row["docs"]
-    types = words.filter(learned).select("word").distinct().count()
-    return Totals(int(by_class[0].sum()), types, by_class[0], by_class[1], by_class[2])
+    learned = (F.col("train") > 0).cast("long")
+    row = words.agg(F.sum("train"), F.sum(learned), F.sum(F.when(end, F.col("train")).otherwise(0))).first()
+    return Totals(*(value or 0 for value in row))
 
 
 def _document_scores(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    content, classes, totals = shared.value
-    head = head_of(content, len(classes.share))
-    docs = totals.class_docs
-    share = np.log10((docs + 1) / (docs.sum() + len(docs)))
-    names = ["class", "n_tokens", "n_known", "base_score", "score", "words", "counts"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    head = head_of(shared.value)
+    names = ["n_tokens", "n_known", "base_score", "score", "words", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
     for batch in batches:
         out = []
         for text in batch.column("bytes"):
             words = text.as_py().lower().split()
             counts = Counter(words)
-            k = classes.of(counts)
             counts[END] += 1
             found = [(head.rows.get(word), word, n) for word, n in counts.items()]
             rest = [(word, n) for place, word, n in found if place is None]
@@ -573,17 +391,16 @@ def _document_scores(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             times = np.array([n for place, _, n in found if place is not None], np.int64)
             out.append(
                 (
-                    k,
                     len(words) + 1,
                     int(times[head.known[places]].sum()),
                     float(times @ head.base[places]),
-                    float(share[k] + times @ head.score[k, places]),
+                    float(times @ head.score[places]),
                     [word for word, _ in rest],
                     [n for _, n in rest],
                 )
             )
         columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), *columns],
+            [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *columns],
             names=["row", "doc_id", "held_out", *names],
         )
