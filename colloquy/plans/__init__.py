@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from colloquy.plans import (  # noqa: F401
+    alignment,
     audit,
     formatting,
     governance,
