@@ -209,6 +209,11 @@ def fit_statistics(tokenized: DataFrame, spec: TokenizeSpec, split: str = "split
         F.count_if(kept).alias("rows_kept"),
         F.coalesce(F.sum(F.when(kept, F.col("is_truncated"))), F.lit(0)).alias("rows_truncated"),
     )
+    return accounted(counted, spec, split)
+
+
+def accounted(counted: DataFrame, spec: TokenizeSpec, split: str = "split") -> DataFrame:
+    """Statistics from ``rows_total, rows_kept, rows_truncated`` per split."""
     rows, truncated = F.col("rows_kept"), F.col("rows_truncated")
 
     def percent(part: Column) -> Column:

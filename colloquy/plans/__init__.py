@@ -10,6 +10,7 @@ from colloquy.plans import (  # noqa: F401
     pages,
     releases,
     rewards,
+    runs,
     sampling,
     streams,
     supervised,
