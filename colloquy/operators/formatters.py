@@ -41,6 +41,9 @@ def shared_role(role: Column) -> Column:
     return lookup(role, SHARED_ROLES, ROLE_DEFAULT)
 
 
+# The instructions and answer sentences in the prompts below are given texts.
+
+
 def multiple_choice_prompt(question: Column, choice_labels: Column, choice_texts: Column) -> Column:
     n = F.least(F.size(choice_labels), F.size(choice_texts))
     pairs = F.slice(
