@@ -15,6 +15,7 @@ from colloquy.plans.registry import plan, table
 from colloquy.plans.supervised import OVERHEAD, TOKEN_BUDGET
 from colloquy.session import scratch_dir
 from colloquy.sources import manifest as mf
+from colloquy.sources import releases_format
 from colloquy.sources.records import lineage_record
 from colloquy.sources.release import split_row_counts, write_release
 
@@ -88,6 +89,66 @@ def capped_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release.rows.groupBy("split").agg(F.count("*").alias("rows"))
 
 
+ORDERED_SQL = (
+    EXAMPLES_SQL
+    + """, placed AS (SELECT conv_id || '-' || turn AS example_id, split, md5(text) AS target,
+  row_number() OVER (PARTITION BY split ORDER BY conv_id, turn) - 1 AS ordinal FROM rows)
+SELECT example_id, split, target, ordinal FROM placed"""
+)
+#: The columns a scan reads, and the place of a row in its split.
+SCANNED = "example_id string, target_text string, split string, ordinal long"
+
+
+def write_ordered(spark: SparkSession, sf_dir: str) -> str:
+    """A release whose rows lie in the order of conversations and turns."""
+    rows = supervised_rows(spark, sf_dir)
+    ordered = rows.withColumn("_c", F.col("session_id").cast("bigint")).orderBy("_c", "target_turn_index").drop("_c")
+    return write_release(ordered, scratch_dir(spark, "release"), "chat", "v1", construction=CONSTRUCTION)
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    return rows.select("example_id", "split", F.md5("target_text").alias("target"), "ordinal")
+
+
+@plan(ORDERED_SQL)
+def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of a release with its number in manifest and file order."""
+    return _ordered(releases_format.scan(spark, write_ordered(spark, sf_dir), SCANNED, slices="3"))
+
+
+@plan(ORDERED_SQL + f" WHERE ordinal < {CAP['train']}")
+def manifest_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of each split of a release, which rows they are and in which order."""
+    uri = write_ordered(spark, sf_dir)
+    return _ordered(releases_format.scan(spark, uri, SCANNED, limit=str(CAP["train"])))
+
+
+@plan(
+    PAIRS_SQL
+    + f""", rows AS (SELECT {split_sql("conv_id")} AS split, 'P' || conv_id % 4 AS class FROM pairs)
+SELECT 'listed' AS kind, split AS key, count(*) AS rows FROM rows GROUP BY split
+UNION ALL SELECT 'stats', split || '_rows', count(*) FROM rows GROUP BY split
+UNION ALL SELECT 'stats', 'total_rows', count(*) FROM rows
+UNION ALL SELECT 'class', class, count(*) FROM rows GROUP BY class
+UNION ALL SELECT 'stored', split, count(*) FROM rows GROUP BY split"""
+)
+def release_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a manifest says its tasks wrote, next to the rows that a scan of it finds."""
+    uri = write_preferences(spark, sf_dir)
+    manifest = mf.read_manifest(spark, uri).select("manifest")
+
+    def counts(kind: str, path: str) -> DataFrame:
+        entries = F.try_variant_get("manifest", path, "map<string,bigint>")
+        return manifest.select(F.lit(kind).alias("kind"), F.explode(entries).alias("key", "rows"))
+
+    files = F.try_variant_get("manifest", "$.splits", "array<struct<split:string,rows:bigint>>")
+    listed = manifest.select(F.inline(files)).groupBy(F.lit("listed").alias("kind"), F.col("split").alias("key")).agg(F.sum("rows").alias("rows"))
+    scanned = releases_format.scan(spark, uri, "split string", kind="dpo")
+    stored = scanned.groupBy(F.lit("stored").alias("kind"), F.col("split").alias("key")).agg(F.count("*").alias("rows"))
+    said = counts("stats", "$.stats").unionByName(counts("class", "$.governance.policy_class_counts"))
+    return said.unionByName(listed).unionByName(stored)
+
+
 @plan(
     EXAMPLES_SQL
     + """ SELECT 'param' AS kind, k AS key, v AS value FROM (VALUES ('dataset_id', 'chat'),

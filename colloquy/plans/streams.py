@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.operators import examples
+from colloquy.operators import examples, splits
 from colloquy.plans.inputs import (
+    EVAL_PERCENT,
     IRREGULAR_TURNS_SQL,
     has_long,
     MAX_SEQ_LEN,
+    SEED,
     id_sum,
     irregular_turns,
     masked_sql,
@@ -18,6 +20,7 @@ from colloquy.plans.registry import plan, table
 from colloquy.plans.rewards import AUDITED_SQL, outputs
 from colloquy.plans.supervised import SPEC
 from colloquy.session import scratch_dir
+from colloquy.sources.release import write_release
 from colloquy.streaming import jobs
 
 WINDOW, DELAY = "1 hour", "10 minutes"
@@ -71,6 +74,31 @@ def stream_tokenized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan(
+    masked_sql(IRREGULAR_TURNS_SQL, MAX_SEQ_LEN)
+    + """ SELECT example_id, drop_reason, is_truncated,
+  CASE WHEN drop_reason IS NULL THEN len(ids) ELSE 0 END::INTEGER AS n_tokens,
+  CASE WHEN drop_reason IS NULL THEN list_sum(ids) ELSE 0 END::BIGINT AS id_sum FROM masked"""
+)
+def stream_release_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of a release, the second one seen after a restart, each tokenized once."""
+    root = scratch_dir(spark, "stream-releases")
+    rows = examples.single_turn(irregular_turns(spark, sf_dir))
+    labelled = splits.percent_split(rows, "session_id", EVAL_PERCENT, SEED)
+    second = F.pmod(F.xxhash64("session_id"), F.lit(3)) == 0
+    for version, part in (("v1", labelled.where(~second)), ("v2", labelled.where(second))):
+        write_release(part, f"{root}/releases", "chat", version)
+        arrivals = jobs.read_releases(spark, f"{root}/releases")
+        query = jobs.stream_tokenize(
+            arrivals, SPEC, f"{root}/kept", f"{root}/dropped", f"{root}/checkpoint", available_now=True
+        )
+        query.awaitTermination()
+    parts = [spark.read.parquet(f"{root}/{name}") for name in ("kept", "dropped")]
+    return parts[0].unionByName(parts[1]).select(
+        "example_id", "drop_reason", "is_truncated", "n_tokens", id_sum("input_ids").alias("id_sum")
+    )
+
+
 @plan(
     AUDITED_SQL
     + """ SELECT doc_id, loop_pattern, stopped_at_eos, detected_loop,

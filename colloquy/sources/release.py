@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import json
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.operators.governance import governance_from_rows
-from colloquy.sources.storage import hadoop_uri, write_text
+from colloquy.sources.releases_format import MANIFEST, register
 
 
 def split_row_counts(df: DataFrame, split: str = "split") -> DataFrame:
@@ -31,55 +29,24 @@ def write_release(
     policy_class: str | None = None,
     split: str = "split",
 ) -> str:
-    """Write the rows by split and a manifest next to them; return the manifest URI.
+    """Write the rows by split and, once all tasks have finished, the manifest; return its URI.
 
-    A version is written once: an existing folder is an error. The manifest comes
-    last and counts what was written, so a release without one is incomplete. Only
-    file names and aggregated counts reach the driver.
+    A version is written once: an existing manifest is an error. The manifest is made of what the
+    tasks say they wrote, so nothing is read back, and a folder without one is no release.
     """
     spark: SparkSession = df.sparkSession
+    register(spark)
     folder = release_folder(root, dataset_id, dataset_version)
-    df.write.partitionBy(split).mode("errorifexists").parquet(hadoop_uri(folder))
-
-    written = spark.read.parquet(hadoop_uri(folder))
-    per_file = (
-        written.groupBy(
-            F.col(split).cast("string").alias("split"), F.col("_metadata.file_path").alias("path")
-        )
-        .agg(F.count("*").alias("rows"))
-        .orderBy("split", "path")
-        .collect()
-    )
-    key_root = folder if "://" not in root else folder.split("://", 1)[1].split("/", 1)[1]
-    keys = []
-    for row in per_file:
-        path = unquote(row["path"])  # scan metadata gives file paths as URIs
-        inside = path.split(f"dataset_version={dataset_version}/", 1)[1]
-        key = f"{key_root}/{inside}" if root.startswith(("s3://", "s3a://")) else inside
-        keys.append({"split": row["split"], "key": key})
-    totals: dict[str, int] = {}
-    for row in per_file:
-        totals[row["split"]] = totals.get(row["split"], 0) + row["rows"]
-    manifest = {
+    # Keys of object stores are bucket keys; elsewhere they are relative to the manifest.
+    stored = root.startswith(("s3://", "s3a://"))
+    options = {
         "dataset_id": dataset_id,
         "dataset_version": dataset_version,
-        "splits": keys,
-        "construction": construction or {},
-        "stats": {
-            **{f"{name}_rows": n for name, n in sorted(totals.items())},
-            "total_rows": sum(totals.values()),
-        },
+        "construction": json.dumps(construction or {}),
+        "split_column": split,
+        "key_root": folder.split("://", 1)[1].split("/", 1)[1] + "/" if stored else "",
     }
     if policy_class:
-        block = governance_from_rows(
-            written.withColumn("_release", F.lit(dataset_id)), ["_release"], policy_class
-        ).first()
-        if block is not None:
-            manifest["governance"] = {
-                "policy_classes_present": list(block["policy_classes_present"]),
-                "policy_class_counts": dict(block["policy_class_counts"]),
-                "max_policy_class": block["max_policy_class"],
-            }
-    uri = f"{folder}/manifest.json"
-    write_text(spark, uri, json.dumps(manifest, indent=2))
-    return uri
+        options["policy_class"] = policy_class
+    df.write.format("release").mode("append").options(**options).save(folder)
+    return f"{folder}/{MANIFEST}"

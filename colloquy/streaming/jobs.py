@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from colloquy.operators.audits import audit_by_reason
 from colloquy.operators.telemetry import windowed_rollup
 from colloquy.operators.tokenization import TokenizeSpec, tokenize, valid_and_dropped
+from colloquy.sources.releases_format import register
 from colloquy.sources.storage import hadoop_uri
 
 
@@ -27,6 +28,15 @@ def read_arrivals(
     return reader.parquet(hadoop_uri(folder))
 
 
+def read_releases(
+    spark: SparkSession, root: str, schema: T.StructType | None = None, **options: str
+) -> DataFrame:
+    """Rows of every release version below a root, as their manifests appear."""
+    register(spark)
+    reader = spark.readStream.format("manifest").options(**options)
+    return (reader.schema(schema) if schema is not None else reader).load(root)
+
+
 def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
