@@ -149,63 +149,67 @@ def inference_summary(
     return counts.withColumns({"verdict": verdict, "recommendation": advice})
 
 
-def _texts(*rules: tuple[Column, Column]) -> Column:
-    return F.array_compact(F.array(*[F.when(test, text) for test, text in rules]))
+#: What an issue code of a tokenizer or artifact says, and what to do about it (if anything).
+ISSUES = {
+    "pad_overwritten": ("training replaces a pad token of its own by the end token", None),
+    "pad_in_loss": (
+        "the pad token is the end token while the loss covers whole conversations",
+        "keep the tokenizer's own pad token; fall back to the end token only without one",
+    ),
+    "no_chat_template": ("the tokenizer brings no chat template", "choose a model that has one, or supply it"),
+    "no_packed_template": ("the artifact holds no chat template", "state the template where the artifact is served"),
+    "no_packed_end": ("the artifact holds no end token", None),
+    "packed_pad_is_end": ("pad and end token of the artifact are the same", None),
+}
+
+
+def _codes(**found: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in found.items()]))
+
+
+def _looked_up(issues: Column, place: int) -> Column:
+    texts = F.create_map(*[F.lit(part) for code, row in ISSUES.items() if row[place] for part in (code, row[place])])
+    return F.array_compact(F.transform(issues, lambda code: F.try_element_at(texts, code)))
+
+
+def issue_texts(issues: Column) -> Column:
+    return _looked_up(issues, 0)
+
+
+def issue_advice(issues: Column) -> Column:
+    return _looked_up(issues, 1)
+
+
+def _with_issues(df: DataFrame, **found: Column) -> DataFrame:
+    coded = df.withColumn("issues", _codes(**found))
+    return coded.withColumn("recommendations", issue_advice(F.col("issues")))
 
 
 def audit_tokenizers(df: DataFrame) -> DataFrame:
-    """Issues and recommendations per tokenizer configuration.
+    """Issue codes and recommendations per tokenizer configuration.
 
-    Input: ``loss_mode, eos_token, eos_id, pad_token, pad_id`` (as loaded),
-    ``pad_id_after`` (as trained) and ``chat_template``.
+    Input: ``loss_mode, eos_id, pad_id`` (as loaded), ``pad_id_after`` (as trained)
+    and ``chat_template``.
     """
     same_before = F.coalesce(F.col("pad_id") == F.col("eos_id"), F.lit(False))
     same_after = F.coalesce(F.col("pad_id_after") == F.col("eos_id"), F.lit(False))
-    overwritten = ~same_before & same_after
-    leaking = same_after & F.coalesce(F.col("loss_mode") == "full_conversation", F.lit(False))
-    untemplated = F.coalesce(F.col("chat_template"), F.lit("")) == ""
-    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
-    overwrite_text = F.concat(
-        F.lit("distinct pad token "), shown("pad_token"), F.lit(" (id "), shown("pad_id"),
-        F.lit(") is overwritten with the end token "), shown("eos_token"),
-        F.lit(" (id "), shown("eos_id"), F.lit(")"),
-    )
-    return df.withColumns(
-        {
-            "pad_equals_eos": same_after,
-            "issues": _texts(
-                (overwritten, overwrite_text),
-                (leaking, F.lit("pad token equals end token with full_conversation loss")),
-                (untemplated, F.lit("Tokenizer has no chat_template defined")),
-            ),
-            "recommendations": _texts(
-                (leaking, F.lit("set the pad token only if the tokenizer has none")),
-                (untemplated, F.lit("use a model with a chat template or supply one")),
-            ),
-        }
+    whole = F.coalesce(F.col("loss_mode") == "full_conversation", F.lit(False))
+    return _with_issues(
+        df.withColumn("pad_equals_eos", same_after),
+        pad_overwritten=~same_before & same_after,
+        pad_in_loss=same_after & whole,
+        no_chat_template=F.coalesce(F.col("chat_template"), F.lit("")) == "",
     )
 
 
 def audit_artifacts(df: DataFrame) -> DataFrame:
-    """Issues and recommendations per packaged artifact: ``eos_id, pad_id, chat_template``."""
-    untemplated = ~F.coalesce(F.trim(F.col("chat_template")) != "", F.lit(False))
-    same = F.coalesce(F.col("pad_id") == F.col("eos_id"), F.lit(False))
-    same_text = F.concat(
-        F.lit("PAD token ID ("), F.col("pad_id"), F.lit(") equals EOS token ID ("),
-        F.col("eos_id"), F.lit(")"),
-    )
-    return df.withColumns(
-        {
-            "has_chat_template": ~untemplated,
-            "issues": _texts(
-                (untemplated, F.lit("No chat template embedded in GGUF")),
-                (F.col("eos_id").isNull(), F.lit("No EOS token ID found in GGUF metadata")),
-                (same, same_text),
-            ),
-            "recommendations": _texts(
-                (untemplated, F.lit("add an explicit template to the model file")),
-            ),
-        }
+    """Issue codes and recommendations per packaged artifact: ``eos_id, pad_id, chat_template``."""
+    templated = F.coalesce(F.trim(F.col("chat_template")) != "", F.lit(False))
+    return _with_issues(
+        df.withColumn("has_chat_template", templated),
+        no_packed_template=~templated,
+        no_packed_end=F.col("eos_id").isNull(),
+        packed_pad_is_end=F.coalesce(F.col("pad_id") == F.col("eos_id"), F.lit(False)),
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BUCKETS = 1 << 16
+PAGE_EVAL_ROWS = 100
 _HASH_DIGITS = 4  # 16 ** 4 == MAX_BUCKETS
 
 
@@ -42,14 +43,15 @@ def _offsets(df: DataFrame, bucket: str) -> DataFrame:
     )
 
 
-def _ranked(df: DataFrame, order: list[str], ordinal: str, total: str) -> DataFrame:
+def _ranked(df: DataFrame, order: list[str], ordinal: str, total: str, bucket: str | None = None) -> DataFrame:
     offsets = F.broadcast(_offsets(df.select("_bucket"), "_bucket"))
     inside = Window.partitionBy("_bucket").orderBy(*order)
     return (
         df.join(offsets, "_bucket")
         .withColumn(ordinal, F.col("_rows_before") + F.row_number().over(inside) - 1)
         .withColumnRenamed("_rows_total", total)
-        .drop("_bucket", "_rows_before")
+        .withColumnRenamed("_bucket", bucket or "_bucket")
+        .drop("_rows_before", *([] if bucket else ["_bucket"]))
     )
 
 
@@ -60,15 +62,18 @@ def with_shuffled_ordinal(
     *,
     ordinal: str = "ordinal",
     total: str = "n_rows",
+    bucket: str | None = None,
+    ties: list[str] | None = None,
 ) -> DataFrame:
     """Zero-based position in the seeded order of the unique key, and the row count.
 
-    Buckets are digest prefixes: uniform whatever the key distribution is.
+    Buckets are digest prefixes: uniform whatever the key distribution is. With a name in
+    ``bucket`` their numbers stay as a column, by which the rows are partitioned. ``ties`` order rows of the same key.
     """
     hashed = df.withColumn("_digest", seeded_key(seed, *keys)).withColumn(
         "_bucket", F.conv(F.substring("_digest", 1, _HASH_DIGITS), 16, 10).cast("int")
     )
-    return _ranked(hashed, ["_digest", *keys], ordinal, total).drop("_digest")
+    return _ranked(hashed, ["_digest", *keys, *(ties or [])], ordinal, total, bucket).drop("_digest")
 
 
 def before(df: DataFrame, position: int, order: Column, coarse: Column | None = None) -> Column:
@@ -145,6 +150,12 @@ def eval_sample_size(max_rows: int) -> int:
     return max(500, int(0.2 * max_rows))
 
 
+def page_eval(df: DataFrame, keys: list[str], max_rows: int, seed: int = 42) -> DataFrame:
+    """Evaluation rows that go with a page: all of a small table, else a fixed number in seeded order."""
+    small = df.limit(eval_sample_size(max_rows)).count() < eval_sample_size(max_rows)
+    return df if small else sample_train(df, keys, PAGE_EVAL_ROWS, seed)
+
+
 def sample_train(df: DataFrame, keys: list[str], max_rows: int, seed: int = 42) -> DataFrame:
     """All rows if there are fewer than ``max_rows``, else that many in seeded order."""
     return df.where(before_in_seeded_order(df, max_rows, keys, seed))

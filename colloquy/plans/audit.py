@@ -182,12 +182,9 @@ def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
     coalesce(pad_id = eos_id, false) AS same_before, coalesce(chat_template, '') = '' AS bare FROM after)
 SELECT model, same_after AS pad_equals_eos,
   array_to_string(list_filter([
-    CASE WHEN NOT same_before AND same_after THEN 'distinct pad token <pad> (id ' ||
-      coalesce(pad_id::VARCHAR, 'None') || ') is overwritten with the end token </s> (id ' ||
-      eos_id || ')' END,
-    CASE WHEN same_after AND loss_mode = 'full_conversation'
-      THEN 'pad token equals end token with full_conversation loss' END,
-    CASE WHEN bare THEN 'Tokenizer has no chat_template defined' END], lambda x: x IS NOT NULL), ' | ')
+    CASE WHEN NOT same_before AND same_after THEN 'pad_overwritten' END,
+    CASE WHEN same_after AND loss_mode = 'full_conversation' THEN 'pad_in_loss' END,
+    CASE WHEN bare THEN 'no_chat_template' END], lambda x: x IS NOT NULL), ' | ')
     AS issues,
   (same_after AND loss_mode = 'full_conversation')::INTEGER + bare::INTEGER AS n_recommendations
 FROM flagged"""
@@ -205,10 +202,9 @@ def tokenizer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     MODELS_SQL
     + """ SELECT model, coalesce(trim(chat_template) <> '', false) AS has_chat_template,
   array_to_string(list_filter([
-    CASE WHEN coalesce(trim(chat_template), '') = '' THEN 'No chat template embedded in GGUF' END,
-    CASE WHEN eos_id IS NULL THEN 'No EOS token ID found in GGUF metadata' END,
-    CASE WHEN pad_id = eos_id THEN 'PAD token ID (' || pad_id || ') equals EOS token ID (' ||
-      eos_id || ')' END], lambda x: x IS NOT NULL), ' | ') AS issues
+    CASE WHEN coalesce(trim(chat_template), '') = '' THEN 'no_packed_template' END,
+    CASE WHEN eos_id IS NULL THEN 'no_packed_end' END,
+    CASE WHEN pad_id = eos_id THEN 'packed_pad_is_end' END], lambda x: x IS NOT NULL), ' | ') AS issues
 FROM models"""
 )
 def artifact_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,16 @@ def partition_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.page(rows, "doc_id", PAGE, PAGE_SIZE)
 
 
+@plan(
+    f"""SELECT doc_id FROM documents QUALIFY count(*) OVER () < greatest(500, {PAGE_SIZE} // 5)
+  OR row_number() OVER (ORDER BY md5(doc_id || '|{SEED}'), doc_id) <= 100"""
+)
+def partition_page_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation rows that go with a page of a table."""
+    rows = table(spark, sf_dir, "documents").select("doc_id")
+    return ordering.page_eval(rows, ["doc_id"], PAGE_SIZE, SEED)
+
+
 @plan(
     """SELECT doc_id, quality FROM labels
 QUALIFY row_number() OVER (ORDER BY doc_id) <= count(*) OVER () // 4 * 4"""

@@ -499,7 +499,8 @@ FROM lens"""
 )
 def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded batches, each padded to its longest row."""
-    padded = batching.pad_batches(_batches(spark, sf_dir, SPEC))
+    kept, _ = tz.valid_and_dropped(tz.tokenize(irregular(spark, sf_dir), SPEC))
+    padded = batching.padded_batches(kept, ["example_id"], BATCH_SIZE, SEED)
     return padded.select(
         "batch_id",
         "example_id",

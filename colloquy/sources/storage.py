@@ -41,19 +41,20 @@ def hadoop_uri(uri: str) -> str:
 
 def write_text(spark: SparkSession, uri: str, text: str) -> None:
     """Write one small file with a given name through the Hadoop file system."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(hadoop_uri(uri))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    # No checksum file, so that other programs may edit the file later.
-    fs.setWriteChecksum(False)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(hadoop_uri(uri))
+    # A file system object of its own: without a checksum file, so that other programs may edit
+    # the file later, and without a change to what other writers use.
+    fs = hadoop.FileSystem.newInstance(path.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     try:
+        fs.setWriteChecksum(False)
         stream = fs.create(path, True)
         try:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
             stream.close()
     finally:
-        fs.setWriteChecksum(True)
+        fs.close()
 
 
 def exists(spark: SparkSession, uri: str) -> bool:

@@ -223,6 +223,30 @@ def test_pad_batches(spark):
         batching.assign_batches(rows, ["batch_id"], 0)
 
 
+@pytest.mark.parametrize("batch_size", [1, 3, 7, 1000])
+def test_padded_batches_equal_the_two_steps(spark, batch_size):
+    n = F.pmod(F.xxhash64("id"), F.lit(9)).cast("int")
+    # Every fifth row repeats the key of the one before it, with a length of its own.
+    key = F.when(F.col("id") % 5 == 4, F.col("id") - 1).otherwise(F.col("id"))
+    rows = spark.range(200).select(
+        key.alias("key"), F.array_repeat(F.lit(1), n).alias("input_ids"),
+        F.array_repeat(F.lit(1), n).alias("attention_mask"), F.array_repeat(F.lit(2), n).alias("labels"),
+    )
+    got = batching.padded_batches(rows, ["key"], batch_size, 5, pad_id=9)
+    assert set(got.columns) == {*rows.columns, "ordinal", "batch_id", "batch_len"}
+    found = got.collect()
+    sizes = {}
+    for row in found:
+        sizes[row.batch_id] = max(sizes.get(row.batch_id, 0), sum(row.attention_mask))
+    assert sorted(r.ordinal for r in found) == list(range(200))
+    assert all(r.batch_id == r.ordinal // batch_size for r in found)
+    assert all(len(r.input_ids) == len(r.labels) == r.batch_len == sizes[r.batch_id] for r in found)
+    two = batching.assign_batches(rows, ["key"], batch_size, 5)
+    assert sorted((r.ordinal, r.key) for r in two.collect()) == sorted((r.ordinal, r.key) for r in found)
+    with pytest.raises(ValueError):
+        batching.padded_batches(rows, ["key"], 0)
+
+
 def test_batch_loss_reduction(spark):
     rows = spark.createDataFrame(
         [(0, [5, -100, 6, 7], [0.5, 0.5, 0.25, 1.0], [2.0, 3.0, 4.0, 9.0]),
