@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import examples, splits
 from colloquy.plans.formatting import PAIRS_SQL
-from colloquy.plans.inputs import EVAL_PERCENT, IRREGULAR_TURNS_SQL, MAX_SEQ_LEN, SEED, irregular_turns, masked_sql, split_sql
+from colloquy.plans.inputs import EVAL_PERCENT, IRREGULAR_TURNS_SQL, MAX_SEQ_LEN, SEED, has_long, irregular_turns, masked_sql, split_sql
 from colloquy.plans.registry import plan
 from colloquy.plans.releases import write_preferences
 from colloquy.plans.supervised import SPEC
@@ -57,7 +57,7 @@ UNION ALL SELECT 'quarantine', split || '/' || drop_reason, count(*)::VARCHAR FR
 )
 def sft_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supervised run over conversations with dropped rows: records, kept and dropped rows."""
-    rows = examples.single_turn(irregular_turns(spark, sf_dir))
+    rows = examples.single_turn(irregular_turns(spark, sf_dir), MAX_SEQ_LEN, long=has_long(spark, sf_dir, MAX_SEQ_LEN))
     labelled = splits.percent_split(rows, "session_id", EVAL_PERCENT, SEED).withColumn("policy_class", F.lit("P1"))
     uri = write_release(labelled, scratch_dir(spark, "run-release"), "chat", "v1", policy_class="policy_class")
     return _shown(runs.sft_run(spark, uri, SPEC, scratch_dir(spark, "run")))

@@ -83,12 +83,15 @@ def stream_tokenized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_release_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of a release, the second one seen after a restart, each tokenized once."""
     root = scratch_dir(spark, "stream-releases")
-    rows = examples.single_turn(irregular_turns(spark, sf_dir))
+    long = has_long(spark, sf_dir, MAX_SEQ_LEN)
+    rows = examples.single_turn(irregular_turns(spark, sf_dir), MAX_SEQ_LEN, long=long)
     labelled = splits.percent_split(rows, "session_id", EVAL_PERCENT, SEED)
+    labelled.write.parquet(f"{root}/in")
+    labelled = spark.read.parquet(f"{root}/in")
     second = F.pmod(F.xxhash64("session_id"), F.lit(3)) == 0
     for version, part in (("v1", labelled.where(~second)), ("v2", labelled.where(second))):
         write_release(part, f"{root}/releases", "chat", version)
-        arrivals = jobs.read_releases(spark, f"{root}/releases")
+        arrivals = jobs.read_releases(spark, f"{root}/releases", labelled.schema)
         query = jobs.stream_tokenize(
             arrivals, SPEC, f"{root}/kept", f"{root}/dropped", f"{root}/checkpoint", available_now=True
         )
