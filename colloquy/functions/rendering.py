@@ -21,22 +21,20 @@ class PlainTemplate:
 
     rejects_system: bool = False
     name: str = "plain"
-
-    @property
-    def renders_tails(self) -> bool:
-        """Whether the text of the last messages is the end of the whole text."""
-        return not self.rejects_system
+    renders_tails = True  # the text of the last messages is the end of the whole text
 
     @staticmethod
     def line(role: Column, content: Column) -> Column:
         return F.concat(role, F.lit(":"), F.coalesce(content, F.lit("None")))
 
-    def error(self, items: Column) -> Column:
+    def error(self, items: Column, omitted_system: Column | None = None) -> Column:
+        """Why the list is refused, if it is; ``omitted_system``: a left-out message is the system's."""
         if not self.rejects_system:
             return F.lit(None).cast("string")
-        return F.when(
-            F.exists(items, lambda m: m["role"] == "system"), F.lit("System role not supported")
-        )
+        held = F.exists(items, lambda m: m["role"] == "system")
+        if omitted_system is not None:
+            held = held | omitted_system
+        return F.when(held, F.lit("System role not supported"))
 
     def render(
         self, items: Column, *, generation_prompt: bool = False, enable_thinking: bool = True
@@ -76,7 +74,7 @@ class ChatMLTemplate:
     name: str = "chatml"
     renders_tails = False  # system messages move to the head
 
-    def error(self, items: Column) -> Column:
+    def error(self, items: Column, omitted_system: Column | None = None) -> Column:
         return F.lit(None).cast("string")
 
     def _head(self, items: Column) -> Column:

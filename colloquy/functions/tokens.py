@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 IGNORED_LABEL = -100
+NEXT_LINE = "a"  # stands for any next line where one is counted alone
 LOSS_MODES = ("assistant_only", "full_conversation", "weighted")
 
 
@@ -29,10 +30,14 @@ class CharTokenizer:
     """
 
     splits_by_character = True
+    splits_at_lines = True
 
     def count(self, text: Column) -> Column:
         return F.length(text)
 
+    def count_line(self, line: Column) -> Column:
+        return F.length(line) + 1
+
     def encode(self, text: Column) -> Column:
         ids = F.transform(F.split(text, ""), lambda char: F.ascii(char) % 97 + 1)
         return F.when(F.length(text) > 0, ids).when(
@@ -44,12 +49,18 @@ class ArrowTokenizer:
     """A real tokenizer behind an Arrow function.
 
     ``load`` runs once per Python worker and returns a function from a list of texts
-    to a list of id lists. Texts and ids travel as Arrow batches.
+    to a list of id lists. Texts and ids travel as Arrow batches. ``splits_at_lines``
+    promises that no token spans a line break and a character after it that is no
+    white space, whatever lies around them: then the ids of a text are those of its
+    parts cut there, in order, and lines can be counted one by one.
     """
 
     splits_by_character = False
 
-    def __init__(self, load: Callable[[], Callable[[list[str]], list[list[int]]]]):
+    def __init__(
+        self, load: Callable[[], Callable[[list[str]], list[list[int]]]], *, splits_at_lines: bool = False
+    ):
+        self.splits_at_lines = splits_at_lines
         loaded: list[Callable] = []
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -62,7 +73,18 @@ class ArrowTokenizer:
             rows = [None if text is None else next(ids) for text in values]
             return pa.array(rows, type=pa.list_(pa.int32()))
 
-        self._encode = encode
+        @F.arrow_udf(T.IntegerType())
+        def count_lines(lines: pa.Array) -> pa.Array:
+            if not loaded:
+                loaded.append(load())
+            values = lines.to_pylist()
+            # How white space at the end of a line is cut depends on there being a next line.
+            shown = [NEXT_LINE] + [f"{line}\n{NEXT_LINE}" for line in values if line is not None]
+            extra, *sizes = map(len, loaded[0](shown))
+            left = iter(sizes)
+            return pa.array([None if line is None else next(left) - extra for line in values], type=pa.int32())
+
+        self._encode, self._count_lines = encode, count_lines
 
     def encode(self, text: Column) -> Column:
         return self._encode(text)
@@ -70,9 +92,18 @@ class ArrowTokenizer:
     def count(self, text: Column) -> Column:
         return F.size(self._encode(text))
 
+    def count_line(self, line: Column) -> Column:
+        """Tokens of a line and its break in a text that goes on with another line."""
+        if not self.splits_at_lines:
+            raise ValueError("counts of lines add up only for a tokenizer that splits at lines")
+        return self._count_lines(line)
+
 
-def tokenizer_file(path: str) -> ArrowTokenizer:
-    """A ``tokenizers`` JSON file that every worker can read; no special tokens added."""
+def tokenizer_file(path: str, *, splits_at_lines: bool = False) -> ArrowTokenizer:
+    """A ``tokenizers`` JSON file that every worker can read; no special tokens added.
+
+    Byte-level vocabularies that cut a text into words first split at lines.
+    """
 
     def load():
         from tokenizers import Tokenizer
@@ -82,7 +113,7 @@ def tokenizer_file(path: str) -> ArrowTokenizer:
             e.ids for e in model.encode_batch(texts, add_special_tokens=False)
         ]
 
-    return ArrowTokenizer(load)
+    return ArrowTokenizer(load, splits_at_lines=splits_at_lines)
 
 
 def tokenizer_file_decoder(path: str) -> Callable[[Column], Column]:
@@ -129,12 +160,16 @@ class Truncated:
     is_truncated: Column
 
 
-def truncate_left(ids: Column, prompt_len: Column, max_len: int) -> Truncated:
-    """Keep the last ``max_len`` ids; the prompt loses what was cut."""
-    overflow = F.greatest(F.size(ids) - max_len, F.lit(0))
+def truncate_left(ids: Column, prompt_len: Column, max_len: int, omitted: Column | None = None) -> Truncated:
+    """Keep the last ``max_len`` ids; the prompt loses what was cut.
+
+    ``omitted`` ids before the given ones count as cut; they must be such as truncation would cut.
+    """
+    before = F.lit(0) if omitted is None else omitted
+    overflow = F.greatest(before + F.size(ids) - max_len, F.lit(0))
     return Truncated(
-        ids=F.slice(ids, overflow + 1, F.lit(max_len)),
-        prompt_len=F.greatest(prompt_len - overflow, F.lit(0)),
+        ids=F.slice(ids, F.greatest(F.size(ids) - max_len, F.lit(0)) + 1, F.lit(max_len)),
+        prompt_len=F.greatest(before + prompt_len - overflow, F.lit(0)).cast("int"),
         is_truncated=(overflow > 0).cast("int"),
     )
 

@@ -35,13 +35,17 @@ from colloquy.functions.text import has_text
 BLOCK_REACHES = 4
 
 
-def line_tokens(role: Column, content: Column) -> Column:
-    """Tokens of one message as a ``role:content`` line with its line break.
+def line_tokens(role: Column, content: Column, tokenizer=None) -> Column:
+    """Tokens of one message as a ``role:content`` line with its line break (default: characters).
 
-    Content that embeds tool calls is rendered as a missing one.
+    Content that embeds tool calls is rendered as a missing one. With a tokenizer that splits
+    at lines, counts add up as long as no role begins with white space.
     """
-    shown = F.when(msg.embeds_calls(role, content), F.lit(len("None"))).otherwise(F.length(content))
-    return F.length(role) + shown + 2
+    calls = msg.embeds_calls(role, content)
+    if tokenizer is None:
+        return F.length(role) + F.when(calls, F.lit(len("None"))).otherwise(F.length(content)) + 2
+    shown = F.when(calls, F.lit("None")).otherwise(content)
+    return tokenizer.count_line(F.concat(role, F.lit(":"), shown))
 
 
 def block_turns(reach: int) -> int:
@@ -61,8 +65,12 @@ def _measured(turns: DataFrame, tokens: Column | None) -> DataFrame:
     """Usable turns with their token count; a message counts at least one token."""
     usable = turns.where(F.col("role").isNotNull() & F.col("text").isNotNull())
     counted = line_tokens(F.col("role"), F.col("text")) if tokens is None else tokens
-    return usable.withColumn("_tokens", F.greatest(counted, F.lit(1)).cast("bigint")).withColumn(
-        "_asks", (F.col("role") == "user") & has_text(F.col("text"))
+    return usable.withColumns(
+        {
+            "_tokens": F.greatest(counted, F.lit(1)).cast("bigint"),
+            "_asks": (F.col("role") == "user") & has_text(F.col("text")),
+            "_instructs": F.col("role") == "system",
+        }
     )
 
 
@@ -88,7 +96,7 @@ def _numbered(turns: DataFrame, size: int) -> DataFrame:
 
 
 def _with_prefix(turns: DataFrame, reach: int, long: bool) -> DataFrame:
-    """Add running totals before each turn: ``_start`` tokens, ``_turns``, ``_asked``.
+    """Add running totals before each turn: ``_start`` tokens, ``_turns``, ``_asked``, ``_instructed``.
 
     ``_halo`` marks copies that serve as context only.
     """
@@ -102,6 +110,7 @@ def _with_prefix(turns: DataFrame, reach: int, long: bool) -> DataFrame:
             .withColumn("_start", F.coalesce(F.sum("_tokens").over(before), F.lit(0)))
             .withColumn("_turns", F.count("_tokens").over(before))
             .withColumn("_asked", F.coalesce(F.max("_asks").over(before), F.lit(False)))
+            .withColumn("_instructed", F.coalesce(F.max("_instructs").over(before), F.lit(False)))
         )
 
     size, halo = block_turns(reach), reach + 2
@@ -112,6 +121,7 @@ def _with_prefix(turns: DataFrame, reach: int, long: bool) -> DataFrame:
         F.sum("_tokens").alias("_tokens"),
         F.count("*").alias("_turns"),
         F.max("_asks").alias("_asks"),
+        F.max("_instructs").alias("_instructs"),
     )
     earlier = _earlier_blocks()
     bases = totals.select(
@@ -120,6 +130,7 @@ def _with_prefix(turns: DataFrame, reach: int, long: bool) -> DataFrame:
         F.sum("_tokens").over(earlier).alias("_base_tokens"),
         F.sum("_turns").over(earlier).alias("_base_turns"),
         F.max("_asks").over(earlier).alias("_base_asked"),
+        F.max("_instructs").over(earlier).alias("_base_instructed"),
     ).where(F.col("_block") > 0)
 
     ends_block = F.col("_position") % size >= size - halo
@@ -145,7 +156,12 @@ def _with_prefix(turns: DataFrame, reach: int, long: bool) -> DataFrame:
             F.coalesce(F.col("_base_asked"), F.lit(False))
             | F.coalesce(F.max("_asks").over(before), F.lit(False)),
         )
-        .drop("_base_tokens", "_base_turns", "_base_asked")
+        .withColumn(
+            "_instructed",
+            F.coalesce(F.col("_base_instructed"), F.lit(False))
+            | F.coalesce(F.max("_instructs").over(before), F.lit(False)),
+        )
+        .drop("_base_tokens", "_base_turns", "_base_asked", "_base_instructed")
     )
 
 
@@ -183,6 +199,7 @@ def _as_examples(
     none = F.lit(0).cast("bigint")
     totals, no_totals = {"asked": F.col("_asked")}, {"asked": F.lit(False)}
     if not whole:
+        totals["has_system"], no_totals["has_system"] = F.col("_instructed"), F.lit(False)
         kept = F.aggregate(context, none, lambda acc, m: acc + m["tokens"])
         totals |= {
             "omitted_tokens": F.col("_start") - kept,
@@ -208,8 +225,9 @@ def single_turn(
 
     Without ``reach`` the context is whole, and nothing is omitted. ``tokens`` counts a
     row's tokens (default: characters of its rendered line). ``asked`` tells whether any
-    earlier turn, carried or omitted, is a user query. ``long=False`` promises that no
-    conversation exceeds one block.
+    earlier turn, carried or omitted, is a user query; with a reach, ``has_system`` tells
+    whether any is a system message. ``long=False`` promises that no conversation exceeds
+    one block.
     """
     measured = _measured(turns, tokens)
     if reach is None:

@@ -59,14 +59,16 @@ def _or_null(df: DataFrame, name: str, kind: str) -> Column:
 def classify(df: DataFrame, spec: TokenizeSpec) -> DataFrame:
     """Normalize rows and add ``drop_reason`` (null: kept), prompt, target and texts.
 
-    Rows from the example builder may carry ``omitted_messages``, ``omitted_tokens``
-    and ``asked``: exact totals of context that truncation would cut anyway.
+    Rows from the example builder may carry ``omitted_messages``, ``omitted_tokens``,
+    ``asked`` and ``has_system``: exact totals of context that truncation would cut anyway.
     """
     if "omitted_tokens" in df.columns and not spec.template.renders_tails:
         raise ValueError(
             "contexts that were shortened for truncation need a template that renders line by "
             "line; use budgeted contexts and drop their omitted_* columns"
         )
+    if "omitted_tokens" in df.columns and "has_system" not in df.columns and spec.template.rejects_system:
+        raise ValueError("a template that refuses system messages needs has_system beside shortened contexts")
     kind = msg.MESSAGE.simpleString()
     target_text = _or_null(df, "target_text", "string")
     normalize = lambda item: msg.normalize_message(
@@ -81,6 +83,7 @@ def classify(df: DataFrame, spec: TokenizeSpec) -> DataFrame:
     )
     omitted = F.coalesce(_or_null(df, "omitted_messages", "bigint"), F.lit(0))
     asked = F.coalesce(_or_null(df, "asked", "boolean"), F.lit(False))
+    has_system = F.coalesce(_or_null(df, "has_system", "boolean"), F.lit(False))
 
     normalized = df.withColumns({"prompt_messages": prompt, "_target": target})
     prompt, target = F.col("prompt_messages"), F.col("_target")
@@ -102,7 +105,7 @@ def classify(df: DataFrame, spec: TokenizeSpec) -> DataFrame:
     full = F.concat(prompt, F.array(F.col("target_message_used")))
     template = spec.template
     error = F.when(
-        F.col("_shape_reason").isNull(), F.coalesce(template.error(prompt), template.error(full))
+        F.col("_shape_reason").isNull(), F.coalesce(template.error(prompt, has_system), template.error(full, has_system))
     )
     staged = staged.withColumn("template_error", error).withColumn(
         "drop_reason",
@@ -126,7 +129,7 @@ def classify(df: DataFrame, spec: TokenizeSpec) -> DataFrame:
 
 def _lengths(classified: DataFrame, spec: TokenizeSpec) -> DataFrame:
     """Token counts of prompt and full text, with omitted context added."""
-    omitted = F.coalesce(_or_null(classified, "omitted_tokens", "bigint"), F.lit(0)).cast("int")
+    omitted = F.coalesce(_or_null(classified, "omitted_tokens", "bigint"), F.lit(0))
     count = spec.tokenizer.count
     full = omitted + count(F.col("full_text"))
     prompt = omitted + count(F.col("prompt_text"))
@@ -161,8 +164,9 @@ def tokenize(df: DataFrame, spec: TokenizeSpec) -> DataFrame:
         tail = F.right(F.col("full_text"), F.col("n_tokens"))
         sized = sized.withColumn("input_ids", F.when(kept, spec.tokenizer.encode(tail)).otherwise(no_ids))
     else:
-        if "omitted_tokens" in df.columns:
-            raise ValueError("shortened contexts need a tokenizer that splits by character")
+        if "omitted_tokens" in df.columns and not spec.tokenizer.splits_at_lines:
+            raise ValueError("shortened contexts need a tokenizer that splits by character or at lines")
+        omitted = F.coalesce(_or_null(df, "omitted_tokens", "bigint"), F.lit(0))
         encoded = classified.withColumns(
             {
                 "_ids": spec.tokenizer.encode(F.col("full_text")),
@@ -170,7 +174,7 @@ def tokenize(df: DataFrame, spec: TokenizeSpec) -> DataFrame:
             }
         )
         cut = tok.truncate_left(
-            F.col("_ids"), F.least(F.col("_prompt_n"), F.size("_ids")), spec.max_seq_len
+            F.col("_ids"), F.least(F.col("_prompt_n"), F.size("_ids")), spec.max_seq_len, omitted
         )
         sized = encoded.withColumns(
             {

@@ -31,6 +31,8 @@ from colloquy.sources.records import fit_record
 SPEC = tz.assistant_only(MAX_SEQ_LEN)
 STRICT = tz.assistant_only(MAX_SEQ_LEN, template=PlainTemplate(rejects_system=True))
 WEIGHT = 0.25
+#: A reach for queries that need facts of the context and next to none of its text.
+FACTS = 16
 
 
 def split_examples(df: DataFrame) -> DataFrame:
@@ -42,9 +44,10 @@ def regular(spark: SparkSession, sf_dir: str, reach: int = MAX_SEQ_LEN) -> DataF
     return split_examples(examples.single_turn(turns(spark, sf_dir), reach, long=long))
 
 
-def irregular(spark: SparkSession, sf_dir: str, reach: int = MAX_SEQ_LEN) -> DataFrame:
+def irregular(spark: SparkSession, sf_dir: str, reach: int = MAX_SEQ_LEN, tokenizer=None) -> DataFrame:
     long = has_long(spark, sf_dir, reach)
-    return split_examples(examples.single_turn(irregular_turns(spark, sf_dir), reach, long=long))
+    tokens = examples.line_tokens(F.col("role"), F.col("text"), tokenizer)
+    return split_examples(examples.single_turn(irregular_turns(spark, sf_dir), reach, tokens=tokens, long=long))
 
 
 @plan(
@@ -225,14 +228,14 @@ def irregular_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_examples(examples.single_turn(irregular_turns(spark, sf_dir)))
 
 
-def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tz.classify(with_missing_targets(irregular_rows(spark, sf_dir)), STRICT)
+def classified(rows: DataFrame) -> DataFrame:
+    return tz.classify(with_missing_targets(rows), STRICT)
 
 
 @plan(CLASSIFIED_SQL + " SELECT example_id, split, drop_reason FROM classified")
 def row_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First matching drop reason per row; null for kept rows."""
-    return classified(spark, sf_dir).select("example_id", "split", "drop_reason")
+    return classified(irregular(spark, sf_dir, FACTS)).select("example_id", "split", "drop_reason")
 
 
 @plan(
@@ -241,7 +244,7 @@ def row_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE drop_reason IS NOT NULL GROUP BY ALL"""
 )
 def drop_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tz.drop_histogram(classified(spark, sf_dir))
+    return tz.drop_histogram(classified(irregular(spark, sf_dir, FACTS)))
 
 
 @plan(
@@ -267,7 +270,7 @@ FROM roles"""
 )
 def drop_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids, roles and previews of every dropped row."""
-    report = tz.drop_report(classified(spark, sf_dir))
+    report = tz.drop_report(classified(irregular_rows(spark, sf_dir)))
     tail = F.transform(
         "messages_tail", lambda m: F.concat(m["role"], F.lit(":"), m["content"])
     )
@@ -339,8 +342,10 @@ def fit_metric_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BYTES_LIMIT = 3000
 BYTES = tz.assistant_only(
-    BYTES_LIMIT, tokenizer=tok.ArrowTokenizer(lambda: tok.each_text(lambda t: t.encode("utf-8")))
+    BYTES_LIMIT,
+    tokenizer=tok.ArrowTokenizer(lambda: tok.each_text(lambda t: t.encode("utf-8")), splits_at_lines=True),
 )
+BPE_LIMIT = 512
 
 
 @plan(
@@ -363,7 +368,7 @@ SELECT example_id, len(ids)::INTEGER AS n_tokens, greatest(prompt_n - over, 0)::
 FROM placed"""
 )
 def byte_token_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokenization through Arrow, with a byte per token."""
+    """Tokenization through Arrow, with a byte per token and contexts within reach."""
     return _arrow_masks(spark, sf_dir, BYTES)
 
 
@@ -389,8 +394,26 @@ def bpe_token_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bpe_spec(limit: int) -> tz.TokenizeSpec:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tz.assistant_only(limit, tokenizer=tok.tokenizer_file(path, splits_at_lines=True))
+
+
+@plan(None)
+def bpe_truncated_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last byte-pair ids of every row; each message is counted once, and only contexts within reach are encoded."""
+    return _arrow_masks(spark, sf_dir, bpe_spec(BPE_LIMIT))
+
+
 def _arrow_masks(spark: SparkSession, sf_dir: str, spec: tz.TokenizeSpec) -> DataFrame:
-    kept, _ = tz.valid_and_dropped(tz.tokenize(irregular_rows(spark, sf_dir), spec))
+    rows = irregular(spark, sf_dir, spec.max_seq_len, spec.tokenizer)
+    return _checked_ids(tz.tokenize(rows, spec))
+
+
+def _checked_ids(tokenized: DataFrame) -> DataFrame:
+    kept, _ = tz.valid_and_dropped(tokenized)
     return kept.select(
         "example_id",
         "n_tokens",
