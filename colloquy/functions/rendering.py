@@ -169,9 +169,23 @@ class ChatMLTemplate:
         )
 
 
+NO_LIST = "no messages"
+NO_PLACE_TO_MERGE = "no user message follows a leading system message"
+
+
 def render_or_merge(template, items: Column) -> Column:
-    """Render; if the template refuses the system message, merge it and render that."""
+    """Render; if the template refuses the system message, merge it and render that.
+
+    Null where that is refused too; ``merge_refusal`` tells why.
+    """
     merged = msg.merge_system_into_user(items)
-    return F.when(template.error(items).isNull(), template.render(items)).otherwise(
-        template.render(merged)
+    return F.when(template.error(items).isNull(), template.render(items)).when(
+        template.error(merged).isNull(), template.render(merged)
     )
+
+
+def merge_refusal(template, items: Column) -> Column:
+    """Why a list has no text even with its system message merged; null where it has one."""
+    merged = msg.merge_system_into_user(items)
+    reason = F.when(merged.isNull(), F.lit(NO_PLACE_TO_MERGE)).otherwise(template.error(merged))
+    return F.when(items.isNull(), F.lit(NO_LIST)).when(template.error(items).isNotNull(), reason)

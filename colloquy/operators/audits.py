@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import completions, tokens
+from colloquy.functions import messages as msg
 
 NO_FINAL_EOS = "No EOS token at end of sequence"
 FINAL_EOS_WINDOW = 3
@@ -32,6 +35,31 @@ def audit_sequences(df: DataFrame, eos_id: int, ids: str = "input_ids") -> DataF
     )
 
 
+def audit_rendered(
+    df: DataFrame, template, tokenizer, eos_id: int, decode: Callable[[Column], Column], *, family: str = "generic"
+) -> DataFrame:
+    """``messages`` as they go into training: normalized, rendered, encoded, audited, and decoded at both ends.
+
+    A list that the template refuses has the error among its issues, and no tokens. Rows whose
+    messages are null count as empty lists.
+    """
+    items = F.coalesce(msg.normalize_messages(F.col("messages"), family), F.array().cast(f"array<{msg.MESSAGE.simpleString()}>"))
+    shown = df.withColumn("_items", items)
+    shown = shown.withColumn("template_error", template.error(F.col("_items")))
+    refused = F.col("template_error").isNotNull()
+    rendered = shown.withColumn("rendered", F.when(refused, F.lit("")).otherwise(template.render(F.col("_items"))))
+    encoded = rendered.withColumn("input_ids", tokenizer.encode(F.col("rendered"))).drop("_items")
+    audited = audit_sequences(encoded, eos_id)
+    problem = F.when(refused, F.concat(F.lit("Chat template error: "), "template_error"))
+    return audited.withColumns(
+        {
+            "issues": F.concat(F.array_compact(F.array(problem)), "issues"),
+            "first_text": decode(F.col("first_tokens")),
+            "last_text": decode(F.col("last_tokens")),
+        }
+    )
+
+
 def corpus_summary(audited: DataFrame) -> DataFrame:
     """One row of totals; lengths over non-empty sequences, zeros for no rows."""
     length = F.when(F.col("sequence_length") > 0, F.col("sequence_length"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import messages as msg
-from colloquy.functions.rendering import PlainTemplate, render_or_merge
+from colloquy.functions.rendering import PlainTemplate, merge_refusal, render_or_merge
 from colloquy.functions.rewards import THINK_TAGS, Tags, hash_answer
 
 # Language tags, and role names of shared conversations.
@@ -141,6 +141,14 @@ def shared_conversation(df: DataFrame, template=PlainTemplate()) -> DataFrame:
     return df.select(render_or_merge(template, items).alias("text"))
 
 
+def refused_conversations(df: DataFrame, template=PlainTemplate()) -> DataFrame:
+    """The rows that ``shared_conversation`` has no text for, with the ``reason``."""
+    items = F.transform(
+        "conversations", lambda t: msg.message(shared_role(t["from"]), t["value"])
+    )
+    return df.withColumn("reason", merge_refusal(template, items)).where("reason IS NOT NULL")
+
+
 def preference_pair(df: DataFrame, template=PlainTemplate()) -> DataFrame:
     """``system, question, chosen, rejected`` to a preference row."""
     items = F.array(_say("system", F.col("system")), _say("user", F.col("question")))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.functions import messages as msg
 from colloquy.functions import tokens as tok
+from colloquy.functions.rendering import PlainTemplate
 from colloquy.operators import audits, ordering
+from colloquy.plans.formatting import PAIRS_SQL, preference_rows
 from colloquy.plans.inputs import id_sum, turns
 from colloquy.plans.registry import plan, table
 
@@ -126,6 +129,70 @@ def token_stop_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed value: the end token of the byte-level vocabulary.
+END_TEXT, END_ID = "<|endoftext|>", 50256
+
+RENDERED_SQL = PAIRS_SQL + f""",
+ended AS (
+  SELECT conv_id, turn, asked_by, 'chosen' AS side, question, chosen AS answer FROM pairs
+  UNION ALL SELECT conv_id, turn, asked_by, 'rejected', question, rejected || '{END_TEXT}' FROM pairs),
+shown AS (
+  SELECT conv_id, turn, side, CASE WHEN asked_by = 'system' THEN '' ELSE
+    asked_by || ':' || question || chr(10) || 'assistant:' || answer END AS rendered FROM ended),
+checked AS (
+  SELECT *, len(string_split(rendered, '{END_TEXT}')) - 1 AS eos_count,
+    CASE WHEN rendered = '' THEN ['Chat template error: System role not supported']
+      WHEN side = 'chosen' THEN ['No EOS token at end of sequence'] ELSE [] END AS issues FROM shown)"""
+
+
+def rendered_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both answers of each preference pair; only the rejected one has its end token."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    sides = F.explode(
+        F.array(
+            F.struct(F.lit("chosen").alias("side"), F.col("chosen").alias("answer")),
+            F.struct(F.lit("rejected").alias("side"), F.concat("rejected", F.lit(END_TEXT)).alias("answer")),
+        )
+    )
+    rows = preference_rows(spark, sf_dir).withColumn("_side", sides)
+    items = F.array(msg.message(F.col("asked_by"), F.col("question")), msg.message(F.lit("assistant"), F.col("_side.answer")))
+    rows = rows.select("conv_id", "turn", "_side.side", items.alias("messages"))
+    return audits.audit_rendered(
+        rows, PlainTemplate(rejects_system=True), tok.tokenizer_file(path), END_ID, tok.tokenizer_file_decoder(path)
+    )
+
+
+@plan(
+    RENDERED_SQL
+    + """ SELECT conv_id, turn, side, md5(rendered) AS rendered, eos_count::INTEGER AS eos_count,
+  eos_count > 0 AND side = 'rejected' AS has_final_eos, array_to_string(issues, ' | ') AS issues,
+  true AS first_shown, true AS last_shown FROM checked"""
+)
+def rendered_example_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered, encoded and decoded pairs; the decoded ends are ends of the text, but for characters cut in two."""
+    first, last = F.rtrim(F.col("first_text"), F.lit("\ufffd")), F.ltrim(F.col("last_text"), F.lit("\ufffd"))
+    return rendered_audit(spark, sf_dir).select(
+        "conv_id",
+        "turn",
+        "side",
+        F.md5("rendered").alias("rendered"),
+        "eos_count",
+        "has_final_eos",
+        F.array_join("issues", " | ").alias("issues"),
+        F.startswith("rendered", first).alias("first_shown"),
+        F.endswith("rendered", last).alias("last_shown"),
+    )
+
+
+@plan(RENDERED_SQL + " SELECT side, x.issue, count(*) AS occurrences, x.issue || ' (' || count(*) || 'x)' AS label\n"
+      "FROM (SELECT side, unnest(issues) AS issue FROM checked) x GROUP BY side, x.issue")
+def rendered_issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of the rendered pairs by frequency, per side."""
+    return audits.issue_histogram(rendered_audit(spark, sf_dir), ["side"])
+
+
 DIAGNOSED = 100
 
 

@@ -126,6 +126,30 @@ def shared_conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(texts.withColumn("text", F.md5("text")))
 
 
+@plan(
+    """SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'System role not supported'
+  ELSE 'no user message follows a leading system message' END AS reason
+FROM conversations WHERE turn % 4 IN (1, 2, 3)"""
+)
+def refused_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared turns whose system texts stand where they cannot be merged, or are more than one."""
+
+    def said(who: str, value: str) -> Column:
+        return F.struct(F.lit(who).alias("from"), F.col(value).alias("value"))
+
+    system, asked, answer = said("system", "role"), said("human", "text"), said("gpt", "role")
+    case = F.col("turn") % 4
+    conversations = (
+        F.when(case == 0, F.array(system, asked, answer))
+        .when(case == 1, F.array(asked, system, answer))
+        .when(case == 2, F.array(system, system, asked))
+        .otherwise(F.array(system, asked, system, answer))
+    )
+    rows = turns(spark, sf_dir).select("conv_id", "turn", conversations.alias("conversations"))
+    refused = formatters.refused_conversations(rows, PlainTemplate(rejects_system=True))
+    return refused.select("conv_id", "turn", "reason")
+
+
 @plan(
     """SELECT md5('user:' || source || chr(10) || 'assistant:' || text) AS text, count(*) AS rows
 FROM documents GROUP BY ALL"""
