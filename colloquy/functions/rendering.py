@@ -22,6 +22,7 @@ class PlainTemplate:
     rejects_system: bool = False
     name: str = "plain"
     renders_tails = True  # the text of the last messages is the end of the whole text
+    opening = "assistant:"  # the generation prompt
 
     @staticmethod
     def line(role: Column, content: Column) -> Column:
@@ -41,7 +42,7 @@ class PlainTemplate:
     ) -> Column:
         lines = F.transform(items, lambda m: self.line(m["role"], m["content"]))
         if generation_prompt:
-            lines = F.concat(lines, F.array(F.lit("assistant:")))
+            lines = F.concat(lines, F.array(F.lit(self.opening)))
         return F.array_join(lines, "\n")
 
 

@@ -167,12 +167,15 @@ def tokenize(df: DataFrame, spec: TokenizeSpec) -> DataFrame:
         if "omitted_tokens" in df.columns and not spec.tokenizer.splits_at_lines:
             raise ValueError("shortened contexts need a tokenizer that splits by character or at lines")
         omitted = F.coalesce(_or_null(df, "omitted_tokens", "bigint"), F.lit(0))
-        encoded = classified.withColumns(
-            {
-                "_ids": spec.tokenizer.encode(F.col("full_text")),
-                "_prompt_n": spec.tokenizer.count(F.col("prompt_text")),
-            }
-        )
+        ids, count = spec.tokenizer.encode(F.col("full_text")), spec.tokenizer.count
+        if "omitted_tokens" in df.columns:
+            # The context is encoded once: prompt and full text differ in their last line only.
+            used = F.col("target_message_used")
+            line = F.when(kept, spec.template.line(used["role"], used["content"]))
+            prompt_n = F.size("_ids") - count(line) + count(F.when(kept, F.lit(spec.template.opening)))
+        else:
+            prompt_n = count(F.col("prompt_text"))
+        encoded = classified.withColumn("_ids", ids).withColumn("_prompt_n", prompt_n)
         cut = tok.truncate_left(
             F.col("_ids"), F.least(F.col("_prompt_n"), F.size("_ids")), spec.max_seq_len, omitted
         )
