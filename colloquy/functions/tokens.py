@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 IGNORED_LABEL = -100
 NEXT_LINE = "a"  # stands for any next line where one is counted alone
+#: Bytes of texts or ids that a Python task works on at a time: a token is many times larger there.
+SLICE_BYTES = 1 << 18
 LOSS_MODES = ("assistant_only", "full_conversation", "weighted")
 
 
@@ -22,6 +26,23 @@ def check_loss(loss_mode: str, prompt_loss_weight: float) -> None:
         raise ValueError(f"prompt_loss_weight must lie in [0.0, 1.0], got {prompt_loss_weight}")
 
 
+def _bytes(values: pa.Array) -> np.ndarray:
+    is_text = pa.types.is_string(values.type) or pa.types.is_large_string(values.type)
+    sizes = pc.binary_length(values) if is_text else pc.multiply(pc.list_value_length(values), 4)
+    return pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def slices(*columns: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """The rows of texts or id lists in order, by runs of up to ``SLICE_BYTES``; a larger row is a run of its own."""
+    ends = np.cumsum(sum(map(_bytes, columns)))
+    start = 0
+    while start < len(ends):
+        limit = (ends[start - 1] if start else 0) + SLICE_BYTES
+        stop = max(start + 1, int(np.searchsorted(ends, limit, side="right")))
+        yield tuple(column.slice(start, stop - start) for column in columns)
+        start = stop
+
+
 class CharTokenizer:
     """One id per character, ``code point % 97 + 1``; needs no Python worker.
 
@@ -49,9 +70,10 @@ class ArrowTokenizer:
     """A real tokenizer behind an Arrow function.
 
     ``load`` runs once per Python worker and returns a function from a list of texts
-    to a list of id lists. Texts and ids travel as Arrow batches. ``splits_at_lines``
-    promises that no token spans a line break and a character after it that is no
-    white space, whatever lies around them: then the ids of a text are those of its
+    to a list of id lists. Texts and ids travel as Arrow batches, of which a worker encodes
+    a slice at a time and hands its ids on, so its memory follows neither rows nor batches.
+    ``splits_at_lines`` promises that no token spans a line break and a character after it that
+    is no white space, whatever lies around them: then the ids of a text are those of its
     parts cut there, in order, and lines can be counted one by one.
     """
 
@@ -63,34 +85,61 @@ class ArrowTokenizer:
         self.splits_at_lines = splits_at_lines
         loaded: list[Callable] = []
 
-        @F.arrow_udf(T.ArrayType(T.IntegerType()))
-        def encode(texts: pa.Array) -> pa.Array:
+        def ids_of(texts: pa.Array) -> list:
             if not loaded:
                 loaded.append(load())
             values = texts.to_pylist()
             present = [text for text in values if text is not None]
             ids = iter(loaded[0](present) if present else [])
-            rows = [None if text is None else next(ids) for text in values]
-            return pa.array(rows, type=pa.list_(pa.int32()))
+            return [None if text is None else next(ids) for text in values]
+
+        def sizes_of(texts: pa.Array) -> pa.Array:
+            return pa.array([None if ids is None else len(ids) for ids in ids_of(texts)], type=pa.int32())
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:
+                for (some,) in slices(texts):
+                    yield pa.array(ids_of(some), type=pa.list_(pa.int32()))
+
+        kinds = {"ids": T.ArrayType(T.IntegerType()), "n": T.IntegerType(), "m": T.IntegerType()}
+
+        @F.arrow_udf(T.StructType([T.StructField(name, kind) for name, kind in kinds.items()]))
+        def encode_and_count(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            for columns in batches:
+                for texts, some, more in slices(*columns):
+                    ids = pa.array(ids_of(texts), type=pa.list_(pa.int32()))
+                    yield pa.StructArray.from_arrays([ids, sizes_of(some), sizes_of(more)], names=list(kinds))
+
+        @F.arrow_udf(T.IntegerType())
+        def count(texts: pa.Array) -> pa.Array:
+            return pa.concat_arrays([pa.array([], type=pa.int32()), *(sizes_of(some) for (some,) in slices(texts))])
 
         @F.arrow_udf(T.IntegerType())
         def count_lines(lines: pa.Array) -> pa.Array:
             if not loaded:
                 loaded.append(load())
-            values = lines.to_pylist()
-            # How white space at the end of a line is cut depends on there being a next line.
-            shown = [NEXT_LINE] + [f"{line}\n{NEXT_LINE}" for line in values if line is not None]
-            extra, *sizes = map(len, loaded[0](shown))
-            left = iter(sizes)
-            return pa.array([None if line is None else next(left) - extra for line in values], type=pa.int32())
-
-        self._encode, self._count_lines = encode, count_lines
+            counts = [pa.array([], type=pa.int32())]
+            for (some,) in slices(lines):
+                values = some.to_pylist()
+                # How white space at the end of a line is cut depends on there being a next line.
+                shown = [NEXT_LINE] + [f"{line}\n{NEXT_LINE}" for line in values if line is not None]
+                extra, *sizes = map(len, loaded[0](shown))
+                left = iter(sizes)
+                counts.append(pa.array([None if line is None else next(left) - extra for line in values], type=pa.int32()))
+            return pa.concat_arrays(counts)
+
+        self._encode, self._encode_and_count, self._count, self._count_lines = encode, encode_and_count, count, count_lines
 
     def encode(self, text: Column) -> Column:
         return self._encode(text)
 
+    def encode_and_count(self, text: Column, some: Column, more: Column) -> Column:
+        """``ids`` of a text with the numbers ``n, m`` of ids of two others, all from one Python worker."""
+        return self._encode_and_count(text, some, more)
+
     def count(self, text: Column) -> Column:
-        return F.size(self._encode(text))
+        return self._count(text)
 
     def count_line(self, line: Column) -> Column:
         """Tokens of a line and its break in a text that goes on with another line."""
@@ -126,12 +175,13 @@ def tokenizer_file_decoder(path: str) -> Callable[[Column], Column]:
             from tokenizers import Tokenizer
 
             loaded.append(Tokenizer.from_file(path))
-        rows = ids.to_pylist()
-        texts = loaded[0].decode_batch([row or [] for row in rows], skip_special_tokens=False)
-        return pa.array(
-            [None if row is None else text for row, text in zip(rows, texts, strict=True)],
-            type=pa.string(),
-        )
+        decoded = [pa.array([], type=pa.string())]
+        for (some,) in slices(ids):
+            rows = some.to_pylist()
+            texts = loaded[0].decode_batch([row or [] for row in rows], skip_special_tokens=False)
+            shown = [None if row is None else text for row, text in zip(rows, texts, strict=True)]
+            decoded.append(pa.array(shown, type=pa.string()))
+        return pa.concat_arrays(decoded)
 
     return decode
 

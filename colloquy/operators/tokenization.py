@@ -167,15 +167,17 @@ def tokenize(df: DataFrame, spec: TokenizeSpec) -> DataFrame:
         if "omitted_tokens" in df.columns and not spec.tokenizer.splits_at_lines:
             raise ValueError("shortened contexts need a tokenizer that splits by character or at lines")
         omitted = F.coalesce(_or_null(df, "omitted_tokens", "bigint"), F.lit(0))
-        ids, count = spec.tokenizer.encode(F.col("full_text")), spec.tokenizer.count
+        nothing = F.lit(None).cast("string")
         if "omitted_tokens" in df.columns:
             # The context is encoded once: prompt and full text differ in their last line only.
             used = F.col("target_message_used")
-            line = F.when(kept, spec.template.line(used["role"], used["content"]))
-            prompt_n = F.size("_ids") - count(line) + count(F.when(kept, F.lit(spec.template.opening)))
+            some = F.when(kept, spec.template.line(used["role"], used["content"]))
+            more = F.when(kept, F.lit(spec.template.opening))
+            prompt_n = F.size("_coded.ids") - F.col("_coded.n") + F.col("_coded.m")
         else:
-            prompt_n = count(F.col("prompt_text"))
-        encoded = classified.withColumn("_ids", ids).withColumn("_prompt_n", prompt_n)
+            some, more, prompt_n = F.col("prompt_text"), nothing, F.col("_coded.n")
+        coded = spec.tokenizer.encode_and_count(F.col("full_text"), some, more)
+        encoded = classified.withColumn("_coded", coded).withColumns({"_ids": F.col("_coded.ids"), "_prompt_n": prompt_n})
         cut = tok.truncate_left(
             F.col("_ids"), F.least(F.col("_prompt_n"), F.size("_ids")), spec.max_seq_len, omitted
         )
@@ -186,7 +188,7 @@ def tokenize(df: DataFrame, spec: TokenizeSpec) -> DataFrame:
                 "is_truncated": F.when(kept, cut.is_truncated).otherwise(0),
             }
         ).withColumn("n_tokens", F.size("input_ids"))
-        sized = sized.drop("_ids", "_prompt_n")
+        sized = sized.drop("_coded", "_ids", "_prompt_n")
     ids, prompt_len = F.col("input_ids"), F.col("prompt_len")
     arrays = {
         "attention_mask": tok.attention_mask(ids),
