@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import tokens as tok
+from colloquy.operators import examples
+from colloquy.operators import tokenization as tz
 
 #: What a call may get: a slice, and for each line what stands for the next one.
 ROOM = tok.SLICE_BYTES * 5 // 4
@@ -72,3 +74,30 @@ def test_ids_are_decoded_by_slices(spark):
     df = spark.createDataFrame(rows, "id int, text string").coalesce(1).withColumn("ids", tok.tokenizer_file(path).encode(F.col("text")))
     back = df.select("id", tok.tokenizer_file_decoder(path)(F.col("ids")).alias("text")).collect()
     assert {r.id: r.text for r in back} == dict(rows)
+
+
+def test_lines_are_counted_by_slices(spark):
+    rows = texts(3000)
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    counts = df.select("id", careful().count_line(F.col("text")).alias("n")).collect()
+    assert {r.id: r.n for r in counts} == {i: None if t is None else size(t) + 1 for i, t in rows}
+
+
+@pytest.mark.parametrize("limit", [100, 1 << 30])
+def test_rows_are_tokenized_by_slices(spark, limit):
+    """Whole contexts and contexts within reach; the targets are as long as the texts."""
+    turns = [(c, n, "user" if n % 2 == 0 else "assistant", f"{c} {n} " + "x" * 300) for c in range(400) for n in range(6)]
+    turns = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").coalesce(1)
+    spec = tz.assistant_only(limit, tokenizer=careful())
+    reach = limit if limit < 1000 else None
+    tokens = examples.line_tokens(F.col("role"), F.col("text"), spec.tokenizer)
+    rows = examples.single_turn(turns, reach, tokens=tokens, long=False).coalesce(1)
+    out = tz.tokenize(rows, spec).select("example_id", "n_tokens", "prompt_len", "is_truncated").collect()
+    want = set()
+    for c in range(400):
+        for n in (1, 3, 5):
+            sizes = [len(f"{'user' if k % 2 == 0 else 'assistant'}:{c} {k} ") + 301 for k in range(n + 1)]
+            whole, over = sum(sizes) - 1, max(sum(sizes) - 1 - limit, 0)
+            prompt = sum(sizes[:-1]) + len("assistant:")
+            want.add((f"{c}-{n}", min(whole, limit), max(prompt - over, 0), int(over > 0)))
+    assert set(map(tuple, out)) == want and len(out) == 1200
