@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import tokens as tok
-from colloquy.operators import examples
+from colloquy.functions.messages import MESSAGE
+from colloquy.functions.rendering import PlainTemplate
+from colloquy.operators import audits, examples
 from colloquy.operators import tokenization as tz
 
 #: What a call may get: a slice, and for each line what stands for the next one.
@@ -101,3 +103,14 @@ def test_rows_are_tokenized_by_slices(spark, limit):
             prompt = sum(sizes[:-1]) + len("assistant:")
             want.add((f"{c}-{n}", min(whole, limit), max(prompt - over, 0), int(over > 0)))
     assert set(map(tuple, out)) == want and len(out) == 1200
+
+
+def rendered(spark, decode):
+    pairs = [[{"role": "user", "content": "q" * 500}, {"role": "assistant", "content": f"{n}" + ("!" if n % 3 else "")}] for n in range(2000)]
+    df = spark.createDataFrame(list(enumerate(pairs)), f"id int, messages array<{MESSAGE.simpleString()}>").coalesce(1)
+    return audits.audit_rendered(df, PlainTemplate(), careful(), ord("!"), decode)
+
+
+def test_issues_of_rendered_rows_are_found_by_slices(spark):
+    rows = audits.issue_histogram(rendered(spark, lambda ids: F.lit("")), []).collect()
+    assert [(r.issue, r.occurrences) for r in rows] == [(audits.NO_FINAL_EOS, 667)]
