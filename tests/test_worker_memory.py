@@ -114,3 +114,18 @@ def rendered(spark, decode):
 def test_issues_of_rendered_rows_are_found_by_slices(spark):
     rows = audits.issue_histogram(rendered(spark, lambda ids: F.lit("")), []).collect()
     assert [(r.issue, r.occurrences) for r in rows] == [(audits.NO_FINAL_EOS, 667)]
+
+
+def test_both_ends_of_rendered_rows_are_decoded(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    rows = rendered(spark, tok.tokenizer_file_decoder(path)).select("id", "rendered", "first_text", "last_text", "issues").collect()
+    assert len(rows) == 2000
+    for r in rows:
+        ids = list(r.rendered.encode())
+        assert r.first_text == model.decode(ids[:50], skip_special_tokens=False)
+        assert r.last_text == model.decode(ids[-50:], skip_special_tokens=False)
+        assert r.issues == ([] if r.id % 3 else [audits.NO_FINAL_EOS])
