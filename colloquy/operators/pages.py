@@ -8,10 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.markup import HEADINGS, read_page
+from colloquy.functions.markup import HEADINGS, Page, read_page
 
 #: Parts of a page that are no text of it.
 ASIDE = frozenset(("nav", "aside", "footer", "form", "head", "menu"))
+#: Characters of chunks that a Python task holds before it hands them on.
+HELD_CHARS = 1 << 20
 
 
 def page_paragraphs(
@@ -52,6 +54,27 @@ def page_paragraphs(
     )
 
 
+def _chunks(page: Page, limit: int, without: frozenset[str]) -> Iterator[tuple]:
+    """``chunk, title, heading, paragraphs, text`` of a page; a chunk leaves as the next one begins."""
+    outside = [True] * len(page.elements)
+    for at, element in enumerate(page.elements[1:], 1):
+        outside[at] = outside[element.parent] and element.tag not in without
+    heading, offset, chunk, first_heading, texts = None, 0, 0, None, []
+    for block in page.blocks:
+        if not outside[block.element]:
+            continue
+        heading = block.text if page.elements[block.element].tag in HEADINGS else heading
+        if texts and offset // limit != chunk:
+            yield chunk, page.title or None, first_heading, len(texts), "\n".join(texts)
+            texts = []
+        if not texts:
+            chunk, first_heading = offset // limit, heading
+        texts.append(block.text)
+        offset += len(block.text) + 1
+    if texts:
+        yield chunk, page.title or None, first_heading, len(texts), "\n".join(texts)
+
+
 def page_chunks(
     pages: DataFrame, limit: int, id_col: str = "page_id", html_col: str = "html", without: frozenset[str] = ASIDE
 ) -> DataFrame:
@@ -59,35 +82,31 @@ def page_chunks(
 
     A chunk takes the paragraphs that begin in the same ``limit`` characters of the page's text and is
     as long as they are: no paragraph is cut. ``heading`` is the one that its first paragraph stands under, and
-    every chunk carries the page's title. Chunks are packed as a page is read; nothing is shuffled.
+    every chunk carries the page's title. Chunks are packed as a page is read and handed on as they fill
+    ``HELD_CHARS``, however many pages come at once; nothing is shuffled.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     names = ["page_id", "chunk", "title", "heading", "paragraphs", "text"]
 
+    def as_batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        at, *columns = zip(*rows, strict=True)
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string())
+        arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *arrays], names=names)
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
+            ids, sources = batch.column(0), batch.column(1)
+            rows, held = [], 0
             for number in range(batch.num_rows):
-                page = read_page(batch.column(1)[number].as_py())
-                outside = [True] * len(page.elements)
-                for at, element in enumerate(page.elements[1:], 1):
-                    outside[at] = outside[element.parent] and element.tag not in without
-                heading, offset, open_chunk = None, 0, None
-                for block in page.blocks:
-                    if not outside[block.element]:
-                        continue
-                    heading = block.text if page.elements[block.element].tag in HEADINGS else heading
-                    if open_chunk is None or offset // limit != open_chunk[0]:
-                        open_chunk = (offset // limit, page.title or None, heading, [])
-                        rows.append((number, open_chunk))
-                    open_chunk[3].append(block.text)
-                    offset += len(block.text) + 1
-            found = [(number, c, title, heading, len(texts), "\n".join(texts)) for number, (c, title, heading, texts) in rows]
-            if found:
-                at, *columns = zip(*found, strict=True)
-                kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string())
-                arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *arrays], names=names)
+                for row in _chunks(read_page(sources[number].as_py()), limit, without):
+                    rows.append((number, *row))
+                    held += sum(len(value or "") for value in (row[1], row[2], row[4]))
+                    if held >= HELD_CHARS:
+                        yield as_batch(ids, rows)
+                        rows, held = [], 0
+            if rows:
+                yield as_batch(ids, rows)
 
     return pages.select(id_col, html_col).mapInArrow(
         packed, f"page_id {kind}, chunk int, title string, heading string, paragraphs int, text string"

@@ -3,6 +3,7 @@
 import html.parser
 import time
 
+import pyarrow as pa
 import pytest
 
 from colloquy.functions.jsontext import canonical_json
@@ -126,3 +127,24 @@ def test_deep_json_is_bad_json(spark):
     deep = "[" * 100_000 + "]" * 100_000
     df = spark.createDataFrame([(deep,), ('{"a": 1}',)], "text string")
     assert [r[0] for r in df.select(canonical_json("text")).collect()] == [None, '{"a": 1}']
+
+
+def test_chunks_leave_as_they_fill_and_not_a_batch_at_a_time(spark, monkeypatch):
+    """One batch of pages, among them large, null and empty ones: many batches of chunks, the same rows in order."""
+    shown = ["<p>" + "w" * (n % 90 + 1) + "</p>" for n in range(40)]
+    sources = ["<title>T</title><h1>H</h1>" + "".join(shown)] * 900 + [None, "", "<h1>big</h1>" + "".join(shown) * 900, "<p>end</p>"]
+    seen = {}
+    monkeypatch.setattr(p, "HELD_CHARS", 50_000)
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, kind: seen.setdefault("f", f) and self)
+    p.page_chunks(spark.createDataFrame([], "page_id long, html string"), 200)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sources))), pa.array(sources, pa.string())], names=["page_id", "html"])
+    found = list(seen["f"](iter([batch])))
+    assert len(found) > 20
+    assert max(sum(len(t) for t in b.column(5).to_pylist()) for b in found) < p.HELD_CHARS + 1000
+    rows = [row for b in found for row in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+    alone = [row for n in range(batch.num_rows) for b in seen["f"](iter([batch.slice(n, 1)])) for row in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+    assert rows == alone and {r[0] for r in rows} == set(range(len(sources))) - {900, 901}
+    for n in (0, 902):
+        lines = "\n".join(r[5] for r in rows if r[0] == n).split("\n")
+        assert lines[1:] == [s[3:-4] for s in shown] * (1 if n == 0 else 900)
