@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -69,8 +71,8 @@ class CharTokenizer:
 class ArrowTokenizer:
     """A real tokenizer behind an Arrow function.
 
-    ``load`` runs once per Python worker and returns a function from a list of texts
-    to a list of id lists. Texts and ids travel as Arrow batches, of which a worker encodes
+    ``load`` runs once per task and returns a function from a list of texts to a list
+    of id lists; a large model should outlive the task, as those of files do. Texts and ids travel as Arrow batches, of which a worker encodes
     a slice at a time and hands its ids on, so its memory follows neither rows nor batches.
     ``splits_at_lines`` promises that no token spans a line break and a character after it that
     is no white space, whatever lies around them: then the ids of a text are those of its
@@ -148,6 +150,26 @@ class ArrowTokenizer:
         return self._count_lines(line)
 
 
+def _version(path: str) -> tuple[int, int]:
+    found = os.stat(path)
+    return found.st_mtime_ns, found.st_size
+
+
+@functools.lru_cache(maxsize=1)
+def _json_model(path: str, version: tuple[int, int]):
+    """The file's model, once per Python worker: one for each task adds up to far more than the task needs."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=1)
+def _piece_model(path: str, version: tuple[int, int]):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 def tokenizer_file(path: str, *, splits_at_lines: bool = False) -> ArrowTokenizer:
     """A ``tokenizers`` JSON file that every worker can read; no special tokens added.
 
@@ -155,9 +177,7 @@ def tokenizer_file(path: str, *, splits_at_lines: bool = False) -> ArrowTokenize
     """
 
     def load():
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(path)
+        model = _json_model(path, _version(path))
         return lambda texts: [
             e.ids for e in model.encode_batch(texts, add_special_tokens=False)
         ]
@@ -172,9 +192,7 @@ def tokenizer_file_decoder(path: str) -> Callable[[Column], Column]:
     @F.arrow_udf(T.StringType())
     def decode(ids: pa.Array) -> pa.Array:
         if not loaded:
-            from tokenizers import Tokenizer
-
-            loaded.append(Tokenizer.from_file(path))
+            loaded.append(_json_model(path, _version(path)))
         decoded = [pa.array([], type=pa.string())]
         for (some,) in slices(ids):
             rows = some.to_pylist()
@@ -190,9 +208,7 @@ def sentencepiece_file(path: str) -> ArrowTokenizer:
     """A SentencePiece model file that every worker can read."""
 
     def load():
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = _piece_model(path, _version(path))
         return lambda texts: model.encode(texts, num_threads=1)
 
     return ArrowTokenizer(load)

@@ -1,9 +1,11 @@
 """A Python worker holds a slice of a batch at a time, however many rows the batch has."""
 
 import random
+import shutil
 
 import pyarrow as pa
 import pytest
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import functions as F
 
 from colloquy.functions import tokens as tok
@@ -129,3 +131,53 @@ def test_both_ends_of_rendered_rows_are_decoded(spark):
         assert r.first_text == model.decode(ids[:50], skip_special_tokens=False)
         assert r.last_text == model.decode(ids[-50:], skip_special_tokens=False)
         assert r.issues == ([] if r.id % 3 else [audits.NO_FINAL_EOS])
+
+
+def tasks(function, values, n=5):
+    """What ``n`` tasks of a worker get: each unpickles the function anew."""
+    sent = CloudPickleSerializer().dumps(function.func)
+    return [CloudPickleSerializer().loads(sent)(values).to_pylist() for _ in range(n)]
+
+
+def test_a_worker_reads_a_tokenizer_file_once_for_all_tasks(tmp_path, monkeypatch):
+    import public_tokenizers
+    import tokenizers
+
+    real, reads = tokenizers.Tokenizer, []
+
+    class Counted:
+        @staticmethod
+        def from_file(path):
+            reads.append(path)
+            return real.from_file(path)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    path = str(tmp_path / "model.json")
+    shutil.copy(public_tokenizers.path("byte_bpe_50k.json"), path)
+    ids = real.from_file(path).encode("one two\nthree", add_special_tokens=False).ids
+    values = pa.array(["one two\nthree", None, ""])
+    assert tasks(tok.tokenizer_file(path)._count, values) == [[len(ids), None, 0]] * 5
+    back = tasks(tok.tokenizer_file_decoder(path), pa.array([ids, None, []], pa.list_(pa.int32())))
+    assert back == [["one two\nthree", None, ""]] * 5
+    assert reads == [path]
+    # A file that was written again is another model.
+    real.from_file(path).save(path, pretty=True)
+    assert tasks(tok.tokenizer_file(path)._count, values) == [[len(ids), None, 0]] * 5
+    assert reads == [path] * 2
+
+
+def test_a_worker_reads_a_piece_file_once_for_all_tasks(monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    real, reads = sentencepiece.SentencePieceProcessor, []
+
+    def counted(model_file):
+        reads.append(model_file)
+        return real(model_file=model_file)
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    want = len(real(model_file=path).encode("one two"))
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", counted)
+    assert tasks(tok.sentencepiece_file(path)._count, pa.array(["one two", None])) == [[want, None]] * 5
+    assert reads == [path]
