@@ -181,3 +181,25 @@ def test_a_worker_reads_a_piece_file_once_for_all_tasks(monkeypatch):
     monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", counted)
     assert tasks(tok.sentencepiece_file(path)._count, pa.array(["one two", None])) == [[want, None]] * 5
     assert reads == [path]
+
+
+def test_a_worker_decodes_both_ends_of_all_tasks_with_one_model(tmp_path, monkeypatch):
+    import public_tokenizers
+    import tokenizers
+
+    real, reads = tokenizers.Tokenizer, []
+
+    class Counted:
+        @staticmethod
+        def from_file(path):
+            reads.append(path)
+            return real.from_file(path)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    path = str(tmp_path / "model.json")
+    shutil.copy(public_tokenizers.path("byte_bpe_50k.json"), path)
+    ids = real.from_file(path).encode("one <|endoftext|> é", add_special_tokens=False).ids
+    decode = tok.tokenizer_file_decoder(path)
+    for end, text in ((ids, "one <|endoftext|> é"), (ids[-1:], real.from_file(path).decode(ids[-1:]))):
+        assert tasks(decode, pa.array([end, None], pa.list_(pa.int32()))) == [[text, None]] * 5
+    assert reads == [path]
