@@ -14,6 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Each task has a core of its own: threads as many as the host's cores, in every worker, hold memory of their own each.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 IGNORED_LABEL = -100
 NEXT_LINE = "a"  # stands for any next line where one is counted alone
 #: Bytes of texts or ids that a Python task works on at a time: a token is many times larger there.

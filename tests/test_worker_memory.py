@@ -1,7 +1,11 @@
 """A Python worker holds a slice of a batch at a time, however many rows the batch has."""
 
+import os
 import random
 import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -203,3 +207,27 @@ def test_a_worker_decodes_both_ends_of_all_tasks_with_one_model(tmp_path, monkey
     for end, text in ((ids, "one <|endoftext|> é"), (ids[-1:], real.from_file(path).decode(ids[-1:]))):
         assert tasks(decode, pa.array([end, None], pa.list_(pa.int32()))) == [[text, None]] * 5
     assert reads == [path]
+
+
+THREADS = """
+import os
+import public_tokenizers
+import pyarrow as pa
+from colloquy.functions import tokens as tok
+
+path = public_tokenizers.path("byte_bpe_50k.json")
+encode, decode = tok.tokenizer_file(path)._encode, tok.tokenizer_file_decoder(path)
+texts = pa.array(["one two", None, "", "three <|endoftext|> four"] * 100)
+before = len(os.listdir("/proc/self/task"))
+ids = pa.concat_arrays(encode.func(iter([texts])))
+assert decode.func(ids).equals(texts)
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+
+
+def test_a_worker_starts_no_threads_of_its_own(tmp_path):
+    """Whatever number of cores the host has: each thread holds memory of its own, in every worker."""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    env |= {"RAYON_NUM_THREADS": "16", "PYTHONPATH": str(Path(tok.__file__).parents[2])}
+    done = subprocess.run([sys.executable, "-c", THREADS], env=env, cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert done.stdout.split() == ["0"]
