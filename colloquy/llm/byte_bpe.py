@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from colloquy.llm.common import doc_column, text_bytes
 
 #: Characters of text given to the library at once, where the text has a safe boundary.
 BLOCK = 1 << 18
+#: Tokens and rows that a worker hands on at once.
+HELD, ROWS = 1 << 18, 2048
 
 #: White space after anything else always begins a match of the splitting pattern: no
 #: match holds white space behind another character, and what is before is no white space,
@@ -53,6 +56,38 @@ def decode(encoding: tiktoken.Encoding, ids: list[int]) -> bytes:
     return encoding.decode_bytes(ids)
 
 
+def encoded_rows(encoding: tiktoken.Encoding, texts: pa.Array, ids: bool) -> Iterator[pa.Array]:
+    """Structs of the rows of a batch in order, handed on as they fill ``HELD`` tokens and ``ROWS`` rows at most.
+
+    Memory follows neither the batch nor its lists of Python numbers; a larger row fills an array alone.
+    """
+    counts, digests, decoded, held = [], [], [], []
+
+    def flush() -> pa.Array:
+        columns = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+        if ids:
+            ends = np.r_[0, np.cumsum(counts)].astype("int32")
+            columns["ids"] = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, "int32"), *held]))
+        for column in (counts, digests, decoded, held):
+            column.clear()
+        return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+
+    total = 0
+    for text in texts:
+        tokens = encode(encoding, text.as_py().decode("utf-8", "replace"))
+        if counts and (total + len(tokens) > HELD or len(counts) == ROWS):
+            yield flush()
+            total = 0
+        total += len(tokens)
+        counts.append(len(tokens))
+        packed = np.asarray(tokens, "<u4")
+        digests.append(hashlib.sha256(packed.tobytes()).hexdigest())
+        decoded.append(hashlib.sha256(decode(encoding, tokens)).hexdigest())
+        if ids:
+            held.append(packed.astype("int32"))
+    yield flush()
+
+
 def byte_bpe(
     docs: DataFrame,
     rank_file: str,
@@ -81,20 +116,9 @@ def byte_bpe(
     )
 
     @F.arrow_udf(kind)
-    def encoded(texts: pa.Array) -> pa.Array:
-        encoding = encoder(ranks.value, pattern)
-        counts, digests, decoded, lists = [], [], [], []
-        for text in texts:
-            tokens = encode(encoding, text.as_py().decode("utf-8", "replace"))
-            counts.append(len(tokens))
-            digests.append(hashlib.sha256(np.asarray(tokens, "<u4").tobytes()).hexdigest())
-            decoded.append(hashlib.sha256(decode(encoding, tokens)).hexdigest())
-            if ids:
-                lists.append(np.asarray(tokens, "int32"))
-        columns = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-        if ids:
-            columns.append(pa.array(lists, pa.list_(pa.int32())))
-        return pa.StructArray.from_arrays(columns, names=[field.name for field in kind.fields])
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield from encoded_rows(encoder(ranks.value, pattern), texts, ids)
 
     out = docs.select(
         F.col(id_col).alias("doc_id"), encoded(text_bytes(text_col)).alias("e"), *doc_column(carry)

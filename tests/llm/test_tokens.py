@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -81,6 +82,24 @@ def test_byte_bpe_of_null_and_empty_tables(spark):
     assert [(r["n_tokens"], r["ids"]) for r in got] == [(0, [])] * 4
 
 
+@pytest.mark.parametrize("ids", [True, False])
+def test_rows_are_handed_on_before_the_batch_ends(encoding, monkeypatch, ids):
+    """A worker that kept the ids of a whole batch took its memory from the pipeline's last stage."""
+    monkeypatch.setattr(byte_bpe, "HELD", 50)
+    monkeypatch.setattr(byte_bpe, "ROWS", 8)
+    draw = random.Random(5)
+    texts = ["".join(draw.choices(PARTS, k=draw.randint(0, 40))) for _ in range(200)] + ["", "word " * 500, ""] + [""] * 20
+    parts = list(byte_bpe.encoded_rows(encoding, pa.array([t.encode() for t in texts], pa.binary()), ids))
+    rows = [row for part in parts for row in part.to_pylist()]
+    want = [encoding.encode_ordinary(t) for t in texts]
+    assert [r["n_tokens"] for r in rows] == list(map(len, want))
+    assert [r["ids_sha256"] for r in rows] == [hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest() for i in want]
+    assert [r.get("ids") for r in rows] == (want if ids else [None] * len(want))
+    for part in parts:
+        assert len(part) <= 8 and (len(part) == 1 or sum(r["n_tokens"] for r in part.to_pylist()) <= 50)
+    assert not sum(map(len, byte_bpe.encoded_rows(encoding, pa.array([], pa.binary()), ids)))
+
+
 def test_blocks_are_cut_where_no_match_crosses(encoding):
     draw = random.Random(4)
     for _ in range(2000):
