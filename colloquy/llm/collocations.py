@@ -34,7 +34,7 @@ SHARDS = 3
 #: Bits of the bitmap of candidates: 16 MB, whatever the corpus.
 BITS = 27
 #: Words counted at once, distinct words remembered, and bytes of a text taken at once.
-CHUNK, REMEMBERED, SEGMENT = 3 << 20, 300_000, 1 << 20
+CHUNK, REMEMBERED, SEGMENT = 1 << 20, 150_000, 1 << 20
 #: Bits of a word's number: a chunk remembers fewer words, with those of one more segment.
 NUMBER = 21
 #: The language of rows without one.
@@ -127,30 +127,54 @@ def windows(ids: np.ndarray, size: int) -> np.ndarray:
     whole = ids[: len(ids) - size + 1] > 0
     for i in range(1, size):
         whole &= ids[i : len(ids) - size + 1 + i] > 0
-    return np.flatnonzero(whole)
+    return np.flatnonzero(whole).astype(np.int32)
 
 
 def phrase_digests(digests: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    found = digests[starts]
-    for i in range(1, size):
-        found = mixed(found, digests[starts + i])
+    found = np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), 1 << 16):
+        some = starts[a : a + (1 << 16)]
+        part = digests[some]
+        for i in range(1, size):
+            part = mixed(part, digests[some + i])
+        found[a : a + len(some)] = part
     return found
 
 
-def exact_counts(ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of word numbers of the distinct phrases at ``starts``, and how often each occurs."""
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs; sorts the array it is given."""
+    values.sort()
+    begin = np.flatnonzero(np.r_[len(values) > 0, values[1:] != values[:-1]]).astype(np.int32)
+    return values[begin], np.diff(begin, append=np.int32(len(values)))
+
+
+def exact_parts(ids: np.ndarray, starts: np.ndarray, size: int, rows: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of word numbers of the distinct phrases at ``starts``, and how often each occurs; some rows at a time."""
     if size == 1:
         counts = np.bincount(ids[starts])
         found = np.flatnonzero(counts)
-        return found[:, None], counts[found]
-    if size * NUMBER < 64:
+        counts = counts[found]
+    elif size * NUMBER < 64:
         key = ids[starts].astype(np.int64)
         for i in range(1, size):
-            key = key << NUMBER | ids[starts + i]
-        key, counts = np.unique(key, return_counts=True)
-        shifts = NUMBER * np.arange(size - 1, -1, -1)
-        return key[:, None] >> shifts & (1 << NUMBER) - 1, counts
-    return np.unique(np.stack([ids[starts + i] for i in range(size)], axis=1), axis=0, return_counts=True)
+            key <<= NUMBER
+            key |= ids[starts + i]
+        found, counts = runs(key)
+        del key
+    else:
+        found, counts = np.unique(np.stack([ids[starts + i] for i in range(size)], axis=1), axis=0, return_counts=True)
+    for a in range(0, len(found), rows):
+        some = found[a : a + rows]
+        if some.ndim == 1:
+            # A phrase is one number: its words are taken apart again only as it is handed on.
+            some = some[:, None] >> NUMBER * np.arange(size - 1, -1, -1) & (1 << NUMBER) - 1
+        yield some, counts[a : a + rows]
+
+
+def exact_counts(ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same at once."""
+    found, counts = zip((np.empty((0, size), np.int64), np.empty(0, np.int64)), *exact_parts(ids, starts, size), strict=True)
+    return np.concatenate(found), np.concatenate(counts)
 
 
 def _parts(rows: DataFrame, count: int, mine: int, shared, buckets: int) -> DataFrame:
@@ -169,31 +193,34 @@ def _parts(rows: DataFrame, count: int, mine: int, shared, buckets: int) -> Data
 
     def flush(words: Words, candidates: Candidates) -> Iterator[pa.RecordBatch]:
         numbers = np.array(words.digests, np.uint64)
-        for shard, parts in words.parts.items():
-            ids = np.concatenate(parts)
+        # A shard after the other, and no array longer than it is needed: their sum is what a worker takes.
+        for shard in list(words.parts):
+            ids = np.concatenate(words.parts.pop(shard))
             digests = numbers[ids]
             starts = windows(ids, count)
             if candidates.bits is not None:
                 starts = starts[candidates.has(phrase_digests(digests, starts, count))]
-            found, n = exact_counts(ids, starts, count)
-            for a in range(0, len(found), 1 << 16):
-                yield batch_of(*words.phrases(found[a : a + (1 << 16)]), n[a : a + (1 << 16)], nulls=0)
+            for found, n in exact_parts(ids, starts, count):
+                yield batch_of(*words.phrases(found), n, nulls=0)
             if mine:
-                fits = np.zeros(len(ids), bool)
-                fits[starts] = True
-                longer = windows(ids, mine)
-                for i in range(mine - count + 1):
-                    longer = longer[fits[longer + i]]
-                grams, n = np.unique(phrase_digests(digests, longer, mine), return_counts=True)
-                bucket = (grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(grams)] if len(grams) else [0]
-                spans = list(zip(cuts, cuts[1:], strict=False))
-                for a in range(0, len(spans), 256):
-                    some = spans[a : a + 256]
-                    yield batch_of(
-                        [int(bucket[i]) for i, _ in some], [shard] * len(some), [grams[i:j].tobytes() for i, j in some],
-                        [n[i:j].astype("<u4").tobytes() for i, j in some], nulls=3,
-                    )
+                yield from mined(shard, ids, digests, starts)
+
+    def mined(shard: int, ids: np.ndarray, digests: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fits = np.zeros(len(ids), bool)
+        fits[starts] = True
+        longer = windows(ids, mine)
+        for i in range(mine - count + 1):
+            longer = longer[fits[longer + i]]
+        grams, n = runs(phrase_digests(digests, longer, mine))
+        edges = np.searchsorted(grams, np.array([-(-(b << 32) // buckets) << 32 for b in range(1, buckets)], np.uint64))
+        edges = [0, *edges.tolist(), len(grams)]
+        spans = [(b, i, j) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if i < j]
+        for a in range(0, len(spans), 256):
+            some = spans[a : a + 256]
+            yield batch_of(
+                [b for b, _, _ in some], [shard] * len(some), [grams[i:j].tobytes() for _, i, j in some],
+                [n[i:j].astype("<u4").tobytes() for _, i, j in some], nulls=3,
+            )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         candidates, words = shared.value, Words()

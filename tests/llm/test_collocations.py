@@ -106,3 +106,23 @@ def test_exact_counts_do_not_depend_on_digests():
     digests = np.arange(5, dtype=np.uint64) << np.uint64(60)
     assert c.Candidates(np.full(1 << (c.BITS - 6), 2**64 - 1, np.uint64)).has(digests).all()
     assert not c.Candidates(np.zeros(1 << (c.BITS - 6), np.uint64)).has(digests).any()
+
+
+def test_a_worker_hands_phrases_on_as_it_counts_them():
+    """Word numbers of all phrases of a chunk at once took most of a worker's memory."""
+    draw = np.random.default_rng(1)
+    ids = draw.integers(0, 50, 5000).astype(np.int32)
+    for size in (1, 2, 3, 4):
+        starts = c.windows(ids, size)
+        parts = list(c.exact_parts(ids, starts, size, rows=100))
+        assert all(0 < len(found) <= 100 and found.shape[1] == size for found, _ in parts)
+        want = Counter(tuple(ids[i : i + size].tolist()) for i in range(len(ids) - size + 1) if all(ids[i : i + size]))
+        got = {tuple(row): n for found, counts in parts for row, n in zip(found.tolist(), counts.tolist(), strict=True)}
+        assert got == want and sum(len(found) for found, _ in parts) == len(want)
+        assert not list(c.exact_parts(ids, starts[:0], size))
+
+
+def test_runs_of_values():
+    for values in ([], [3], [5, 1, 5, 5, 2**64 - 1, 1]):
+        distinct, counts = c.runs(np.array(values, np.uint64))
+        assert dict(zip(distinct.tolist(), counts.tolist(), strict=True)) == Counter(values)
