@@ -17,6 +17,7 @@ in which no word is frequent.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ HEAD, HELD = 100_000, 300_000
 ROUNDS, FLOOR = 2, 0.01
 #: Characters up to which the probability of a word cannot underflow.
 SHORT = 24
+#: Linear sums below this one are left to logarithms.
+TINY = 1e-250
 #: The empty word stands for the end of a text.
 END = b""
 #: The vocabulary's mark of a word's start.
@@ -217,6 +220,130 @@ def _expected_short(text: str, size: int, find, rates: list[float], into: list[f
     return True
 
 
+# Lattices of many words at once.
+
+
+@dataclass(frozen=True)
+class Trie:
+    """The vocabulary's pieces by characters: sorted keys of a node and a character, and for each the next node and its piece or -1."""
+
+    keys: np.ndarray
+    nodes: np.ndarray
+    pieces: np.ndarray
+
+
+@functools.lru_cache(maxsize=2)
+def trie(model: bytes) -> Trie:
+    table, _ = vocabulary(model)
+    numbers = {"": 0} | {prefix: number for number, prefix in enumerate(table, 1)}
+    found = sorted((numbers[prefix[:-1]] << 21 | ord(prefix[-1]), numbers[prefix], -1 if piece is None else piece) for prefix, piece in table.items())
+    keys, nodes, pieces = np.array(found, np.int64).reshape(-1, 3).T.copy()
+    return Trie(keys, nodes, pieces)
+
+
+class Lattices:
+    """The arcs of words of up to ``SHORT`` characters, and linear sums over their segmentations.
+
+    The characters of all words stand in one array, each word before a zero, so an arc leads from a
+    place to a place. Arcs are in groups of one distance from the word's start and one length: within a
+    group each place occurs once. ``fits`` marks the words in which every character has a piece.
+    """
+
+    def __init__(self, texts: list[str], model: bytes):
+        pieces = trie(model)
+        chars = np.frombuffer("".join([text + "\0" for text in texts]).encode("utf-32-le"), "<u4").astype(np.int64)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.ends = np.cumsum(sizes + 1) - 1
+        self.starts = self.ends - sizes
+        self.places = len(chars)
+        begins, lengths, found = [], [], []
+        active, node, length = np.flatnonzero(chars), 0, 0
+        alone = chars == 0
+        while len(active) and len(pieces.keys):
+            key = node << 21 | chars[active + length]
+            at = np.minimum(np.searchsorted(pieces.keys, key), len(pieces.keys) - 1)
+            here = pieces.keys[at] == key
+            active, at, length = active[here], at[here], length + 1
+            node, piece = pieces.nodes[at], pieces.pieces[at]
+            whole = piece >= 0
+            begins.append(active[whole])
+            lengths.append(np.full(len(begins[-1]), length))
+            found.append(piece[whole])
+            if length == 1:
+                alone[begins[-1]] = True
+        none = [np.empty(0, np.int64)]
+        begin, size, piece = (np.concatenate(none + column) for column in (begins, lengths, found))
+        group = (begin - np.repeat(self.starts, sizes + 1)[begin]) * (length + 1) + size
+        order = np.argsort(group, kind="stable")
+        self.begin, self.piece = begin[order], piece[order]
+        self.to = self.begin + size[order]
+        cuts = np.flatnonzero(np.diff(group[order])) + 1
+        self.groups = [slice(i, j) for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)], strict=True)]
+        self.fits = np.logical_and.reduceat(alone, self.starts) if len(texts) else np.zeros(0, bool)
+
+    def ahead(self, rates: np.ndarray) -> np.ndarray:
+        """Sums over the segmentations of what is before each place."""
+        sums, rate = np.zeros(self.places), rates[self.piece]
+        sums[self.starts] = 1
+        for some in self.groups:
+            sums[self.to[some]] += sums[self.begin[some]] * rate[some]
+        return sums
+
+    def expected(self, rates: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected counts of the pieces, each word ``times`` over, and the words that are summed."""
+        ahead, behind, rate = self.ahead(rates), np.zeros(self.places), rates[self.piece]
+        whole = ahead[self.ends]
+        summed = self.fits & (whole > TINY)
+        behind[self.ends[summed]] = times[summed] / whole[summed]
+        for some in reversed(self.groups):
+            behind[self.begin[some]] += rate[some] * behind[self.to[some]]
+        return np.bincount(self.piece, ahead[self.begin] * rate * behind[self.to], len(rates)), summed
+
+    def logs(self, rates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logarithms of the words' probabilities, and the words that are summed."""
+        whole = self.ahead(rates)[self.ends]
+        summed = self.fits & (whole > TINY)
+        return np.log(np.where(summed, whole, 1)), summed
+
+
+def _lattices(words: list[bytes], model: bytes) -> tuple[np.ndarray, Lattices]:
+    """Places of the words that are short enough, and their lattices."""
+    texts = [START + word.decode("utf-8", "replace") for word in words]
+    short = [place for place, text in enumerate(texts) if len(text) <= SHORT and "\0" not in text]
+    return np.array(short, np.int64), Lattices([texts[place] for place in short], model)
+
+
+def expected_counts(words: list[bytes], times: np.ndarray, logs: np.ndarray, model: bytes) -> np.ndarray:
+    """Expected counts of all pieces; words that can't be summed linearly are summed one by one."""
+    rates = np.exp(logs)
+    rest = np.ones(len(words), bool)
+    short, lattices = _lattices(words, model)
+    counts, summed = lattices.expected(rates, times[short])
+    rest[short[summed]] = False
+    if rest.any():
+        table, byte_ids = vocabulary(model)
+        into, logs, rates = [0.0] * len(rates), logs.tolist(), rates.tolist()
+        for place in np.flatnonzero(rest).tolist():
+            expected_pieces(words[place], table, byte_ids, logs, rates, into, int(times[place]))
+        counts = counts + np.array(into)
+    return counts
+
+
+def marginals(words: list[bytes], logs: np.ndarray, model: bytes) -> np.ndarray:
+    """``marginal`` of every word; words that can't be summed linearly are summed one by one."""
+    out, rest = np.zeros(len(words)), np.ones(len(words), bool)
+    short, lattices = _lattices(words, model)
+    found, summed = lattices.logs(np.exp(logs))
+    out[short[summed]] = found[summed]
+    rest[short[summed]] = False
+    if rest.any():
+        table, byte_ids = vocabulary(model)
+        logs = logs.tolist()
+        for place in np.flatnonzero(rest).tolist():
+            out[place] = marginal(words[place], table, byte_ids, logs)
+    return out
+
+
 def _piece_logs(counts: np.ndarray, ends: int) -> tuple[np.ndarray, float]:
     """Log probabilities of the pieces and of the end, which are drawn from together."""
     counts = counts + FLOOR
@@ -243,21 +370,17 @@ def learn_pieces(words: DataFrame, model: bytes, totals: Totals) -> tuple[np.nda
         shared = None if logs is None else spark.sparkContext.broadcast(logs)
 
         def counted(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table, byte_ids = vocabulary(content.value)
-            counts = [0.0] * size
-            logs = None if shared is None else shared.value.tolist()
-            rates = None if shared is None else np.exp(shared.value).tolist()
+            found = np.zeros(size)
             for batch in batches:
-                texts, times = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                if rates is None:
+                texts, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+                if shared is None:
                     decoded = [text.decode("utf-8", "replace") for text in texts]
-                    for ids, n in zip(processor(content.value).encode(decoded, num_threads=1), times, strict=True):
-                        for piece in ids:
-                            counts[piece] += n
+                    ids = processor(content.value).encode(decoded, num_threads=1)
+                    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+                    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, lengths.sum())
+                    found += np.bincount(flat, np.repeat(times, lengths), size)
                 else:
-                    for text, n in zip(texts, times, strict=True):
-                        expected_pieces(text, table, byte_ids, logs, rates, counts, n)
-            found = np.array(counts)
+                    found += expected_counts(texts, times, shared.value, content.value)
             pieces = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), pa.array(found[pieces], pa.float64())], names=["piece", "n"])
 
@@ -277,14 +400,12 @@ def word_scores(words: DataFrame, totals: Totals, logs: np.ndarray, end: float,
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, logs, end, totals = content.value
-        table, byte_ids = vocabulary(model)
-        logs = logs.tolist()
         for batch in batches:
-            train = batch.column(1).to_numpy()
-            score = [marginal(word, table, byte_ids, logs) if word != END else end for word in batch.column(0).to_pylist()]
+            train, words = batch.column(1).to_numpy(), batch.column(0).to_pylist()
+            score = np.where([word == END for word in words], end, marginals(words, logs, model))
             base = np.log10((train + 0.5) / (totals.tokens + 0.5 * (totals.types + 1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(train > 0), pa.array(base), pa.array(np.array(score) / math.log(10), pa.float64())],
+                [batch.column(0), batch.column(2), pa.array(train > 0), pa.array(base), pa.array(score / math.log(10), pa.float64())],
                 names=["word", "every", "known", "base", "score"],
             )
 
@@ -377,29 +498,29 @@ def _totals(words: DataFrame) -> Totals:
 
 def _document_scores(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     head = head_of(shared.value)
+    place_of, elsewhere = head.rows.get, itertools.repeat(-1)
     names = ["n_tokens", "n_known", "base_score", "score", "words", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     for batch in batches:
-        out = []
+        out, rest, rest_times, sizes = [], [], [], [0]
         for text in batch.column("bytes"):
             words = text.as_py().lower().split()
             counts = Counter(words)
             counts[END] += 1
-            found = [(head.rows.get(word), word, n) for word, n in counts.items()]
-            rest = [(word, n) for place, word, n in found if place is None]
-            places = np.array([place for place, _, _ in found if place is not None], np.int64)
-            times = np.array([n for place, _, n in found if place is not None], np.int64)
-            out.append(
-                (
-                    len(words) + 1,
-                    int(times[head.known[places]].sum()),
-                    float(times @ head.base[places]),
-                    float(times @ head.score[places]),
-                    [word for word, _ in rest],
-                    [n for _, n in rest],
-                )
-            )
+            places = np.fromiter(map(place_of, counts, elsewhere), np.int64, len(counts))
+            times = np.fromiter(counts.values(), np.int64, len(counts))
+            there = places >= 0
+            rest += itertools.compress(counts, (~there).tolist())
+            rest_times.append(times[~there])
+            sizes.append(len(rest_times[-1]))
+            places, times = places[there], times[there]
+            out.append((len(words) + 1, int(times[head.known[places]].sum()), float(times @ head.base[places]), float(times @ head.score[places])))
         columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
+        ends = pa.array(np.cumsum(sizes), pa.int32())
+        columns += [
+            pa.ListArray.from_arrays(ends, pa.array(rest, pa.binary())),
+            pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *rest_times]), pa.int64())),
+        ]
         yield pa.RecordBatch.from_arrays(
             [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *columns],
             names=["row", "doc_id", "held_out", *names],

@@ -87,3 +87,32 @@ def test_ids_of_any_type(spark):
     docs = spark.createDataFrame([("a", "x y"), (None, "y z"), ("c", None)], "doc_id string, text string")
     got = {r["doc_id"]: r for r in rows(lattice_lm.lattice_scores(docs, PIECES))}
     assert set(got) == {"a", None, "c"} and got["c"]["n_tokens"] == 1
+
+
+def test_words_summed_at_once_equal_words_summed_alone(model):
+    """One by one, words took most of the query's time."""
+    table, byte_ids = lattice_lm.vocabulary(model)
+    size = lattice_lm.processor(model).get_piece_size()
+    logs = np.log(np.random.default_rng(0).dirichlet(np.ones(size)))
+    texts = ["cat", "the", "", "internationalization", "x" * 23, "x" * 24, "ab" * 300, "中文", "é", "\U0001fa9a", "a\0b", "▁▁a", "1,234.56", "zq\u0378z"]
+    words = [t.encode() for t in texts] + [b"\xff\xfe", b"ok\xc3"]
+    times = np.arange(1, len(words) + 1)
+    want = [0.0] * size
+    for word, n in zip(words, times.tolist(), strict=True):
+        lattice_lm.expected_pieces(word, table, byte_ids, logs.tolist(), np.exp(logs).tolist(), want, n)
+    assert lattice_lm.expected_counts(words, times, logs, model) == pytest.approx(np.array(want), rel=1e-9, abs=1e-12)
+    alone = [lattice_lm.marginal(word, table, byte_ids, logs.tolist()) for word in words]
+    assert lattice_lm.marginals(words, logs, model) == pytest.approx(np.array(alone), rel=1e-12)
+    assert not lattice_lm.expected_counts([], times[:0], logs, model).any() and not len(lattice_lm.marginals([], logs, model))
+
+
+def test_common_words_are_not_summed_one_by_one(model, monkeypatch):
+    def alone(*args):
+        raise AssertionError(args[0])
+
+    monkeypatch.setattr(lattice_lm, "expected_pieces", alone)
+    monkeypatch.setattr(lattice_lm, "marginal", alone)
+    logs = np.full(lattice_lm.processor(model).get_piece_size(), -12.0)
+    words = [b"the", b"cat", "é".encode(), b"internationalization", b"1,234.56"]
+    assert lattice_lm.expected_counts(words, np.ones(5), logs, model).sum() > 5
+    assert (lattice_lm.marginals(words, logs, model) < 0).all()
